@@ -123,10 +123,10 @@ def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8,
     return df.join(kept, ord_col, "left_semi")
 
 
-def sql_first_wins(table_sql: str, ord_col: str, text_sql: str, threshold: float = 0.8,
-                   k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
-                   params: tuple[int, int] | None = None) -> str:
-    """DuckDB twin returning the kept ``ord`` values (column ``ord_col``)."""
+def sql_band_ctes(table_sql: str, ord_col: str, text_sql: str, threshold: float = 0.8,
+                  k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
+                  params: tuple[int, int] | None = None) -> tuple[str, int]:
+    """DuckDB CTEs ``w, sh, hx, sig, bands(o, band, key)`` and the band count."""
     b, r = params or lsh_params(threshold, num_perm)
     coeffs = minhash_coefficients(b * r, seed)
     mins = ",\n    ".join(f"coalesce(min((h * {a} + {c}) % {PRIME}), {PRIME}) AS m{i}"
@@ -135,8 +135,7 @@ def sql_first_wins(table_sql: str, ord_col: str, text_sql: str, threshold: float
         f"SELECT o, {j} AS band, concat_ws('-', {', '.join(f'm{j * r + t}' for t in range(r))}) AS key FROM sig"
         for j in range(b))
     last = f"i + {k - 1}"
-    return f"""
-WITH w AS (SELECT {ord_col} AS o, {sql_words(f'lower({text_sql})')} AS w FROM {table_sql}),
+    ctes = f"""w AS (SELECT {ord_col} AS o, {sql_words(f'lower({text_sql})')} AS w FROM {table_sql}),
 sh AS (SELECT o, CASE WHEN len(w) >= {k}
                  THEN list_distinct([array_to_string(w[i:{last}], ' ') FOR i IN range(1, len(w) - {k - 2})])
                  ELSE [] END AS s FROM w),
@@ -145,7 +144,17 @@ hx AS (SELECT o, ('0x' || substr(md5(x), 1, {SHINGLE_HEX_DIGITS}))::BIGINT AS h
 sig AS (SELECT o,
     {mins}
   FROM hx GROUP BY o),
-bands AS ({band_sel}),
+bands AS ({band_sel})"""
+    return ctes, b
+
+
+def sql_first_wins(table_sql: str, ord_col: str, text_sql: str, threshold: float = 0.8,
+                   k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
+                   params: tuple[int, int] | None = None) -> str:
+    """DuckDB twin returning the kept ``ord`` values (column ``ord_col``)."""
+    ctes, b = sql_band_ctes(table_sql, ord_col, text_sql, threshold, k, num_perm, seed, params)
+    return f"""
+WITH {ctes},
 firsts AS (SELECT band, key, min(o) AS f FROM bands GROUP BY band, key),
 kept AS (SELECT f AS {ord_col} FROM firsts GROUP BY f HAVING count(*) = {b})
 SELECT {ord_col} FROM kept"""
