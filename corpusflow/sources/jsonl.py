@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = False) -> DataFrame:
-    """JSON lines under ``path`` (a file or a folder; only ``*.jsonl`` in folders).
+def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = False,
+               glob: str | None = "*.jsonl") -> DataFrame:
+    """JSON lines under ``path`` (a file or a folder; by default only ``*.jsonl`` files).
+
+    Spark's own JSON writer names files ``*.json``: read those with ``glob="*.json"``.
 
     ``with_position`` adds ``file_name`` and 0-based ``line`` per file (W6),
     from the file path, split start and scan order inside each split.
     """
-    r = spark.read.schema(schema).option("pathGlobFilter", "*.jsonl")
+    r = spark.read.schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     df = r.json(path)
     if not with_position:
         return df

@@ -1,7 +1,8 @@
 """Processed-key ledgers.
 
-A ledger is a Parquet table ``(op STRING, key STRING, batch_id BIGINT)``
-partitioned by ``op``.  Keys are compared as strings (ids are cast at the
+A ledger is a Parquet table ``(key STRING, op, run, batch_id)`` partitioned
+by ``op/run/batch_id``: a replayed batch of one run overwrites its own keys,
+and runs from different checkpoints never collide.  Keys are compared as strings (ids are cast at the
 boundary).  Exclusion is a left-anti join: AQE turns it into a broadcast only
 when the ledger's runtime size is small, and keeps a shuffle join otherwise,
 so the ledger is never forced into memory.
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-LEDGER_SCHEMA = StructType([StructField("key", StringType()), StructField("batch_id", LongType()),
-                            StructField("op", StringType())])
+LEDGER_SCHEMA = StructType([StructField("key", StringType()), StructField("op", StringType()),
+                            StructField("run", StringType()), StructField("batch_id", LongType())])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,13 +27,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def read_ledger(spark: SparkSession, path: str, op: str | None = None) -> DataFrame:
-    """Keys already processed (an empty frame when the ledger is absent)."""
+def read_ledger(spark: SparkSession, path: str, op: str | None = None,
+                exclude: tuple[str, int] | None = None) -> DataFrame:
+    """Keys already processed (an empty frame when the ledger is absent).
+
+    ``exclude=(run, batch_id)`` hides the keys a failed attempt of that same
+    batch may have left, so its replay sees the ledger as it was before.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA).select("key")
     df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     if op is not None:
         df = df.where(F.col("op") == op)
+    if exclude is not None:
+        df = df.where(~((F.col("run") == exclude[0]) & (F.col("batch_id") == exclude[1])))
     return df.select("key")
 
 
@@ -43,10 +51,11 @@ def exclude_processed(df: DataFrame, ledger: DataFrame, key) -> DataFrame:
     return keyed.join(ledger.select(F.col("key").alias("_lkey")), "_lkey", "left_anti").drop("_lkey")
 
 
-def append_ledger(keys: DataFrame, path: str, op: str, batch_id: int, key_col: str = "key") -> None:
+def append_ledger(keys: DataFrame, path: str, op: str, batch_id: int, key_col: str = "key",
+                  run: str = "0") -> None:
     """K2: record distinct keys of one batch; a replayed batch overwrites itself."""
     out = (keys.select(F.col(key_col).cast("string").alias("key")).distinct()
-               .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-               .withColumn("op", F.lit(op)))
+               .withColumn("op", F.lit(op)).withColumn("run", F.lit(run))
+               .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("op", "batch_id").parquet(path))
+        .partitionBy("op", "run", "batch_id").parquet(path))
