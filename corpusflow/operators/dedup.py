@@ -15,7 +15,6 @@ Spark plan (no pair join, no collect):
   5. left-semi join of the input with the kept ``ord`` values (unique keys).
 """
 
-from __future__ import annotations
 
 import math
 import random
@@ -27,6 +26,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from corpusflow.functions.keys import SHINGLE_HEX_DIGITS
 from corpusflow.functions.text import col_, sql_words, shingle_hashes, shingles
+from corpusflow.operators.parallel import spread
 
 # The hash family modulus (Mersenne prime 2**31 - 1), the
 # default permutation count, and the coefficient generator seed.
@@ -67,16 +67,50 @@ def _coeff_literal(coeffs):
                      for a, b in coeffs])
 
 
-def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs) -> DataFrame:
+def _minhash_udf(coeffs):
+    """Arrow-batched min-hash kernel: ARRAY<BIGINT> shingle hashes -> ARRAY<BIGINT> signature.
+
+    Per row, (h * a + b) mod PRIME is evaluated for all hash functions at once
+    as a numpy matrix (in blocks of 2048 hashes) and reduced with ``min``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    a = np.array([x for x, _ in coeffs], dtype=np.int64)
+    b = np.array([y for _, y in coeffs], dtype=np.int64)
+    empty = np.full(len(coeffs), PRIME, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def minhash(hashes: pd.Series) -> pd.Series:
+        out = []
+        for h in hashes:
+            if h is None or len(h) == 0:
+                out.append(empty)
+                continue
+            h = np.asarray(h, dtype=np.int64)
+            m = empty
+            for s in range(0, len(h), 2048):
+                m = np.minimum(m, ((h[s:s + 2048, None] * a + b) % PRIME).min(axis=0))
+            out.append(m)
+        return pd.Series(out)
+    return minhash
+
+
+def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str = "vectorized") -> DataFrame:
     """(ord, sig ARRAY<BIGINT>): per-row minimum of every hash function.
 
-    Shingle hashes are exploded and reduced by ``min`` per hash function in a
-    code-generated hash aggregate.  All exploded rows of one input row sit in
-    the same task, so the partial aggregate leaves one row per input row
-    before the shuffle.  The empty set maps to PRIME in every slot, so all
-    empty rows collide (as in the reference semantics).
+    Shingling and shingle hashing are native expressions.  The minimums are
+    computed either by the vectorized kernel inside the row (default: no
+    shuffle) or, with ``method="aggregate"``, by exploding the hashes into a
+    hash aggregate of ``min`` per function (one shuffle by ``ord``; partial
+    aggregation leaves one row per input row before it).  The empty set maps
+    to PRIME in every slot, so all empty rows collide.
     """
-    hs = df.select(F.col(ord_col), F.explode_outer(shingle_hashes(shingles(text, k))).alias("_h"))
+    base = spread(df.select(F.col(ord_col), col_(text).alias("_t")))
+    hashes = shingle_hashes(shingles("_t", k))
+    if method == "vectorized":
+        return base.select(F.col(ord_col), _minhash_udf(coeffs)(hashes).alias("sig"))
+    hs = base.select(F.col(ord_col), F.explode_outer(hashes).alias("_h"))
     mins = [F.coalesce(F.min((F.col("_h") * F.lit(a) + F.lit(b)) % F.lit(PRIME)), F.lit(PRIME)).alias(f"_m{i}")
             for i, (a, b) in enumerate(coeffs)]
     agg = hs.groupBy(ord_col).agg(*mins)
@@ -92,11 +126,11 @@ def band_keys(sig_df: DataFrame, ord_col: str, bands: int, rows: int) -> DataFra
 
 def kept_ords(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
               num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
-              params: tuple[int, int] | None = None) -> DataFrame:
+              params: tuple[int, int] | None = None, method: str = "vectorized") -> DataFrame:
     """Single-column DataFrame of the ``ord`` values that survive."""
     b, r = params or lsh_params(threshold, num_perm)
     coeffs = minhash_coefficients(b * r, seed)
-    keys = band_keys(signatures(df, ord_col, text, k, coeffs), ord_col, b, r)
+    keys = band_keys(signatures(df, ord_col, text, k, coeffs, method), ord_col, b, r)
     firsts = keys.groupBy("band", "key").agg(F.min(ord_col).alias("_first"))
     return (firsts.groupBy("_first").agg(F.count(F.lit(1)).alias("_nb"))
                   .where(F.col("_nb") == b)
@@ -105,7 +139,7 @@ def kept_ords(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int
 
 def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
                      num_perm: int = NUM_PERM, seed: int = COEFF_SEED, short: str = "first",
-                     params: tuple[int, int] | None = None) -> DataFrame:
+                     params: tuple[int, int] | None = None, method: str = "vectorized") -> DataFrame:
     """Rows of ``df`` that survive first-wins LSH dedup in ``ord_col`` order.
 
     ``ord_col`` must be unique (e.g. (file, line) folded into one BIGINT, or a
@@ -117,9 +151,9 @@ def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8,
     if short == "keep":
         nw = F.size(F.regexp_extract_all(F.coalesce(text_c, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0))
         long_rows = df.where(nw >= k)
-        kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params)
+        kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params, method)
         return df.join(kept, ord_col, "left_semi").unionByName(df.where(nw < k))
-    kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params)
+    kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params, method)
     return df.join(kept, ord_col, "left_semi")
 
 

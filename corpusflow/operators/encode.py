@@ -14,7 +14,6 @@ default tokenizer is whitespace with hashed ids, which a SQL engine can
 recompute; any other tokenizer plugs in as an Arrow-batched ``pandas_udf``.
 """
 
-from __future__ import annotations
 
 from typing import Callable
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.jsonx import parse_object_or_list
 from corpusflow.functions.text import col_
+from corpusflow.operators.parallel import spread
 
 PERSONA_ITEM = "struct<countries: array<string>, languages: array<string>, persona: string>"
 PROMPT_ITEM = "struct<prompt: string, language: string>"
@@ -97,7 +98,7 @@ def enrich(df: DataFrame, client_factory: Callable[[], Callable[[list], list]],
     """
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{k} {key_types[k]}" for k in key_cols] + ["raw string", "model string", "error string"])
-    inp = df.select(*key_cols, F.col(prompt_col).alias("_prompt"))
+    inp = spread(df.select(*key_cols, F.col(prompt_col).alias("_prompt")))
 
     def run(batches: Iterable[pd.DataFrame]):
         call = with_retry(client_factory(), attempts, wait_s)

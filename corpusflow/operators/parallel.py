@@ -1,0 +1,19 @@
+"""Parallelism guard for CPU-heavy row work.
+
+A scan yields one task per file split; a small file with one row group is a
+single task even on a large cluster.  Before row-local but expensive work
+(shingling + min-hashing, tokenising, model calls) ``spread`` makes sure
+there is at least one partition per core.  On large inputs, which already
+have many more splits than cores, it is a no-op and adds no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
