@@ -261,3 +261,21 @@ def explode_prompts_q(spark, sf):
     ex = explode_prompts(ok, "items", "doc_id", None)
     return ex.select("prompt_id", "doc_id", F.col("pos").cast("bigint").alias("pos"), "prompt", "language",
                      F.col("topic").alias("domain"), "style", "url")
+
+
+_EXPAND_CONTENT = ("(SELECT item_key, to_json(struct_pack(countries := [country], languages := [language], persona := persona)) AS content "
+                   f"FROM (SELECT CAST(doc_id AS VARCHAR) || '#' || CAST(pos AS VARCHAR) AS item_key, * FROM ({_PERSONAS_SQL})))")
+
+
+@query("expand_personas", f"""SELECT item_key AS parent_key, i AS pos, 'reader ' || substr(h, 9 + 4 * i, 4) AS persona
+FROM {sql_mock(_EXPAND_CONTENT, 'item_key')} m, range(0, 3) r(i) WHERE i < n AND mode <> 1""")
+def expand_personas(spark, sf):
+    """Stage 2 (persona -> persona): JSON-serialised persona prompt, model call, explode; keys are row keys."""
+    pr = P.persona_prompts(table(spark, sf, "documents"), "doc_id", "text")
+    ok, _ = split_parsed(P.enrich_personas(pr, "doc_id"), "items")
+    first = explode_items(ok, "items", "doc_id").select(F.col("item_key").alias("parent_key"), "item")
+    prompted = P.expand_prompts(first, "parent_key", "item")
+    out = P.enrich_personas(prompted, "parent_key")
+    ok2, _ = split_parsed(out, "items")
+    ex = explode_items(ok2, "items", "parent_key")
+    return ex.select("parent_key", F.col("pos").cast("bigint").alias("pos"), F.col("item.persona").alias("persona"))

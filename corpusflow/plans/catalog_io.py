@@ -28,3 +28,13 @@ def csv_to_json_records(spark, sf):
     out = new_scratch_dir(spark, "csv")
     table(spark, sf, "nation").write.mode("overwrite").option("header", True).csv(out)
     return read_csv_records(spark, out)
+
+
+@query("jsonl_lines", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS line FROM nation")
+def jsonl_lines(spark, sf):
+    """Line index inside a JSON-lines file (written in key order as one file: a 25-row dimension)."""
+    out = new_scratch_dir(spark, "jsonl-lines")
+    n = table(spark, sf, "nation")
+    n.coalesce(1).sortWithinPartitions("n_nationkey").write.mode("overwrite").json(out)
+    back = read_jsonl(spark, out, "n_nationkey int, n_name string, n_regionkey int", with_position=True, glob="*.json")
+    return back.select("n_nationkey", "n_name", "line")

@@ -148,3 +148,13 @@ def split_route(spark, sf):
     out = MX.mix(load_part(spark, sf), {k: 0.5 for k in LANGS}, splits=("test_dev",), columns_to_keep=["doc_id", "lang"],
                  order_col="doc_id")
     return out["test"].select("doc_id", "lang")
+
+
+@query("mix_saved", f"SELECT id, doc_id, lang FROM {_train_sql(COUNTS, True)}")
+def mix_saved(spark, sf):
+    """Mixed splits saved as JSON (ids included), read back."""
+    from corpusflow.session import new_scratch_dir
+    out_dir = new_scratch_dir(spark, "mix-save")
+    MX.mix(load_part(spark, sf), COUNTS, splits=("train",), columns_to_keep=["doc_id", "lang"], order_col="doc_id",
+           save_dir=out_dir)
+    return spark.read.schema("id string, doc_id bigint, lang string").json(f"{out_dir}/mixed_ds_train")

@@ -97,3 +97,34 @@ def enrich_instructions(prompted: DataFrame, key_cols: list[str], client_factory
 def valid_instructions(enriched: DataFrame):
     """All prompts of a row must carry text, else the whole row is rejected."""
     return split_parsed(enriched, "items", require=["prompt"])
+
+
+def expand_prompts(personas: DataFrame, key_col: str, persona_col: str, model_col: str | None = None,
+                   system: str = prompts.EXPAND_SYSTEM) -> DataFrame:
+    """Stage 2 prompt: the persona serialised as JSON (P9), prompt shape by model."""
+    user = prompts.persona_json(F.col(persona_col))
+    msgs = (prompts.routed(F.col(model_col), ONE_ROLE_MODELS, F.lit(system), user) if model_col
+            else prompts.two_role(F.lit(system), user))
+    return personas.select(F.col(key_col), msgs.alias("prompt"))
+
+
+def persona_job(spark: SparkSession, pages: DataFrame, id_col: str, text_col: str, out_dir: str,
+                ledger_path: str, batch_id: int, client_factory=None, run: str = "batch") -> DataFrame:
+    """Stage 1 as one batch job: writes rows, rejects and ledger keys of batch ``batch_id``.
+
+    The enriched frame is written once (one model call per row), then split.
+    Re-running the same batch id overwrites its own outputs.
+    """
+    from corpusflow.operators.expand import explode_items
+    from corpusflow.sources.ledger import append_ledger, read_ledger
+    ledger = read_ledger(spark, ledger_path, "persona", exclude=(run, batch_id))
+    enriched_path = f"{out_dir}/enriched/run={run}/batch_id={batch_id}"
+    enrich_personas(persona_prompts(pages, id_col, text_col, ledger), id_col, client_factory) \
+        .write.mode("overwrite").parquet(enriched_path)
+    enriched = spark.read.parquet(enriched_path)
+    ok, rejects = split_parsed(enriched, "items")
+    rows = explode_items(ok, "items", id_col)
+    rows.write.mode("overwrite").parquet(f"{out_dir}/rows/run={run}/batch_id={batch_id}")
+    rejects.drop("items").write.mode("overwrite").parquet(f"{out_dir}/rejects/run={run}/batch_id={batch_id}")
+    append_ledger(ok.select(F.col(id_col).alias("key")), ledger_path, "persona", batch_id, run=run)
+    return spark.read.parquet(f"{out_dir}/rows/run={run}/batch_id={batch_id}")

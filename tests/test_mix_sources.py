@@ -66,3 +66,25 @@ def test_ledger_absent_string_keys_and_replay(spark, tmp_path):
     assert sorted(r.key for r in read_ledger(spark, path, "op").collect()) == ["1", "3"]
     assert [r.id for r in exclude_processed(df, read_ledger(spark, path, "op"), "id").collect()] == [2]
     assert sorted(r.key for r in read_ledger(spark, path, "op", exclude=("0", 1)).collect()) == ["1"]
+
+
+def test_required_columns(spark):
+    from corpusflow.operators.filters import require_columns
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    require_columns(df, ["a"])
+    with pytest.raises(ValueError):
+        require_columns(df, ["a", "messages"])
+
+
+def test_persona_job_resumes(spark, tmp_path):
+    from corpusflow.plans.personas import persona_job
+    pages = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(120))) for i in range(30)] + [(99, "short")],
+                                  "id bigint, text string")
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    first = persona_job(spark, pages, "id", "text", out, ledger, 0)
+    n_ok = read_ledger(spark, ledger, "persona").count()
+    assert first.count() > 0 and 0 < n_ok <= 30
+    again = persona_job(spark, pages, "id", "text", out, ledger, 1)      # next batch: only unparsed keys retried
+    assert again.select("id").distinct().count() == 0
+    replay = persona_job(spark, pages, "id", "text", out, ledger, 0)     # replay of batch 0 rewrites itself
+    assert replay.count() == first.count()
