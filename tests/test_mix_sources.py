@@ -81,10 +81,10 @@ def test_persona_job_resumes(spark, tmp_path):
     pages = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(120))) for i in range(30)] + [(99, "short")],
                                   "id bigint, text string")
     out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
-    first = persona_job(spark, pages, "id", "text", out, ledger, 0)
+    n_first = persona_job(spark, pages, "id", "text", out, ledger, 0).count()
     n_ok = read_ledger(spark, ledger, "persona").count()
-    assert first.count() > 0 and 0 < n_ok <= 30
+    assert n_first > 0 and 0 < n_ok <= 30
     again = persona_job(spark, pages, "id", "text", out, ledger, 1)      # next batch: only unparsed keys retried
     assert again.select("id").distinct().count() == 0
     replay = persona_job(spark, pages, "id", "text", out, ledger, 0)     # replay of batch 0 rewrites itself
-    assert replay.count() == first.count()
+    assert replay.count() == n_first
