@@ -58,8 +58,15 @@ def word_ngrams(word_arr: Column, k: int = 3) -> Column:
 
 
 def shingles(text, k: int = 3) -> Column:
-    """Distinct lower-cased word k-shingles of ``text``."""
-    return F.array_distinct(word_ngrams(words(F.lower(col_(text))), k))
+    """Distinct lower-cased word k-shingles of ``text`` (first-occurrence order).
+
+    Whitespace runs become single spaces, then one native regex captures every
+    k-word window with a zero-width lookahead anchored at word starts.  This
+    equals ``word_ngrams(words(lower(text)), k)`` without per-window lambdas.
+    """
+    norm = F.trim(F.regexp_replace(F.lower(col_(text)), r"(?U)[\s\x1c-\x1f]+", " "))
+    window = " ".join(["[^ ]+"] * k)
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(norm, F.lit("")), F.lit(f"(?<![^ ])(?=({window}))"), 1))
 
 
 def shingle_hashes(shingle_arr: Column) -> Column:

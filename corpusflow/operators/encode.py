@@ -89,6 +89,40 @@ def encode(df: DataFrame, messages: str = "messages", max_len: int | None = None
              .drop("_ids", "_z"))
 
 
+def encode_turns(turns: DataFrame, max_len: int, group_col: str = "conv_id", order_col: str = "turn",
+                 role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Scale form of :func:`encode` for one-row-per-turn input (same output).
+
+    Each turn is tokenised where it sits; its token offset (W2) and the
+    previous role (W5) come from windows over the conversation's turns, which
+    sort rows (spill-safe) instead of building one array.  Only the tokens
+    below ``max_len`` are then gathered, so every collected array is bounded
+    by ``max_len`` however long a conversation is.
+    """
+    w = Window.partitionBy(group_col).orderBy(order_col)
+    t = turns.select(group_col, order_col, F.col(role_col).alias("_r"),
+                     F.transform(words(message_text(F.col(role_col), F.col(text_col))), token_id).alias("_ids"))
+    t = (t.withColumn("_p", F.lag("_r").over(w))
+          .withColumn("_first", F.row_number().over(w) == 1)
+          .withColumn("_off", 1 + F.coalesce(F.sum(F.size("_ids")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    t = t.where(F.col("_off") < max_len)
+    keep = F.least(F.size("_ids"), F.lit(max_len) - F.col("_off"))
+    ids = F.slice("_ids", 1, keep)
+    lab = F.transform(ids, lambda x, j: F.when((F.col("_r") != "assistant") | (
+        (j == 0) & F.col("_p").isNotNull() & (F.col("_p") != "assistant")), F.lit(IGNORE)).otherwise(x))
+    bos = token_id(F.lit(BOS))
+    bos_lab = F.when(F.col("_r") == "assistant", bos).otherwise(F.lit(IGNORE))
+    pieces = t.select(group_col, order_col, ids.alias("_ids"), lab.alias("_lab"),
+                      F.when(F.col("_first"), bos_lab).alias("_bl"))
+    agg = pieces.groupBy(group_col).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), "_ids", "_lab"))).alias("_parts"),
+        F.max("_bl").alias("_bl"))
+    all_ids = F.slice(F.concat(F.array(bos), F.flatten(F.transform("_parts", lambda p: p["_ids"]))), 1, max_len)
+    all_lab = F.slice(F.concat(F.array(F.col("_bl")), F.flatten(F.transform("_parts", lambda p: p["_lab"]))), 1, max_len)
+    return (agg.select(group_col, all_ids.alias("input_ids"), all_lab.alias("labels"))
+               .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))))
+
+
 def trainable_only(df: DataFrame, labels: str = "labels") -> DataFrame:
     """F8: rows with at least one label that is not -100."""
     return df.where(F.exists(F.col(labels), lambda x: x != F.lit(IGNORE)))

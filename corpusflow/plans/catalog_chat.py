@@ -146,8 +146,8 @@ def role_alternation(spark, sf):
 
 
 def encoded(spark, sf, max_len=MAX_LEN):
-    msgs = M.collect_turns(table(spark, sf, "conversations"))
-    return enc.encode(msgs, "messages", max_len)
+    """Encoded examples from the turn table (scale form: arrays bounded by max_len)."""
+    return enc.encode_turns(table(spark, sf, "conversations"), max_len)
 
 
 _WORD_RE = sql_words("x")[len("regexp_extract_all(coalesce(x, ''), "):-1]

@@ -110,3 +110,12 @@ def test_step_window_mean_drops_partial_block(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(25)], "step bigint, loss double")
     got = [tuple(r) for r in enc.step_window_mean(df, "step", "loss", 10).orderBy("block").collect()]
     assert got == [(0, 10, 4.5), (1, 20, 14.5)]
+
+
+@pytest.mark.parametrize("max_len", [3, 40, 256])
+def test_turn_level_encode_equals_message_encode(spark, max_len):
+    turns = spark.read.parquet(f"{SF0001}/conversations.parquet")
+    a = {r.conv_id: (r.input_ids, r.labels, r.attention_mask)
+         for r in enc.encode(M.collect_turns(turns), "messages", max_len).collect()}
+    b = {r.conv_id: (r.input_ids, r.labels, r.attention_mask) for r in enc.encode_turns(turns, max_len).collect()}
+    assert a == b
