@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import col_, n_words
+from corpusflow.operators.parallel import bounded_broadcast
 
 
 def min_words(df: DataFrame, text: str = "text", n: int = 100) -> DataFrame:
@@ -28,13 +29,13 @@ def first_turn_in(turns: DataFrame, group_col: str, order_col: str, attr: str,
                   allowed: DataFrame, allowed_col: str = "value") -> DataFrame:
     """Groups whose first-turn ``attr``, lower-cased, is in ``allowed``.
 
-    ``allowed`` is a vocabulary (a few hundred values at most: country or
-    language lists), so it is broadcast; NULL attributes never match.
+    ``allowed`` is a vocabulary (country or language lists); it is broadcast
+    after a size check.  NULL attributes never match.
     """
     firsts = first_turn_attribute(turns, group_col, order_col, attr)
-    vocab = allowed.select(F.lower(F.col(allowed_col)).alias("_v")).distinct()
+    vocab = bounded_broadcast(allowed.select(F.lower(F.col(allowed_col)).alias("_v")).distinct())
     return (firsts.withColumn("_v", F.lower(F.col("first_value")))
-                  .join(F.broadcast(vocab), "_v", "left_semi")
+                  .join(vocab, "_v", "left_semi")
                   .drop("_v"))
 
 

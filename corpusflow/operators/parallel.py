@@ -17,3 +17,15 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint only after checking that ``df`` has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame
+    is returned unhinted and the join strategy is left to AQE's runtime sizes.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        from pyspark.sql import functions as F
+        return F.broadcast(df)
+    return df

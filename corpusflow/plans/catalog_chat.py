@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import sql_keyed_hash
-from corpusflow.functions.text import sql_words
+from corpusflow.functions.text import sql_words, words
 from corpusflow.operators import encode as enc
 from corpusflow.operators import messages as M
 from corpusflow.operators.encode import IGNORE
@@ -196,17 +196,15 @@ def trainable_filter(spark, sf):
 SELECT conv_id, mi - 1 AS msg_idx, role, len(toks) AS n_tokens, off AS start,
   (role = 'assistant' AND prev IS NOT NULL AND prev <> 'assistant') AS header_masked FROM o""")
 def mask_spans(spark, sf):
-    """Token offset of each message (running sum) and the look-ahead header mask."""
-    msgs = M.collect_turns(table(spark, sf, "conversations"))
-    ids = msgs.select("conv_id", F.posexplode(F.arrays_zip(
-        F.transform("messages", lambda x: x["role"]).alias("role"),
-        enc.message_token_ids("messages").alias("ids"))).alias("msg_idx", "z"))
-    w = Window.partitionBy("conv_id").orderBy("msg_idx")
-    d = ids.select("conv_id", F.col("msg_idx").cast("bigint").alias("msg_idx"), F.col("z.role").alias("role"),
-                   F.size("z.ids").alias("n_tokens"))
-    d = d.withColumn("start", (1 + F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("bigint"))
+    """Token offset of each message (running sum) and the look-ahead header mask, per turn row."""
+    t = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    d = t.select("conv_id", "turn", "role", F.size(words(M.message_text(F.col("role"), F.col("text")))).alias("n_tokens"))
     prev = F.lag("role").over(w)
-    return d.withColumn("header_masked", (F.col("role") == "assistant") & prev.isNotNull() & (prev != "assistant"))
+    return d.select(
+        "conv_id", (F.row_number().over(w) - 1).cast("bigint").alias("msg_idx"), "role", "n_tokens",
+        (1 + F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("bigint").alias("start"),
+        ((F.col("role") == "assistant") & prev.isNotNull() & (prev != "assistant")).alias("header_masked"))
 
 
 def trainable_examples(spark, sf):

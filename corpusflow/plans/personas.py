@@ -69,8 +69,10 @@ def assign_choices(personas: DataFrame, id_col: str, spark: SparkSession, topics
          .withColumn("_si", keyed_choice(len(STYLES), seed, "style", F.col(id_col)))
          .withColumn("_ti", keyed_choice(n_topics, seed, "topic", F.col(id_col)))
          .withColumn("_pi", keyed_choice(n_seeds, seed, "seed", F.col(id_col))))
+    # Closed vocabularies built from driver lists: bounded by construction.
     lang = F.broadcast(dimension(spark, LANGUAGES, "language")).withColumnRenamed("idx", "_li")
     sty = F.broadcast(dimension(spark, STYLES, "style")).withColumnRenamed("idx", "_si")
+    # topics/seeds were size-checked by `indexed` (<= MAX_DIMENSION_ROWS rows).
     return (p.join(lang, "_li").join(sty, "_si")
              .join(F.broadcast(topics_i.withColumnRenamed("idx", "_ti")), "_ti")
              .join(F.broadcast(seeds_i.withColumnRenamed("idx", "_pi")), "_pi")
