@@ -18,6 +18,8 @@ SPACE_CLASS_RE2 = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 WORD_PATTERN_RE2 = "[^" + SPACE_CLASS_RE2 + "]+"
 TRIM_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_SP = r"[\s\x1c-\x1f]"
+_WD = r"[^\s\x1c-\x1f]"
 
 
 def col_(c) -> Column:
@@ -30,12 +32,24 @@ def words(text) -> Column:
 
 
 def n_words(text) -> Column:
-    return F.size(words(text))
+    """Number of words (counted by the regex engine, no array is built)."""
+    return F.regexp_count(F.coalesce(col_(text), F.lit("")), F.lit(WORD_PATTERN))
+
+
+def more_words_than(text, n: int) -> Column:
+    """``n_words(text) > n``, decided after at most n + 1 words."""
+    return F.coalesce(col_(text), F.lit("")).rlike(rf"(?U)^{_SP}*(?:{_WD}+{_SP}+){{{n}}}{_WD}")
 
 
 def first_n_words(text, n: int = 200) -> Column:
-    """First ``n`` words re-joined by single spaces."""
-    return F.array_join(F.slice(words(text), 1, n), " ")
+    """First ``n`` words re-joined by single spaces.
+
+    One anchored regex captures the leading ``n`` words and stops there, so a
+    long document is not split in full to keep its head.
+    """
+    head = F.regexp_extract(F.coalesce(col_(text), F.lit("")),
+                            rf"(?U)^{_SP}*((?:{_WD}+{_SP}+){{0,{n - 1}}}{_WD}+)", 1)
+    return F.regexp_replace(head, rf"(?U){_SP}+", " ")
 
 
 def strip_ws(text) -> Column:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import col_, n_words
-from corpusflow.operators.parallel import bounded_broadcast
+from corpusflow.functions.text import col_, more_words_than, n_words
+from corpusflow.operators.parallel import bounded_broadcast, spread
 
 
 def min_words(df: DataFrame, text: str = "text", n: int = 100) -> DataFrame:
-    """keep rows with strictly more than ``n`` words; NULL/empty text drops."""
-    return df.where(n_words(text) > n)
+    """keep rows with strictly more than ``n`` words; NULL/empty text drops.
+
+    The test stops after n + 1 words; the input is spread over the cores first
+    when it arrives in fewer partitions than there are cores.
+    """
+    return spread(df).where(more_words_than(text, n))
 
 
 def equals(df: DataFrame, column: str, value) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import sql_keyed_hash
 from corpusflow.functions.text import n_words, sql_words
+from corpusflow.operators import filters
 from corpusflow.operators import mix as MX
 from corpusflow.operators import sampling as S
 from corpusflow.plans.catalog_text import seed_prompts
@@ -29,7 +30,7 @@ def shuffle_rank(spark, sf):
   WHERE len({sql_words('text')}) > 100)""")
 def batch_assign(spark, sf):
     """Long pages in shuffled order cut into batches of 10."""
-    d = table(spark, sf, "documents").where(n_words("text") > 100).select("doc_id")
+    d = filters.min_words(table(spark, sf, "documents"), "text", 100).select("doc_id")
     return S.assign_batches(d, "doc_id", 10).select("doc_id", "pos", "batch_id")
 
 

@@ -39,8 +39,8 @@ def min_words(spark, sf):
 def first_n_words_q(spark, sf):
     """First 200 words re-joined with single spaces."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.md5(first_n_words("text", 200)).alias("head_md5"),
-                    F.size(F.slice(words("text"), 1, 200)).alias("head_words"))
+    head = first_n_words("text", 200)
+    return d.select("doc_id", F.md5(head).alias("head_md5"), n_words(head).alias("head_words"))
 
 
 @query("lower_md5", f"SELECT doc_id, md5(lower({sql_strip('text')})) AS norm_md5 FROM documents")
