@@ -86,6 +86,27 @@ def with_retry(call: Callable[[list], list], attempts: int = 3, wait_s: float =
     return wrapped
 
 
+class RateLimiter:
+    """E5: at most one call per ``min_interval_s`` (per task); thread-safe."""
+
+    def __init__(self, min_interval_s: float = 0.0):
+        import threading
+        self.min_interval_s = min_interval_s
+        self._last = None
+        self._lock = threading.Lock()
+
+    def wait(self) -> None:
+        if not self.min_interval_s:
+            return
+        with self._lock:
+            now = time.monotonic()
+            if self._last is not None:
+                gap = self.min_interval_s - (now - self._last)
+                if gap > 0:
+                    time.sleep(gap)
+            self._last = time.monotonic()
+
+
 def enrich(df: DataFrame, client_factory: Callable[[], Callable[[list], list]], prompt_col: str,
            key_cols: list[str], attempts: int = 3, wait_s: float = 0.0, batch_size: int = 64,
            concurrency: int = 1, min_interval_s: float = 0.0) -> DataFrame:
@@ -102,14 +123,10 @@ def enrich(df: DataFrame, client_factory: Callable[[], Callable[[list], list]],
 
     def run(batches: Iterable[pd.DataFrame]):
         call = with_retry(client_factory(), attempts, wait_s)
-        last_call = [0.0]
+        limiter = RateLimiter(min_interval_s)
 
         def one(chunk: list):
-            if min_interval_s:
-                gap = min_interval_s - (time.monotonic() - last_call[0])
-                if gap > 0:
-                    time.sleep(gap)
-                last_call[0] = time.monotonic()
+            limiter.wait()
             try:
                 return [(r, m, None) for r, m in call(chunk)]
             except Exception as e:  # noqa: BLE001

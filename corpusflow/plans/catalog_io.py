@@ -38,3 +38,22 @@ def jsonl_lines(spark, sf):
     n.coalesce(1).sortWithinPartitions("n_nationkey").write.mode("overwrite").json(out)
     back = read_jsonl(spark, out, "n_nationkey int, n_name string, n_regionkey int", with_position=True, glob="*.json")
     return back.select("n_nationkey", "n_name", "line")
+
+
+@query("persona_dedup_files", __import__("corpusflow.plans.registry", fromlist=["REGISTRY"]).REGISTRY["lsh_dedup"][1])
+def persona_dedup_files(spark, sf):
+    """Stage 3 end to end: JSON-lines persona files (strings and objects) -> ordered first-wins dedup -> output folder."""
+    from corpusflow.functions.keys import keyed_choice
+    from corpusflow.plans.dedup_job import dedup_persona_files
+    src, out = new_scratch_dir(spark, "persona-files"), new_scratch_dir(spark, "persona-dedup")
+    d = table(spark, sf, "documents")
+    as_object = F.to_json(F.struct(F.col("text").alias("persona"), F.array("lang").alias("languages")))
+    as_string = F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
+    persona = F.when(keyed_choice(2, 42, "shape", F.col("doc_id")) == 0, as_object).otherwise(as_string)
+    rows = d.select(F.col("doc_id").cast("string").alias("id"), F.parse_json(persona).alias("persona"),
+                    F.lit("mock-model").alias("model"), "lang")
+    rows.repartitionByRange(3, F.col("doc_id").cast("bigint")).sortWithinPartitions(F.col("id").cast("bigint")) \
+        .write.mode("overwrite").json(src)
+    kept = dedup_persona_files(spark, src, out, glob="*.json")
+    back = spark.read.schema("id string, lang string, shingles array<string>").json(out)
+    return back.select(F.split("id", "#")[0].cast("bigint").alias("doc_id"), "lang")
