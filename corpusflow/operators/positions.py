@@ -31,7 +31,10 @@ def exact_positions(df: DataFrame, order_key: str, tiebreak: str | list[str],
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     bits = max(0, min(key_bits, int(math.log2(buckets))))
     shift = key_bits - bits
-    d = df.withColumn("_bkt", F.shiftrightunsigned(F.col(order_key), shift))
+    # A non-nullable bucket keeps the optimizer from inferring an IS NOT NULL
+    # filter on one branch only, so both uses of `df` stay identical and the
+    # scan/shuffle below them is computed once (ReusedExchange).
+    d = df.withColumn("_bkt", F.shiftrightunsigned(F.coalesce(F.col(order_key), F.lit(0).cast("bigint")), shift))
     counts = d.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*pcols, "_bkt",
