@@ -25,11 +25,12 @@ MAX_DIMENSION_ROWS = 100_000
 
 
 def persona_prompts(pages: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None,
-                    min_words: int = 100, head_words: int = 200, system: str = prompts.PERSONA_SYSTEM) -> DataFrame:
+                    min_words: int = 100, head_words: int = 200, system: str = prompts.PERSONA_SYSTEM,
+                    small_input_rows: int | None = None) -> DataFrame:
     """Stage 1 up to the model call: (id, prompt messages)."""
     d = filters.min_words(pages, text_col, min_words)
     if ledger is not None:
-        d = exclude_processed(d, ledger, id_col)
+        d = exclude_processed(d, ledger, id_col, small_input_rows)
     return d.select(F.col(id_col), prompts.two_role(F.lit(system), first_n_words(text_col, head_words)).alias("prompt"))
 
 

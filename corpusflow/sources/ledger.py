@@ -44,11 +44,21 @@ def read_ledger(spark: SparkSession, path: str, op: str | None = None,
     return df.select("key")
 
 
-def exclude_processed(df: DataFrame, ledger: DataFrame, key) -> DataFrame:
-    """Rows whose key (as a string) is not in the ledger."""
+def exclude_processed(df: DataFrame, ledger: DataFrame, key, small_input_rows: int | None = None) -> DataFrame:
+    """Rows whose key (as a string) is not in the ledger.
+
+    ``small_input_rows``: for a bounded input (a micro-batch), first probe the
+    ledger with the input's keys (size-checked broadcast, so the ledger is
+    scanned, not shuffled), then anti-join the few matches.
+    """
     key_c = F.col(key) if isinstance(key, str) else key
     keyed = df.withColumn("_lkey", key_c.cast("string"))
-    return keyed.join(ledger.select(F.col("key").alias("_lkey")), "_lkey", "left_anti").drop("_lkey")
+    led = ledger.select(F.col("key").alias("_lkey"))
+    if small_input_rows:
+        from corpusflow.operators.parallel import bounded_broadcast
+        probe = bounded_broadcast(keyed.select("_lkey").distinct(), small_input_rows)
+        led = led.join(probe, "_lkey", "left_semi")
+    return keyed.join(led, "_lkey", "left_anti").drop("_lkey")
 
 
 def append_ledger(keys: DataFrame, path: str, op: str, batch_id: int, key_col: str = "key",

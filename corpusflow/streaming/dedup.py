@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.dedup import COEFF_SEED, NUM_PERM, band_keys, lsh_params, minhash_coefficients, signatures
+from corpusflow.operators.parallel import bounded_broadcast
 from corpusflow.streaming.landing import run_available
 
+# Band keys of one micro-batch that may be broadcast (9 per row); bound the
+# batch with maxFilesPerTrigger / maxBytesPerTrigger to stay under it.
+MAX_BATCH_KEYS = 5_000_000
+
 
 def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path: str, out_path: str,
                    threshold: float = 0.8, k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED):
@@ -29,7 +34,11 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
             try:
                 seen = (spark.read.parquet(seen_path).where(F.col("batch_id") != batch_id)
                         .select("band", "key"))
-                new = bfirst.join(seen, ["band", "key"], "left_anti")
+                # The state table only streams through a probe of this batch's
+                # keys (size-checked broadcast); it is never shuffled.
+                probe = bounded_broadcast(bfirst.select("band", "key"), MAX_BATCH_KEYS)
+                owned = seen.join(probe, ["band", "key"], "left_semi")
+                new = bfirst.join(owned, ["band", "key"], "left_anti")
             except Exception as e:  # noqa: BLE001 - no state yet
                 if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                     raise

@@ -19,12 +19,14 @@ from corpusflow.plans import personas as P
 from corpusflow.sources.ledger import append_ledger, read_ledger
 from corpusflow.streaming.landing import run_available
 
+MAX_BATCH_ROWS = 5_000_000   # micro-batch keys that may be broadcast against the ledger
+
 
 def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path: str, out_path: str,
                     run: str, op: str = "persona", client_factory=None):
     def fn(batch: DataFrame, batch_id: int) -> None:
         ledger = read_ledger(spark, ledger_path, op, exclude=(run, batch_id))
-        prompted = P.persona_prompts(batch, id_col, text_col, ledger)
+        prompted = P.persona_prompts(batch, id_col, text_col, ledger, small_input_rows=MAX_BATCH_ROWS)
         enriched = P.enrich_personas(prompted, id_col, client_factory).persist()  # one model call per row
         try:
             ok, rejects = split_parsed(enriched, "items")
