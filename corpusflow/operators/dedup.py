@@ -16,13 +16,11 @@ Spark plan (no pair join, no collect):
 """
 
 
-import math
 import random
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from corpusflow.functions.keys import SHINGLE_HEX_DIGITS
 from corpusflow.functions.text import col_, sql_words, shingle_hashes, shingles

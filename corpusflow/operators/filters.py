@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import col_, more_words_than, n_words
+from corpusflow.functions.text import more_words_than
 from corpusflow.operators.parallel import bounded_broadcast, spread
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.plans.registry import query, table
+from corpusflow.plans import catalog_text  # noqa: F401  (registers lsh_dedup, whose SQL twin is reused)
+from corpusflow.plans.registry import REGISTRY, query, table
 from corpusflow.session import new_scratch_dir
 from corpusflow.sources.jsonl import read_csv_records, read_jsonl, write_jsonl
 
@@ -40,7 +41,7 @@ def jsonl_lines(spark, sf):
     return back.select("n_nationkey", "n_name", "line")
 
 
-@query("persona_dedup_files", __import__("corpusflow.plans.registry", fromlist=["REGISTRY"]).REGISTRY["lsh_dedup"][1])
+@query("persona_dedup_files", REGISTRY["lsh_dedup"][1])
 def persona_dedup_files(spark, sf):
     """Stage 3 end to end: JSON-lines persona files (strings and objects) -> ordered first-wins dedup -> output folder."""
     from corpusflow.functions.keys import keyed_choice

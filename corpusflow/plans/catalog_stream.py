@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusflow.plans.catalog_chat import step_window_mean
+from corpusflow.plans import catalog_chat  # noqa: F401  (registers step_window_mean)
 from corpusflow.plans.catalog_enrich import _PERSONAS_SQL
-from corpusflow.plans.catalog_text import lsh_dedup
+from corpusflow.plans import catalog_text  # noqa: F401  (registers lsh_dedup)
 from corpusflow.plans.registry import REGISTRY, query, table
 from corpusflow.session import new_scratch_dir
 from corpusflow.streaming.dedup import stream_dedup as _stream_dedup

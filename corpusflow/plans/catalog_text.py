@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import keyed_choice, sql_keyed_hash
-from corpusflow.functions.text import (WORD_PATTERN_RE2, SPACE_CLASS_RE2, first_n_words, n_words, shingles,
-                                       sql_words, strip_ws, words)
+from corpusflow.functions.text import SPACE_CLASS_RE2, first_n_words, n_words, shingles, sql_words, strip_ws
 from corpusflow.operators import dedup, filters
 from corpusflow.operators.parallel import bounded_broadcast
 from corpusflow.operators.dedup import (band_keys, lsh_params, minhash_coefficients, signatures,

@@ -28,9 +28,12 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        keys = band_keys(signatures(batch, ord_col, text_col, k, coeffs), ord_col, b, r)
+        # One row per (band, key) of this micro-batch: small, reused by the
+        # size check, the state probe and both writes, so it is cached once.
+        bfirst = keys.groupBy("band", "key").agg(F.min(ord_col).alias("first")).persist()
+        new = None
         try:
-            keys = band_keys(signatures(batch, ord_col, text_col, k, coeffs), ord_col, b, r)
-            bfirst = keys.groupBy("band", "key").agg(F.min(ord_col).alias("first"))
             try:
                 seen = (spark.read.parquet(seen_path).where(F.col("batch_id") != batch_id)
                         .select("band", "key"))
@@ -50,8 +53,10 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
                   .parquet(f"{out_path}/batch_id={batch_id}"))
             (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(seen_path))
-            new.unpersist()
         finally:
+            if new is not None:
+                new.unpersist()
+            bfirst.unpersist()
             batch.unpersist()
     return fn
 

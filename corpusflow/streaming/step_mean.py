@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.streaming.landing import run_available
 
 
 def stream_step_mean(spark: SparkSession, source_path: str, schema, step_col: str, value_col: str, every: int,
