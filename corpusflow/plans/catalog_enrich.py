@@ -177,9 +177,9 @@ def json_rejects(spark, sf):
 
 
 _PT_SQL = """SELECT event_id, CASE event_type WHEN 'view' THEN 'viewer ' || k WHEN 'click' THEN 'clicker ' || k
-  WHEN 'error' THEN CASE WHEN user_id % 2 = 1 THEN '' END END AS persona
+  WHEN 'error' THEN '' END AS persona
 FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)
-WHERE event_type IN ('view', 'click') OR (event_type = 'error' AND user_id % 2 = 1)"""
+WHERE event_type IN ('view', 'click') OR (event_type = 'error' AND value >= 10)"""
 
 
 @query("persona_text", _PT_SQL)
@@ -192,7 +192,7 @@ def persona_text_q(spark, sf):
            .when(e == "click", F.concat(F.lit('"clicker '), k, F.lit('"')))
            .when(e == "signup", F.concat(F.lit('{"persona": '), k, F.lit("}")))
            .when(e == "purchase", F.concat(F.lit("["), F.col("props"), F.lit("]")))
-           .otherwise(F.when(F.col("user_id") % 2 == 0, F.lit('""')).otherwise(F.lit('{"persona": ""}'))))
+           .otherwise(F.when(F.col("value") < 10, F.lit('""')).otherwise(F.lit('{"persona": ""}'))))
     v = ev.select("event_id", F.parse_json(js).alias("v"))
     return v.select("event_id", persona_text("v").alias("persona")).where(F.col("persona").isNotNull())
 
