@@ -116,9 +116,13 @@ def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str =
 
 
 def band_keys(sig_df: DataFrame, ord_col: str, bands: int, rows: int) -> DataFrame:
-    """(ord, band, key): one exact key (ARRAY of ``rows`` minimums) per band."""
+    """(ord, band, key): one exact key (ARRAY<INT> of ``rows`` minimums) per band.
+
+    Every minimum is at most PRIME = 2**31 - 1 = INT_MAX, so the keys are
+    stored as 32-bit ints: exact, and half the bytes in the band shuffle.
+    """
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
-                       lambda i: F.slice(F.col("sig"), i * rows + 1, rows))
+                       lambda i: F.slice(F.col("sig"), i * rows + 1, rows).cast("array<int>"))
     return sig_df.select(F.col(ord_col), F.posexplode(keys).alias("band", "key"))
 
 
