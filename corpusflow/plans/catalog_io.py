@@ -58,3 +58,16 @@ def persona_dedup_files(spark, sf):
     kept = dedup_persona_files(spark, src, out, glob="*.json")
     back = spark.read.schema("id string, lang string, shingles array<string>").json(out)
     return back.select(F.split("id", "#")[0].cast("bigint").alias("doc_id"), "lang")
+
+
+@query("scan_lang_partitioned", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'")
+def scan_lang_partitioned(spark, sf):
+    """Language as a partition directory; the scan reads only lang=fr (partition pruning)."""
+    from corpusflow.sources.tables import scan_partition
+    out = new_scratch_dir(spark, "by-lang")
+    table(spark, sf, "documents").select("doc_id", "n_chars", "lang").write.mode("overwrite").partitionBy("lang").parquet(out)
+    df = scan_partition(spark, out, "lang", "fr").select("doc_id", "lang", "n_chars")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "PartitionFilters: [isnotnull(lang" not in plan:
+        raise AssertionError("expected partition pruning on lang")
+    return df

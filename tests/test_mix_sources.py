@@ -88,3 +88,14 @@ def test_persona_job_resumes(spark, tmp_path):
     assert again.select("id").distinct().count() == 0
     replay = persona_job(spark, pages, "id", "text", out, ledger, 0)     # replay of batch 0 rewrites itself
     assert replay.count() == n_first
+
+
+def test_read_any_dispatch(spark, tmp_path):
+    from corpusflow.sources.tables import read_any
+    df = spark.createDataFrame([(1, "a,b"), (2, "c")], "k int, v string")
+    df.write.json(str(tmp_path / "x.jsonl"))
+    df.write.option("header", True).csv(str(tmp_path / "x.csv"))
+    df.write.parquet(str(tmp_path / "saved"))
+    assert sorted(tuple(r) for r in read_any(spark, str(tmp_path / "x.jsonl"), "k int, v string").collect()) == [(1, "a,b"), (2, "c")]
+    assert sorted(r.v for r in read_any(spark, str(tmp_path / "x.csv")).collect()) == ["a,b", "c"]
+    assert read_any(spark, str(tmp_path / "saved")).count() == 2
