@@ -27,18 +27,19 @@ def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path
     def fn(batch: DataFrame, batch_id: int) -> None:
         ledger = read_ledger(spark, ledger_path, op, exclude=(run, batch_id))
         prompted = P.persona_prompts(batch, id_col, text_col, ledger, small_input_rows=MAX_BATCH_ROWS)
-        enriched = P.enrich_personas(prompted, id_col, client_factory).persist()  # one model call per row
-        try:
-            ok, rejects = split_parsed(enriched, "items")
-            rows = explode_items(ok, "items", id_col)
-            (rows.select(id_col, "pos", "item_key", "model", F.col("item.persona").alias("persona"),
-                         F.get("item.countries", 0).alias("country"), F.get("item.languages", 0).alias("language"))
-                 .write.mode("overwrite").parquet(f"{out_path}/rows/run={run}/batch_id={batch_id}"))
-            (rejects.select(id_col, "reason").write.mode("overwrite")
-                    .parquet(f"{out_path}/rejects/run={run}/batch_id={batch_id}"))
-            append_ledger(ok.select(F.col(id_col).alias("key")), ledger_path, op, batch_id, run=run)
-        finally:
-            enriched.unpersist()
+        # Model replies are written before use: a lost executor must not make
+        # the (non-deterministic) model answer twice for one batch.
+        enriched_path = f"{out_path}/enriched/run={run}/batch_id={batch_id}"
+        P.enrich_personas(prompted, id_col, client_factory).write.mode("overwrite").parquet(enriched_path)
+        enriched = spark.read.parquet(enriched_path)
+        ok, rejects = split_parsed(enriched, "items")
+        rows = explode_items(ok, "items", id_col)
+        (rows.select(id_col, "pos", "item_key", "model", F.col("item.persona").alias("persona"),
+                     F.get("item.countries", 0).alias("country"), F.get("item.languages", 0).alias("language"))
+             .write.mode("overwrite").parquet(f"{out_path}/rows/run={run}/batch_id={batch_id}"))
+        (rejects.select(id_col, "reason").write.mode("overwrite")
+                .parquet(f"{out_path}/rejects/run={run}/batch_id={batch_id}"))
+        append_ledger(ok.select(F.col(id_col).alias("key")), ledger_path, op, batch_id, run=run)
     return fn
 
 
