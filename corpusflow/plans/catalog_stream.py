@@ -46,3 +46,13 @@ def stream_step_mean(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "value")
     land_in_order(ev, "event_id", f"{work}/landing", 4)
     return _stream_step_mean(spark, f"{work}/landing", "event_id bigint, value double", "event_id", "value", 300, work)
+
+
+@query("stream_dedup_state", REGISTRY["lsh_dedup"][1])
+def stream_dedup_state(spark, sf):
+    """ST2 (keyed state): band-key minimums in a stateful streaming aggregation; equals the batch result."""
+    from corpusflow.streaming.dedup_state import stream_dedup_state as _run
+    work = new_scratch_dir(spark, "stream-dedup-state")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    land_in_order(docs, "doc_id", f"{work}/landing", 4)
+    return _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, carry=("lang",))

@@ -29,3 +29,13 @@ def test_stream_resume_is_exactly_once(spark, tmp_path):
     rows = spark.read.parquet(f"{work}/out/rows")
     assert rows.count() == n1 > 0
     assert rows.groupBy("item_key").count().where(F.col("count") > 1).count() == 0
+
+
+def test_keyed_state_dedup_equals_batch(spark, tmp_path):
+    from corpusflow.streaming.dedup_state import stream_dedup_state
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text", "lang")
+    land_in_order(docs, "doc_id", str(tmp_path / "landing"), 3)
+    got = stream_dedup_state(spark, str(tmp_path / "landing"), SCHEMA, "doc_id", "text", str(tmp_path / "work"),
+                             carry=("lang",))
+    want = first_wins_dedup(docs, "doc_id", "text")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r.doc_id, r.lang) for r in want.select("doc_id", "lang").collect())
