@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import sql_keyed_hash
-from corpusflow.functions.text import sql_words, words
+from corpusflow.functions.text import WORD_PATTERN_RE2, words
 from corpusflow.operators import encode as enc
 from corpusflow.operators import messages as M
 from corpusflow.operators.encode import IGNORE
@@ -123,8 +123,9 @@ def conv_role_map(spark, sf):
     return summary(ok)
 
 
+_STRIPPED_TEXT = sql_strip("coalesce(text, 'None')")
 _RENDER_SQL = (f"md5(chr(10) || {lit_sql(M.BOS)} || chr(10) || string_agg(chr(10) || '    ' || {lit_sql(M.HEADER_START)} || role "
-               f"|| {lit_sql(M.HEADER_END)} || chr(10) || chr(10) || {sql_strip(chr(99) + 'oalesce(text, ' + chr(39) + 'None' + chr(39) + ')')} "
+               f"|| {lit_sql(M.HEADER_END)} || chr(10) || chr(10) || {_STRIPPED_TEXT} "
                f"|| {lit_sql(M.END_OF_TURN)} || chr(10), '' ORDER BY turn) || chr(10))")
 
 
@@ -150,12 +151,12 @@ def encoded(spark, sf, max_len=MAX_LEN):
     return enc.encode_turns(table(spark, sf, "conversations"), max_len)
 
 
-_WORD_RE = sql_words("x")[len("regexp_extract_all(coalesce(x, ''), "):-1]
+_WORD_RE = f"'{WORD_PATTERN_RE2}'"
 _MSG_CTES = f"""m AS (SELECT conv_id, turn, role,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS mi,
     regexp_extract_all({lit_sql(M.HEADER_START)} || role || {lit_sql(M.HEADER_END)} || chr(10) || chr(10)
-      || {sql_strip("coalesce(text, 'None')")} || {lit_sql(M.END_OF_TURN)}, {_WORD_RE}) AS toks FROM conversations),
+      || {_STRIPPED_TEXT} || {lit_sql(M.END_OF_TURN)}, {_WORD_RE}) AS toks FROM conversations),
  o AS (SELECT *, 1 + coalesce(sum(len(toks)) OVER (PARTITION BY conv_id ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM m)"""
 _TOK_SQL = f"""(WITH {_MSG_CTES},
  t AS (SELECT conv_id, off + j - 1 AS p, ('0x' || substr(md5(toks[j]), 1, 7))::INT AS id,
