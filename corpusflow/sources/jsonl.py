@@ -29,8 +29,16 @@ def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = Fal
     df = (df.withColumn("file_name", F.col("_metadata.file_name"))
             .withColumn("_split", F.col("_metadata.file_block_start"))
             .withColumn("_seq", F.monotonically_increasing_id()))
-    w = Window.partitionBy("file_name").orderBy("_split", "_seq")
-    return df.withColumn("line", (F.row_number().over(w) - 1).cast("bigint")).drop("_split", "_seq")
+    # Lines are numbered inside each file split (one split is at most
+    # maxPartitionBytes); a small (file, split) count table gives each split
+    # its offset in the file, so a huge file is never sorted in one task.
+    counts = df.groupBy("file_name", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file_name").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("file_name", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("file_name", "_split").orderBy("_seq")) - 1
+    return (df.join(offs, ["file_name", "_split"])
+              .withColumn("line", (F.col("_off") + local).cast("bigint"))
+              .drop("_split", "_seq", "_off"))
 
 
 def write_jsonl(df: DataFrame, path: str, batch_id: int | None = None, partition_by: list[str] | None = None,

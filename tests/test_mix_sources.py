@@ -99,3 +99,21 @@ def test_read_any_dispatch(spark, tmp_path):
     assert sorted(tuple(r) for r in read_any(spark, str(tmp_path / "x.jsonl"), "k int, v string").collect()) == [(1, "a,b"), (2, "c")]
     assert sorted(r.v for r in read_any(spark, str(tmp_path / "x.csv")).collect()) == ["a,b", "c"]
     assert read_any(spark, str(tmp_path / "saved")).count() == 2
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    from corpusflow.sources.jsonl import read_jsonl
+    d = tmp_path / "lines"
+    d.mkdir()
+    for name, n in (("a.jsonl", 700), ("b.jsonl", 3)):
+        (d / name).write_text("".join('{"v": "%s-%d"}\n' % (name, i) for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")   # many splits per file
+    try:
+        df = read_jsonl(spark, str(d), "v string", with_position=True)
+        splits = spark.read.schema("v string").json(str(d)).select("_metadata.file_block_start").distinct().count()
+        assert splits > 3
+        got = {(r.file_name, r.line): r.v for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(f, i): f"{f}-{i}" for f, n in (("a.jsonl", 700), ("b.jsonl", 3)) for i in range(n)}
