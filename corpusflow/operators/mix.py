@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.keys import keyed_hash
 from corpusflow.operators.filters import require_columns, split_kind
 from corpusflow.operators.messages import to_messages
-from corpusflow.operators.positions import exact_positions
+from corpusflow.operators.positions import exact_positions, sorted_positions
 
 
 def parse_mixer(mixer) -> dict:
@@ -84,13 +84,11 @@ def mix(load: Callable[[str, str], DataFrame], mixer, splits=("train", "test"),
             df = to_messages(df)
             if shuffle or "id" not in df.columns:
                 if not shuffle and not order_col:
-                    raise ValueError("without shuffle, positions need an order_col")
+                    raise ValueError("without shuffle, positions need an integer order_col")
                 if shuffle:
                     df = shuffled_positions(df, name, split, seed, order_col, total_out="_total")
                 else:
-                    from pyspark.sql import Window
-                    df = (df.withColumn("pos", F.row_number().over(Window.orderBy(order_col)) - 1)
-                            .withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy())))
+                    df = sorted_positions(df, order_col, out="pos", total_out="_total")
             if "id" not in df.columns:
                 df = df.withColumn("id", F.concat(F.lit(f"{name}_"), F.col("pos").cast("string")))
             if kind == "train":

@@ -81,3 +81,21 @@ def sql_position(order_sql: str, partition_sql: str | None = None) -> str:
 def batch_ids(pos: Column, batch_size: int) -> Column:
     """Consecutive slices of ``batch_size`` positions."""
     return F.floor(pos / F.lit(batch_size)).cast("bigint")
+
+
+def sorted_positions(df: DataFrame, order_col: str, out: str = "pos", total_out: str | None = None,
+                     buckets: int = 1024) -> DataFrame:
+    """0-based position in the order of a unique integer column (any spread).
+
+    One small aggregate gives the key's range; the high bits of ``key - min``
+    are ordered buckets, and :func:`exact_positions` numbers rows inside each
+    bucket.  Deterministic (no sampled range bounds), so every use and every
+    recomputation sees the same buckets.
+    """
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    span_bits = max(1, int(hi - lo).bit_length())
+    shifted = df.withColumn("_sk", (F.col(order_col) - F.lit(lo)).cast("bigint"))
+    return exact_positions(shifted, "_sk", order_col, out=out, total_out=total_out, key_bits=span_bits,
+                           buckets=buckets).drop("_sk")

@@ -28,3 +28,20 @@ def test_running_sum(spark):
     for i in range(300):
         acc += i % 7
         assert got[i] == acc
+
+
+def test_sorted_positions_equal_row_number(spark):
+    from corpusflow.operators.positions import sorted_positions
+    rng = random.Random(5)
+    vals = rng.sample(range(10**9), 3000)
+    df = spark.createDataFrame([(v, f"x{v}") for v in vals], "k bigint, s string")
+    got = {r.k: (r.pos, r.tot) for r in sorted_positions(df, "k", total_out="tot", buckets=16).collect()}
+    assert got == {v: (i, 3000) for i, v in enumerate(sorted(vals))}
+
+
+def test_mix_without_shuffle_takes_leading_rows(spark):
+    from corpusflow.operators import mix as MX
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(50)], "k bigint, text string").repartition(4)
+    out = MX.mix(lambda n, s: a, {"A": 0.2}, splits=("train",), columns_to_keep=["k"], shuffle=False,
+                 order_col="k", keep_ids=True)["train"]
+    assert sorted((r.id, r.k) for r in out.collect()) == sorted((f"A_{i}", i) for i in range(10))
