@@ -74,13 +74,15 @@ def mix(load: Callable[[str, str], DataFrame], mixer, splits=("train", "test"),
     amounts = parse_mixer(mixer)
     is_count = amount_mode(list(amounts.values()))
     keep = list(columns_to_keep or [])
-    train, test = [], []
+    train, test, raw_train = [], [], []
     for name, amount in amounts.items():
         for split in splits:
             kind = split_kind(split)
             df = load(name, split)
             if need_columns:
                 require_columns(df, need_columns)
+            if kind == "train":
+                raw_train.append((name, amount, df))
             df = to_messages(df)
             if shuffle or "id" not in df.columns:
                 if not shuffle and not order_col:
@@ -113,7 +115,7 @@ def mix(load: Callable[[str, str], DataFrame], mixer, splits=("train", "test"),
     if train:
         out["train"] = reduce(lambda a, b: a.unionByName(b), [align(d) for _, _, d in train])
         if is_count and check_counts:
-            _check_counts(train)
+            _check_counts(raw_train)
     if test:
         out["test"] = reduce(lambda a, b: a.unionByName(b), [align(d) for _, _, d in test])
     if save_dir:
@@ -125,7 +127,11 @@ def mix(load: Callable[[str, str], DataFrame], mixer, splits=("train", "test"),
 
 
 def _check_counts(train) -> None:
-    """A requested count above the part size is an error (one small job)."""
+    """A requested count above the part size is an error.
+
+    One small job counts the raw parts (a column-free scan, answered from
+    file metadata where the format allows), not the shuffled selections.
+    """
     parts = [d.select(F.lit(i).alias("_i")) for i, (_, _, d) in enumerate(train)]
     got = {r["_i"]: r["n"] for r in reduce(lambda a, b: a.unionByName(b), parts)
            .groupBy("_i").agg(F.count(F.lit(1)).alias("n")).collect()}
