@@ -17,6 +17,7 @@ Spark plan (no pair join, no collect):
 
 
 import random
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ def _integral(f, a: float, b: float, n: int = 2001) -> float:
     return float(h / 3 * (ys[0] + ys[-1] + 4 * ys[1:-1:2].sum() + 2 * ys[2:-1:2].sum()))
 
 
+@lru_cache(maxsize=64)
 def lsh_params(threshold: float = 0.8, num_perm: int = NUM_PERM,
                fp_weight: float = 0.5, fn_weight: float = 0.5) -> tuple[int, int]:
     """(bands, rows) minimising the weighted false-positive/negative areas."""
