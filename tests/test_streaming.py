@@ -39,3 +39,55 @@ def test_keyed_state_dedup_equals_batch(spark, tmp_path):
                              carry=("lang",))
     want = first_wins_dedup(docs, "doc_id", "text")
     assert sorted(tuple(r) for r in got.collect()) == sorted((r.doc_id, r.lang) for r in want.select("doc_id", "lang").collect())
+
+
+def _fail_once_after(fn, failing_batch):
+    state = {"failed": False}
+
+    def wrapped(batch, batch_id):
+        fn(batch, batch_id)                      # all writes of the batch are done ...
+        if batch_id == failing_batch and not state["failed"]:
+            state["failed"] = True
+            raise RuntimeError("injected failure after the batch's writes")
+    return wrapped
+
+
+def test_stream_dedup_replays_a_failed_batch(spark, tmp_path):
+    import pytest
+    from corpusflow.streaming.dedup import dedup_batch_fn
+    from corpusflow.streaming.landing import run_available
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text", "lang")
+    src, work = str(tmp_path / "landing"), str(tmp_path / "work")
+    land_in_order(docs, "doc_id", src, 3)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    fn = dedup_batch_fn(spark, "doc_id", "text", f"{work}/seen", f"{work}/out")
+    with pytest.raises(Exception):
+        run_available(stream, _fail_once_after(fn, 1), f"{work}/ckpt")
+    run_available(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src), fn, f"{work}/ckpt")
+    got = sorted(r.doc_id for r in spark.read.schema(SCHEMA).parquet(f"{work}/out").collect())
+    want = sorted(r.doc_id for r in first_wins_dedup(docs, "doc_id", "text").collect())
+    assert got == want
+
+
+def test_stream_resume_replays_a_failed_batch(spark, tmp_path):
+    import hashlib
+
+    import pytest
+    from corpusflow.streaming.landing import run_available
+    from corpusflow.streaming.resume import resume_batch_fn
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text", "lang")
+    src, work = str(tmp_path / "landing"), str(tmp_path / "work")
+    land_in_order(docs, "doc_id", src, 3)
+    ckpt = f"{work}/ckpt"
+    run = hashlib.md5(ckpt.encode()).hexdigest()[:12]
+    fn = resume_batch_fn(spark, "doc_id", "text", f"{work}/ledger", f"{work}/out", run)
+    with pytest.raises(Exception):
+        run_available(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src),
+                      _fail_once_after(fn, 1), ckpt)
+    run_available(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src), fn, ckpt)
+    rows = spark.read.parquet(f"{work}/out/rows")
+    clean = str(tmp_path / "clean")
+    stream_resume(spark, src, SCHEMA, "doc_id", "text", clean, f"{clean}/ckpt")
+    want = spark.read.parquet(f"{clean}/out/rows")
+    assert rows.groupBy("item_key").count().where(F.col("count") > 1).count() == 0
+    assert sorted(r.item_key for r in rows.collect()) == sorted(r.item_key for r in want.collect())
