@@ -19,11 +19,11 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string"
 
 @query("stream_dedup", REGISTRY["lsh_dedup"][1])
 def stream_dedup(spark, sf):
-    """ST2: first-wins dedup over 4 ordered arrivals equals the batch result."""
+    """ST2: first-wins dedup over 4 ordered arrivals (state compacted every 2 batches) equals the batch result."""
     work = new_scratch_dir(spark, "stream-dedup")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     land_in_order(docs, "doc_id", f"{work}/landing", 4)
-    out = _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work)
+    out = _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, compact_every=2)
     return out.select("doc_id", "lang")
 
 

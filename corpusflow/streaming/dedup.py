@@ -21,8 +21,32 @@ from corpusflow.streaming.landing import run_available
 MAX_BATCH_KEYS = 5_000_000
 
 
+def compact_seen(spark: SparkSession, seen_path: str, before_batch: int) -> None:
+    """Merge the state partitions of committed batches (< ``before_batch``) into one.
+
+    The merged rows are appended as partition ``batch_id = -before_batch`` and
+    the merged partitions are deleted afterwards.  A crash in between leaves
+    duplicate keys, which cannot change an anti-join; a replay simply merges
+    again.  Fewer, larger files keep the per-batch probe scan cheap.
+    """
+    old = spark.read.parquet(seen_path).where(F.col("batch_id") < before_batch)
+    ids = [r["batch_id"] for r in old.select("batch_id").distinct().collect()]   # one id per batch
+    if len(ids) < 2:
+        return
+    (old.select("band", "key", "first").distinct()
+        .withColumn("batch_id", F.lit(-before_batch).cast("bigint"))
+        .write.mode("append").partitionBy("batch_id").parquet(seen_path))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for i in ids:
+        if i != -before_batch:
+            path = jvm.org.apache.hadoop.fs.Path(f"{seen_path}/batch_id={i}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path: str, out_path: str,
-                   threshold: float = 0.8, k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED):
+                   threshold: float = 0.8, k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
+                   compact_every: int = 0):
     b, r = lsh_params(threshold, num_perm)
     coeffs = minhash_coefficients(b * r, seed)
 
@@ -53,6 +77,8 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
                   .parquet(f"{out_path}/batch_id={batch_id}"))
             (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(seen_path))
+            if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+                compact_seen(spark, seen_path, batch_id)
         finally:
             if new is not None:
                 new.unpersist()
@@ -63,6 +89,7 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
 
 def stream_dedup(spark: SparkSession, source_path: str, schema, ord_col: str, text_col: str, work_dir: str,
                  files_per_trigger: int = 1, **kw) -> DataFrame:
+    """``kw``: dedup parameters and ``compact_every`` (merge committed state every N batches)."""
     """Run the incremental dedup over everything in ``source_path``; return the kept rows."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
     fn = dedup_batch_fn(spark, ord_col, text_col, f"{work_dir}/seen", f"{work_dir}/out", **kw)

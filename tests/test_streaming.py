@@ -91,3 +91,14 @@ def test_stream_resume_replays_a_failed_batch(spark, tmp_path):
     want = spark.read.parquet(f"{clean}/out/rows")
     assert rows.groupBy("item_key").count().where(F.col("count") > 1).count() == 0
     assert sorted(r.item_key for r in rows.collect()) == sorted(r.item_key for r in want.collect())
+
+
+def test_stream_dedup_with_state_compaction(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text", "lang")
+    land_in_order(docs, "doc_id", str(tmp_path / "landing"), 4)
+    got = stream_dedup(spark, str(tmp_path / "landing"), SCHEMA, "doc_id", "text", str(tmp_path / "work"),
+                       compact_every=2)
+    want = first_wins_dedup(docs, "doc_id", "text")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    parts = {r.batch_id for r in spark.read.parquet(str(tmp_path / "work" / "seen")).select("batch_id").distinct().collect()}
+    assert -2 in parts and 0 not in parts and 1 not in parts
