@@ -56,3 +56,16 @@ def stream_dedup_state(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     land_in_order(docs, "doc_id", f"{work}/landing", 4)
     return _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, carry=("lang",))
+
+
+@query("persona_job", _PERSONAS_SQL)
+def persona_job_q(spark, sf):
+    """Stage 1 as a batch job (K1/K2): replies staged, rows and rejects written, ledger keys recorded; a re-run adds nothing."""
+    from corpusflow.plans.personas import persona_job
+    work = new_scratch_dir(spark, "persona-job")
+    pages = table(spark, sf, "documents").select("doc_id", "text")
+    persona_job(spark, pages, "doc_id", "text", f"{work}/out", f"{work}/ledger", 0)
+    persona_job(spark, pages, "doc_id", "text", f"{work}/out", f"{work}/ledger", 1)   # resumed run: only unparsed keys retried
+    rows = spark.read.parquet(f"{work}/out/rows")
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("item.persona").alias("persona"),
+                       F.get(F.col("item.countries"), 0).alias("country"), F.get(F.col("item.languages"), 0).alias("language"))
