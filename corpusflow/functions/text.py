@@ -23,6 +23,7 @@ _WD = r"[^\s\x1c-\x1f]"
 
 
 def col_(c) -> Column:
+    """A column from a name or a column."""
     return F.col(c) if isinstance(c, str) else c
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """Round-robin to ``per_core`` partitions per core when the input has fewer; else unchanged."""
     try:
         target = df.sparkSession.sparkContext.defaultParallelism * per_core
         current = df.rdd.getNumPartitions()

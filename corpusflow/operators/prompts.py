@@ -27,6 +27,7 @@ LABEL_SEP = "\n    "
 
 
 def message(role: str, content) -> Column:
+    """One chat message struct."""
     return F.struct(F.lit(role).alias("role"), col_(content).cast("string").alias("content"))
 
 

@@ -14,8 +14,10 @@ for _mod in ("catalog_enrich", "catalog_chat", "catalog_mix", "catalog_io", "cat
 
 
 def queries() -> dict:
+    """Name -> Spark job over the driver tables."""
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict:
+    """Name -> DuckDB twin of the Spark job."""
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}

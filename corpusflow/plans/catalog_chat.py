@@ -209,6 +209,7 @@ def mask_spans(spark, sf):
 
 
 def trainable_examples(spark, sf):
+    """Encoded examples with at least one trainable label, with their token count."""
     e = enc.trainable_only(encoded(spark, sf))
     return e.select("conv_id", "input_ids", F.size("input_ids").alias("n_tokens"))
 

@@ -17,6 +17,7 @@ from corpusflow.plans.registry import query, table
 
 
 def lit_sql(s: str) -> str:
+    """A SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
 
 

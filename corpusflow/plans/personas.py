@@ -92,6 +92,7 @@ def instruction_prompts(assigned: DataFrame, persona_col: str = "persona", model
 
 
 def enrich_instructions(prompted: DataFrame, key_cols: list[str], client_factory=None, **kw) -> DataFrame:
+    """Stage 4 model call + parse: (keys..., raw, model, error, items ARRAY<prompt item>)."""
     factory = client_factory or (lambda: mock_client("prompts"))
     out = enrich(prompted, factory, "prompt", key_cols, **kw)
     return out.withColumn("items", parsed_list("raw", "prompts", PROMPT_ITEM))

@@ -10,6 +10,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 
 def query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its DuckDB twin ``sql``."""
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
@@ -19,4 +20,5 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table (Parquet) of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

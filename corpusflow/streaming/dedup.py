@@ -47,6 +47,7 @@ def compact_seen(spark: SparkSession, seen_path: str, before_batch: int) -> None
 def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path: str, out_path: str,
                    threshold: float = 0.8, k: int = 3, num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
                    compact_every: int = 0):
+    """``foreachBatch`` function of the table-probe incremental dedup."""
     b, r = lsh_params(threshold, num_perm)
     coeffs = minhash_coefficients(b * r, seed)
 

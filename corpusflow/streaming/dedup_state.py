@@ -21,6 +21,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def band_rows(stream: DataFrame, ord_col: str, text_col: str, carry: list, k: int, coeffs, bands: int, rows: int):
+    """(ord, carry..., band, key) rows of a (streaming) frame."""
     sig = _minhash_udf(coeffs)(shingle_hashes(shingles(F.col(text_col), k)))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda i: F.slice(F.col("_sig"), i * rows + 1, rows).cast("array<int>"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4) -> list:
+    """Append ``df`` to ``path`` as ``chunks`` ordered range files, oldest first; returns the cut points."""
     probs = [i / chunks for i in range(1, chunks)]
     cuts = df.approxQuantile(ord_col, probs, 0.001) if chunks > 1 else []
     bounds = [None] + cuts + [None]

@@ -24,6 +24,7 @@ MAX_BATCH_ROWS = 5_000_000   # micro-batch keys that may be broadcast against th
 
 def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path: str, out_path: str,
                     run: str, op: str = "persona", client_factory=None):
+    """``foreachBatch`` function of the resumable enrichment (rows, rejects, ledger per batch)."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         ledger = read_ledger(spark, ledger_path, op, exclude=(run, batch_id))
         prompted = P.persona_prompts(batch, id_col, text_col, ledger, small_input_rows=MAX_BATCH_ROWS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 def stream_step_mean(spark: SparkSession, source_path: str, schema, step_col: str, value_col: str, every: int,
                      work_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """Run the stateful block aggregation over ``source_path``; return complete blocks with their mean."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
     agg = (stream.groupBy(F.floor(F.col(step_col) / every).cast("bigint").alias("block"))
                  .agg(F.sum(value_col).alias("s"), F.count(F.lit(1)).alias("n")))
