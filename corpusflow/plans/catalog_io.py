@@ -43,7 +43,7 @@ def jsonl_lines(spark, sf):
 
 @query("persona_dedup_files", REGISTRY["lsh_dedup"][1])
 def persona_dedup_files(spark, sf):
-    """Stage 3 end to end: JSON-lines persona files (strings and objects) -> ordered first-wins dedup -> output folder."""
+    """Stage 3 end to end (S4/K3/T4/T5/T7/T8): JSON-lines persona files (strings and objects) -> ordered first-wins dedup -> output folder."""
     from corpusflow.functions.keys import keyed_choice
     from corpusflow.plans.dedup_job import dedup_persona_files
     src, out = new_scratch_dir(spark, "persona-files"), new_scratch_dir(spark, "persona-dedup")

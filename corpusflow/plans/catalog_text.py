@@ -115,7 +115,7 @@ def seed_filter(spark, sf):
 @query("first_turn_filter", "SELECT conv_id, arg_min(role, turn) AS first_value FROM conversations "
                             "GROUP BY conv_id HAVING lower(arg_min(role, turn)) IN ('system')")
 def first_turn_filter(spark, sf):
-    """Conversations whose first turn's attribute is in a list (case-insensitive)."""
+    """Conversations whose first turn's attribute is in a list (case-insensitive)."""
     turns = table(spark, sf, "conversations")
     allowed = spark.createDataFrame([("SYSTEM",)], "value string")
     return filters.first_turn_in(turns, "conv_id", "turn", "role", allowed)
