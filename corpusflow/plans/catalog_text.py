@@ -84,6 +84,14 @@ def lsh_dedup(spark, sf):
     return dedup.first_wins_dedup(d, "doc_id", "text").select("doc_id", "lang")
 
 
+@query("lsh_dedup_aggregate", f"SELECT d.doc_id, d.lang FROM documents d SEMI JOIN ({sql_first_wins('documents', 'doc_id', 'text')}) k "
+                              f"ON d.doc_id = k.doc_id")
+def lsh_dedup_aggregate(spark, sf):
+    """§2.10/A7: the same dedup with min-hashes from a code-generated hash aggregate (no Python at all)."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return dedup.first_wins_dedup(d, "doc_id", "text", method="aggregate").select("doc_id", "lang")
+
+
 @query("anti_processed", "SELECT doc_id FROM documents d WHERE NOT EXISTS "
                          "(SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) = CAST(d.doc_id AS VARCHAR))")
 def anti_processed(spark, sf):
