@@ -37,7 +37,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,59 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import salt, salted_lookup, staged
+from corpusflow.llm.words import SLICE, cut, mix, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
 BLOCK = 256
-SLICE = 1 << 20  # bytes of text hashed at a time
 STEP = 1 << 17  # hashes a sketching step computes at a time
 FILTER_BITS = 1 << 25
 SALTS = 128
 
-_M1, _M2, _M3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: a bijection whose output bits all depend on all input bits."""
-    x = x + _M1
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-# A random value per byte and an odd base: a word's hash is the sum of value * base^position.
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 20))
-_BASE = np.uint64(0xD1342543DE82EF95)
-
-
-def _word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every word of a lower-cased buffer."""
-    raw = np.frombuffer(buf, np.uint8)
-    solid = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    lengths = ends - starts
-    power = np.cumprod(np.full(lengths.max(), _BASE, np.uint64))
-    chars = np.flatnonzero(solid)
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(len(chars)) - np.repeat(first, lengths)
-    return starts, mix(np.add.reduceat(_BYTE[raw[chars]] * power[place], first) ^ lengths.astype(np.uint64))
-
-
-def _cut(text: bytes, size: int) -> Iterator[bytes]:
-    """Pieces of a very long text, cut at white space (a word is never split)."""
-    at = 0
-    while at < len(text):
-        gap = re.compile(rb"[ \t-\r]").search(text, at + size)
-        end = gap.start() if gap else len(text)
-        yield text[at:end]
-        at = end
-
-
 def _shingles(ids: np.ndarray, width: int) -> np.ndarray:
     n = max(0, len(ids) - width + 1)
     h = np.full(n, width, np.uint64)
@@ -118,10 +73,10 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
             end += 1
         part = [(t or b"").lower() for t in texts[at:end]]
         if size > 4 * SLICE:  # a single very long text
-            ids = np.concatenate([np.empty(0, np.uint64), *(_word_hashes(p)[1] for p in _cut(part[0], SLICE))])
+            ids = np.concatenate([np.empty(0, np.uint64), *(word_hashes(p)[2] for p in cut(part[0], SLICE))])
             bounds = [0, len(ids)]
         else:
-            starts, ids = _word_hashes(b"\n".join(part))
+            starts, _, ids = word_hashes(b"\n".join(part))
             bounds = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in part])).tolist()
         whole = _shingles(ids, k)
         for s, e in zip(bounds, bounds[1:]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import prepare, table
+from corpusflow.llm.common import prepare, staged, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,71 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole ``documents`` texts: 2-word shingle sets, similarity of 0.8 or more."""
     from corpusflow.llm.near_dedup import groups
     return groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@_query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of whole ``documents`` texts, written as Arrow files in id order and read back."""
+    import public_tokenizers
+    from corpusflow.llm import token_files as T
+    manifest = T.write(table(spark, sf_dir, "documents"), T.new_path(spark), public_tokenizers.path("word_bpe_49k.json"))
+    return T.read(manifest, manifest.count())
+
+
+@_query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole ``documents`` text, learned from the labels outside the held-out third."""
+    from corpusflow.llm import quality as Q
+    described = staged(Q.describe(table(spark, sf_dir, "documents")), "statistics")
+    return Q.score(described, Q.fit(described, table(spark, sf_dir, "labels"), "quality"))
+
+
+@_query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole ``documents`` text by compression, learned outside the held-out third."""
+    from corpusflow.llm import lang_id as L
+    docs = table(spark, sf_dir, "documents")
+    return L.predict(docs, L.dictionaries(docs))
+
+
+@_query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` (word tokens) packed into sequences of 512, 1024, 2048 or 4096 tokens."""
+    from corpusflow.llm.packing import best_fit
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in whole ``documents`` texts within a tenth of their length in edits."""
+    from corpusflow.llm.decontaminate import find
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Words that split the one toxicity label of the tables into categories, as weak labels for the chain.
+INSULT = ["idiot", "moron", "loser", "clown", "scum"]
+CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting", "trash"]
+
+
+@_query("op8_toxicity_chain")
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity categories of every whole ``documents`` text; ``toxic`` closes the chain.
+
+    The tables have one label.  The first two categories, insults of persons and
+    words of contempt, are weak labels (toxic documents that hold such a word);
+    ``toxic`` is the given label.
+    """
+    from corpusflow.llm import toxicity as X
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    said = lambda words: ((F.col("toxic") == 1) & F.lower("_text").rlike(rf"\b({'|'.join(words)})\b")).cast("int")
+    chain = X.fit(docs, labels, {"insult": said(INSULT), "contempt": said(CONTEMPT), "toxic": F.col("toxic")}, "toxic")
+    out = X.score(docs, chain)
+    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@_query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole ``documents`` text: base rules, and spans that the BiLSTM-CRF adds."""
+    from corpusflow.llm import pii as P
+    docs = table(spark, sf_dir, "documents")
+    return P.find(docs, P.fit(docs))
