@@ -4,11 +4,11 @@ Documents are ordered by id with a range exchange (equal ids by a hash of their
 text); each partition becomes one *shard*:
 
 * ``<shard>.tokens.arrow``: an Arrow IPC file (stream plus footer) whose batches
-  hold ``ids fixed_size_list<uint32>[L]``, ``mask fixed_size_list<uint8>[L]``
-  (1: a token, 0: padding of the shard's last sequence) and ``last
-  fixed_size_list<uint8>[L]`` (1: last token of a document).  All batches but
-  the last have ``BATCH_ROWS`` sequences, so sequence i is found without a scan
-  and its values are views of the mapped file;
+  hold ``ids fixed_size_list<uint16 or uint32>[L]`` (the narrower type that holds
+  the vocabulary) and ``mask fixed_size_list<bool>[L]`` (one bit a token: true
+  for a token, false for the padding of the shard's last sequence).  All batches
+  but the last have ``BATCH_ROWS`` sequences, so sequence i is found without a
+  scan and its ids and mask are views of the mapped file;
 * ``<shard>.docs.arrow``: doc_id, start (in the shard) and n_tokens.
 
 A task writes files under a name of its own and reports them in its rows of the
@@ -44,7 +44,7 @@ from corpusflow.llm.common import staged
 from corpusflow.session import scratch_root
 
 SEQ_LEN, BATCH_ROWS, END_ID = 1024, 64, 1
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 300_000, 800_000, 64
 # Fixed value: the word pattern of the public lower-case word BPE tokenizer.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # The same split on plain lower-case text, and what makes a text not plain.
@@ -75,7 +75,8 @@ class Encoder:
     For tokenizers whose words are independent, texts of plain characters
     (ASCII without the apostrophe, Latin-1 letters) are split into words here and
     each different word is encoded once; every other piece between spaces is
-    encoded by the tokenizer as it is.  The memory of words is bounded: it starts afresh when full.
+    encoded by the tokenizer as it is.  What is remembered (pieces between white
+    space, and words) is bounded: it starts afresh when full.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -84,45 +85,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.by_word = words_are_independent(spec)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # by piece
+        self.words: dict[str, bytes] = {}
         if self.by_word:
             vocab = spec["model"]["vocab"]
             self.word_end = np.zeros(max(vocab.values()) + 1, bool)
             self.word_end[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
+    def id_type(self, *others: int) -> pa.DataType:
+        """Narrowest unsigned type that holds every id."""
+        return pa.uint16() if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, *others) < 1 << 16 else pa.uint32()
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _words(self, text: str) -> list[str | bytes]:
-        """Plain words of a text, and the ids of other pieces."""
+    def _pieces(self, text: str) -> list[str]:
+        """Text between white space, lower-cased where that is all the tokenizer's normalisation does."""
         if not _ODD.search(text):
-            return _WORD.findall(text.lower())
-        return [x for piece in _PIECE.findall(text)
-                for x in ([self._ids(piece).tobytes()] if _ODD.search(piece) else _WORD.findall(piece.lower()))]
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1000):
-            part = words[at:at + 1000]
+            return text.lower().split()
+        return [p if _ODD.search(p) else p.lower() for p in _PIECE.findall(text)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        split = {p: _WORD.findall(p) for p in pieces if not _ODD.search(p)}
+        new = list({w for words in split.values() for w in words}.difference(self.words))
+        long = [w for w in new if len(w) > MEMO_CHARS]
+        for at in range(0, len(new), 1000):
+            part = new[at:at + 1000]
             ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.word_end[ids]) + 1
-            assert len(cuts) == len(part) and (not len(ids) or cuts[-1] == len(ids))
-            for w, s, e in zip(part, [0, *cuts.tolist()], cuts.tolist()):
-                self.memo[w] = ids[s:e].tobytes()
+            cuts = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+            assert len(cuts) == len(part) and cuts[-1] == len(ids)
+            for w, s, e in zip(part, [0, *cuts], cuts):
+                self.words[w] = ids[s:e].tobytes()
+        for p in pieces:
+            self.memo[p] = b"".join(map(self.words.__getitem__, split[p])) if p in split else self._ids(p).tobytes()
+        for w in long:
+            del self.words[w]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [self._ids(t).tobytes() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        out = []
-        for text in texts:
-            words = self._words(text)
-            got = list(map(self.memo.get, words))
-            if None in got:
-                self._learn(list({w for w, x in zip(words, got) if x is None and isinstance(w, str) and len(w) <= MEMO_CHARS}))
-                got = [x if x is not None else w if isinstance(w, bytes) else self.memo.get(w) or self._ids(w).tobytes()
-                       for w, x in zip(words, got)]
-            out.append(b"".join(got))
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        lists = [self._pieces(t) for t in texts]
+        new = set().union(*lists).difference(self.memo)
+        full = len(self.memo) > MEMO_PIECES
+        self._learn(list(new))
+        out = [b"".join(map(self.memo.__getitem__, x)) for x in lists]
+        for p in new if full else (p for p in new if len(p) > MEMO_CHARS):
+            del self.memo[p]
         return out
 
 
@@ -140,37 +150,32 @@ def encoder(tokenizer_json: str) -> Encoder:
 class SequenceWriter:
     """Cuts a stream of ids into sequences of ``length`` and writes full batches of them."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.size = length, length * BATCH_ROWS
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)),
-                                 ("last", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, kind: pa.DataType):
+        self.length, self.size, self.dtype = length, length * BATCH_ROWS, kind.to_pandas_dtype()
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(sink, self.schema)
-        self.ids, self.ends, self.held = [], [], 0
+        self.held, self.count = [], 0
 
     def add(self, ids: np.ndarray) -> None:
-        end = np.zeros(len(ids), np.uint8)
-        end[-1:] = 1
-        self.ids.append(ids)
-        self.ends.append(end)
-        self.held += len(ids)
-        if self.held >= self.size:
-            ids, ends = np.concatenate(self.ids), np.concatenate(self.ends)
+        self.held.append(ids.astype(self.dtype))
+        self.count += len(ids)
+        if self.count >= self.size:
+            ids = np.concatenate(self.held)
             full = len(ids) // self.size * self.size
             for at in range(0, full, self.size):
-                self._write(ids[at:at + self.size], ends[at:at + self.size])
-            self.ids, self.ends, self.held = [ids[full:]], [ends[full:]], len(ids) - full
+                self._write(ids[at:at + self.size])
+            self.held, self.count = [ids[full:]], len(ids) - full
 
-    def _write(self, ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(ids)
-        pad = -n % self.length
-        mask = np.concatenate((np.ones(n, np.uint8), np.zeros(pad, np.uint8)))
-        cols = [np.concatenate((ids, np.zeros(pad, np.uint32))), mask, np.concatenate((ends, np.zeros(pad, np.uint8)))]
-        self.out.write_batch(pa.RecordBatch.from_arrays(
-            [pa.FixedSizeListArray.from_arrays(pa.array(c), self.length) for c in cols], schema=self.schema))
+    def _write(self, ids: np.ndarray) -> None:
+        pad = -len(ids) % self.length
+        mask = np.arange(len(ids) + pad) < len(ids)
+        cols = [pa.array(np.concatenate((ids, np.zeros(pad, self.dtype)))), pa.array(mask)]
+        self.out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(c, self.length) for c in cols],
+                                                        schema=self.schema))
 
     def close(self) -> None:
-        if self.held:
-            self._write(np.concatenate(self.ids), np.concatenate(self.ends))
+        if self.count:
+            self._write(np.concatenate(self.held))
         self.out.close()
 
 
@@ -204,7 +209,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
                 names = [f"{path}/{name}.tokens.arrow", f"{path}/{name}.docs.arrow"]
                 sinks = [files.open_output_stream(open_fs(n)[1]) for n in names]
-                writer = SequenceWriter(sinks[0], seq_len)
+                writer = SequenceWriter(sinks[0], seq_len, encode.id_type(end_id))
                 schema = pa.schema([("doc_id", b.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index, first, n_docs, n_tokens = pa.ipc.new_file(sinks[1], schema), b.column(0)[:1], 0, 0
             starts, sizes = [], []
@@ -240,16 +245,16 @@ def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(files.open_input_file(place))
 
 
-def sequence(file: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of sequence ``i`` of a tokens file, without copying."""
+def sequence(file: pa.ipc.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """(ids, mask) of sequence ``i`` of a tokens file, without copying (the mask stays bits)."""
     b, at = file.get_batch(i // BATCH_ROWS), i % BATCH_ROWS
-    return tuple(b.column(c)[at].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+    return b.column("ids")[at].values.to_numpy(zero_copy_only=True), b.column("mask")[at].values
 
 
 def documents(tokens_file: str, docs_file: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches of a shard's document index with the ids of each document, read from its sequences in order."""
     tokens, index = open_file(tokens_file), open_file(docs_file)
-    batch, held, at = 0, np.empty(0, np.uint32), 0
+    batch, held, at = 0, np.empty(0, np.uint16), 0
     for k in range(index.num_record_batches):
         b, out = index.get_batch(k), []
         for start, n in zip(b.column("start").to_pylist(), b.column("n_tokens").to_pylist()):
@@ -258,7 +263,7 @@ def documents(tokens_file: str, docs_file: str) -> Iterator[tuple[pa.RecordBatch
                 at += len(held)
                 got = tokens.get_batch(batch)
                 batch += 1
-                held = got.column("ids").flatten().to_numpy()[:int(got.column("mask").flatten().to_numpy().sum())]
+                held = got.column("ids").flatten().to_numpy()[:got.column("mask").flatten().true_count]
                 parts.append(held[:start + n - at])
             out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
         yield b, out
