@@ -17,13 +17,19 @@ Method
   3. *Banding.*  ``bands`` keys of ``rows`` coordinates each; sets that share a
      key are candidates.  A pair of similarity s is found with probability
      1 - (1 - s^rows)^bands (0.8: 1 - 5e-6).
-  4. *Star links.*  Each set meets only the least id of its buckets (the one it
-     shares most buckets with); links are confirmed on the full sets, and
-     components of the links contract the large groups of near copies.
+  4. *Star rounds.*  In every bucket that still holds several components, the
+     sets meet one hub (a different one each round); a set is compared with the
+     hub it shares most buckets with.  Links are confirmed on the full sets and
+     contract the components, so large groups of near copies shrink to few
+     components without their pairs ever being listed.  Rounds go on while they
+     still join a fair share of what they compare.
   5. *The rest.*  Buckets that still hold several components are compared in
-     blocks of at most ``BLOCK`` sets by their sketches (one byte a coordinate,
-     cut 5 standard deviations below the threshold); what passes is confirmed
-     on the full sets.  No bucket is capped: a larger one has more block pairs.
+     blocks of at most ``BLOCK`` sets.  Inside a task a pair is looked at once
+     (in the first bucket both share), only if its sets are in different
+     components, passes the sketches (one byte a coordinate, cut 5 standard
+     deviations below the threshold) and is confirmed on the full sets; a link
+     joins the task's components at once.  A task thus emits fewer links than it
+     holds sets.  No bucket is capped: a larger one has more block pairs.
 
 Full sets are 64-bit shingle hashes; two documents' sets hold far fewer than
 2^32 values, so an accidental match inside a pair has probability below 1e-12.
@@ -51,6 +57,8 @@ from corpusflow.llm.words import SLICE, cut, mix, word_hashes
 SHINGLE_WORDS, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
 BLOCK = 256
+# Star rounds end when a round joins less than this share of the pairs it compares; the blocks do the rest.
+LEAST_SHARE, MOST_ROUNDS = 0.2, 6
 STEP = 1 << 17  # hashes a sketching step computes at a time
 FILTER_BITS = 1 << 25
 SALTS = 128
@@ -169,11 +177,20 @@ def _sets(k: int, rows: int, bands: int, wanted):
             marks = (sketches(sets, rows * bands) & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()),
-                 pa.array([m.tobytes() for m in marks], pa.binary()),
-                 pa.array([len(x) for x in sets], pa.int64())], ["_id", "elements", "mark", "n"])
+                 pa.array([m.tobytes() for m in marks], pa.binary())], ["_id", "elements", "mark"])
     return run
 
 
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of distinct values have the similarity."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    u = np.concatenate((p, q))
+    u.sort()
+    common = int((u[1:] == u[:-1]).sum())
+    return 100 * common >= percent * (len(u) - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity.
 
@@ -186,17 +203,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = []
-            for ea, eb in zip(x.column(2).to_pylist(), x.column(3).to_pylist()):
-                p, q = np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64)
-                small, large = sorted((len(p), len(q)))
-                if 100 * small < percent * large:
-                    ok.append(False)
-                    continue
-                u = np.concatenate((p, q))
-                u.sort()
-                common = int((u[1:] == u[:-1]).sum())
-                ok.append(100 * common >= percent * (len(u) - common))
+            ok = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent)
+                  for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
             keep = x.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["a", "b"])
     kind = dict(pairs.dtypes)["a"]
@@ -227,70 +235,95 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _block_pairs(percent: int, coords: int):
-    """Candidate pairs inside blocks: rows (key, i, j, block, id, root, n, mark) sorted by (key, i, j)."""
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the components joined by ``links`` (a, b) are contracted."""
+    if roots is None:
+        return components(links)
+    for c in ("a", "b"):
+        at = roots.select(F.col("node").alias(c), F.col("root").alias("_r"))
+        links = links.join(at, c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    new = components(links.where("a <> b"))
+    nodes = roots.union(new.select("node", F.col("node").alias("root"))).distinct()
+    over = new.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+    return staged(nodes.join(over, "root", "left").select("node", F.coalesce("_r", "root").alias("root")), "roots")
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("rep"))
+    at = roots.select(F.col("node").alias("rep"), "root")
+    return members.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def mixed(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Rows (key, rep, root, m, hub, hub_root) of the buckets that hold more than one component."""
+    rows = staged(_rooted(members.select("key", "rep"), roots), "members")
+    order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("bigint"), F.col("rep"), F.col("root"))
+    keys = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                          F.min(order).alias("h")).where("lo < hi")
+                      .select("key", "m", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "mixed")
+    return staged(rows.join(keys, "key"), "mixed-members")
+
+
+def _exact_blocks(percent: int, coords: int):
+    """Links inside blocks: rows (key, i, j, block, id, root, keys, mark, elements) sorted by (key, i, j)."""
     floor = percent / 100
     cut = floor - 5 * math.sqrt(floor * (1 - floor) / coords)
 
-    def pairs_of(block, ids, roots, n, marks, i, j):
+    def links_of(key, cross, block, ids, roots, keys, marks, sets):
+        n = np.array([len(x) for x in sets])
+        _, comp = np.unique(roots, return_inverse=True)
         for x in range(len(ids) - 1):
-            y = slice(x + 1, None)
-            ok = roots[y] != roots[x]
-            if i != j:
-                ok &= block[y] != block[x]
-            ok &= 100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])
+            ok = comp[x + 1:] != comp[x]
+            if cross:
+                ok &= block[x + 1:] != block[x]
+            ok &= 100 * np.minimum(n[x + 1:], n[x]) >= percent * np.maximum(n[x + 1:], n[x])
             at = np.flatnonzero(ok) + x + 1
             if len(at):
                 at = at[(marks[at] == marks[x]).mean(axis=1) >= cut]
-                for z in at:
-                    yield max(ids[x], ids[z]), min(ids[x], ids[z])
+            for y in at:
+                if comp[x] != comp[y] and min(keys[x] & keys[y]) == key and alike(sets[x], sets[y], percent):
+                    comp[comp == comp[y]] = comp[x]
+                    yield max(ids[x], ids[y]), min(ids[x], ids[y])
 
-    def groups(batches):
+    def runs(batches):
         held = None
         for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             key = np.stack([held.column(c).to_numpy() for c in range(3)])
-            starts = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-            if len(starts):
-                edges = [0, *starts]
-                for s, e in zip(edges, edges[1:]):
-                    yield held.slice(s, e - s)
-                held = held.slice(edges[-1])
+            edges = [0, *(np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1)]
+            for s, e in zip(edges, edges[1:]):
+                yield held.slice(s, e - s)
+            held = held.slice(edges[-1])
         if held is not None and held.num_rows:
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, schema = [], [], None
-        for g in groups(batches):
-            schema = g.schema.field(4).type
-            if g.num_rows > 1:
-                marks = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(g.num_rows, -1)
-                cols = [g.column(c).to_numpy() for c in (3, 4, 5, 6)]
-                for p, q in pairs_of(*cols, marks, g.column(1)[0].as_py(), g.column(2)[0].as_py()):
-                    a.append(p)
-                    b.append(q)
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, schema), pa.array(b, schema)], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, schema), pa.array(b, schema)], ["a", "b"])
+        for g in runs(batches):
+            if g.num_rows < 2:
+                continue
+            marks = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint8).reshape(g.num_rows, -1)
+            found = list(links_of(g.column(0)[0].as_py(), g.column(1)[0].as_py() != g.column(2)[0].as_py(),
+                                  *(g.column(c).to_numpy() for c in (3, 4, 5)), [set(x) for x in g.column(6).to_pylist()], marks,
+                                  [np.frombuffer(x, np.uint64) for x in g.column(8).to_pylist()]))
+            if found:
+                kind = g.schema.field(4).type
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i in (0, 1)], ["a", "b"])
     return run
 
 
-def _unresolved(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Block rows of the buckets that hold more than one component."""
-    at = (members.select("key", F.col("rep").alias("_id"))
-                 .join(roots.select(F.col("node").alias("_id"), "root"), "_id", "left")
-                 .withColumn("root", F.coalesce("root", "_id")))
-    at = staged(at, "members")
-    mixed = (at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-               .where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
-    rows = at.join(staged(mixed, "mixed"), "key").withColumn("block", F.pmod(F.xxhash64("_id"), F.col("nb")).cast("int"))
+def block_links(rest: DataFrame, sets: DataFrame, percent: int, coords: int) -> DataFrame:
+    """Confirmed links (a, b) between the components of the buckets in ``rest`` (see :func:`mixed`)."""
+    own = rest.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most ``bands`` keys
+    full = sets.select(F.col("_id").alias("rep"), "mark", "elements").join(own, "rep")
+    rows = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "_id", "root")
-    rows = rows.join(sets.select("_id", "n", "mark"), "_id").select("key", "i", "j", "block", "_id", "root", "n", "mark")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root")
+    rows = rows.join(full, "rep").select("key", "i", "j", "block", "rep", "root", "keys", "mark", "elements")
+    kind = dict(rest.dtypes)["rep"]
+    return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                .mapInArrow(_exact_blocks(percent, coords), f"a {kind}, b {kind}"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
@@ -311,26 +344,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     wanted = spark.sparkContext.broadcast(id_filter(members.select("rep").distinct(), "rep"))
     at = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)).alias("_at")
     sets = staged(src.where("_id is not null").select("_id", "_text", at)
-                     .mapInArrow(_sets(k, rows, bands, wanted), f"_id {kind}, elements binary, mark binary, n bigint")
+                     .mapInArrow(_sets(k, rows, bands, wanted), f"_id {kind}, elements binary, mark binary")
                      .join(members.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
                      .dropDuplicates(["_id"]), "elements")
 
-    star = (members.where("rep > hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"))
-                   .groupBy("rep").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub")).alias("x"))
-                   .select(F.col("rep").alias("a"), F.col("x.hub").alias("b")))
-    first = components(confirm(staged(star, "stars"), sets, percent))
-    pairs = _unresolved(members, first, sets).mapInArrow(_block_pairs(percent, rows * bands), f"a {kind}, b {kind}")
-    more = confirm(staged(pairs.distinct(), "pairs"), sets, percent)
-
-    def root_of(col):
-        r = first.select(F.col("node").alias(col), F.col("root").alias(f"r{col}"))
-        return lambda df: df.join(r, col, "left").withColumn(col, F.coalesce(f"r{col}", col)).drop(f"r{col}")
-    second = components(root_of("b")(root_of("a")(more)))
-    final = (reps.select("set_key", "rep")
-                 .join(first.select(F.col("node").alias("rep"), F.col("root").alias("r1")), "rep", "left")
-                 .withColumn("r1", F.coalesce("r1", "rep"))
-                 .join(second.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
-                 .select("set_key", F.coalesce("r2", "r1").alias("component_id")))
+    roots, tried = None, []
+    for turn in range(MOST_ROUNDS):
+        rest = mixed(members, roots, turn)
+        star = (rest.where("root <> hub_root").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"))
+                    .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b"), "rep", "c"))
+        for t in tried:
+            star = star.join(t, ["a", "b"], "left_anti")
+        best = staged(star.groupBy("rep").agg(F.min(F.struct((-F.col("c")).alias("c"), "a", "b")).alias("x"))
+                          .select("x.a", "x.b").distinct(), "stars")
+        links = staged(confirm(best, sets, percent), "links")
+        pairs, joined = best.count(), links.count()
+        tried.append(best)
+        if joined:
+            roots = merged(roots, links)
+        if joined < LEAST_SHARE * pairs or not pairs:
+            break
+    rest = mixed(members, roots, 0)
+    links = staged(block_links(rest, sets, percent, rows * bands), "links")
+    if links.limit(1).count():
+        roots = merged(roots, links)
+    final = _rooted(reps.select("set_key", "rep"), roots).select("set_key", F.col("root").alias("component_id"))
     own = marks.select("_id", "n_shingles", "set_key")
     linked = salted_lookup(own.where("_id is not null and set_key is not null").withColumn("_salt", salt("_id", SALTS)),
                            final, "set_key", "_salt")
