@@ -150,6 +150,10 @@ def _explode(df: DataFrame) -> DataFrame:
               .select("conv_id", F.col("_pos").cast("bigint").alias("turn"), "_turn.role", "_turn.text"))
 
 
+def _prefixed(prefix: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
+
+
 def json_layout(json_col: str) -> tuple[Column, Column]:
     """(variant, layout name) of a JSON text, by the fingerprint of that row's own field paths."""
     v = F.try_parse_json(F.col(f"`{json_col}`"))
@@ -157,8 +161,7 @@ def json_layout(json_col: str) -> tuple[Column, Column]:
     parts = [F.coalesce(keys, F.array().cast("array<string>"))]
     for a in sorted({m.array for m in LAYOUTS.values() if m.array}):
         inner = F.map_keys(F.try_variant_get(v, f"$.{a}[0]", "map<string,variant>"))
-        parts.append(F.coalesce(F.transform(inner, lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)),
-                                F.array().cast("array<string>")))
+        parts.append(F.coalesce(_prefixed(f"{a}[].", inner), F.array().cast("array<string>")))
     paths = F.array_sort(F.array_intersect(F.concat(*parts), F.array(*[F.lit(p) for p in KNOWN])))
     mark = F.sha2(F.array_join(paths, "\n"), 256)
     names = F.create_map(*[x for d, n in BY_DIGEST.items() if not LAYOUTS[n].rows for x in (F.lit(d), F.lit(n))])

@@ -127,7 +127,7 @@ def sketches(sets: list[np.ndarray], coords: int) -> np.ndarray:
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     """Per sketch one 64-bit key for each band of ``rows`` consecutive coordinates (band number included)."""
-    v = values.reshape(len(values), -1, rows)
+    v = values.reshape(len(values), values.shape[1] // rows, rows)
     h = np.broadcast_to(np.arange(v.shape[1], dtype=np.uint64), v.shape[:2])
     for j in range(rows):
         h = mix(h ^ v[:, :, j])
