@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.plans import catalog_chat  # noqa: F401  (registers step_window_mean)
 from corpusflow.plans.catalog_enrich import _PERSONAS_SQL
 from corpusflow.plans import catalog_text  # noqa: F401  (registers lsh_dedup)
+from corpusflow.operators.dedup import sql_first_wins
 from corpusflow.plans.registry import REGISTRY, query, table
 from corpusflow.session import new_scratch_dir
 from corpusflow.streaming.dedup import stream_dedup as _stream_dedup
@@ -22,9 +23,9 @@ def stream_dedup(spark, sf):
     """ST2: first-wins dedup over 4 ordered arrivals (state compacted every 2 batches) equals the batch result."""
     work = new_scratch_dir(spark, "stream-dedup")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    land_in_order(docs, "doc_id", f"{work}/landing", 4)
-    out = _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, compact_every=2)
-    return out.select("doc_id", "lang")
+    run = lambda: _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, compact_every=2)
+    land_in_order(docs, "doc_id", f"{work}/landing", 4, after=run)
+    return run().select("doc_id", "lang")
 
 
 @query("stream_resume", _PERSONAS_SQL)
@@ -32,9 +33,10 @@ def stream_resume(spark, sf):
     """ST1: resumable enrichment; a re-run and a fresh-checkpoint run add nothing."""
     work = new_scratch_dir(spark, "stream-resume")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    land_in_order(docs, "doc_id", f"{work}/landing", 4)
-    for ckpt in ("checkpoint-a", "checkpoint-a", "checkpoint-b"):
-        _stream_resume(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, f"{work}/{ckpt}")
+    run = lambda c: _stream_resume(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, f"{work}/{c}")
+    land_in_order(docs, "doc_id", f"{work}/landing", 4, after=lambda: run("checkpoint-a"))
+    run("checkpoint-a")
+    run("checkpoint-b")
     rows = spark.read.parquet(f"{work}/out/rows")
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "persona", "country", "language")
 
@@ -44,8 +46,9 @@ def stream_step_mean(spark, sf):
     """ST3: step-block means in a stateful streaming aggregation."""
     work = new_scratch_dir(spark, "stream-steps")
     ev = table(spark, sf, "events").select("event_id", "value")
-    land_in_order(ev, "event_id", f"{work}/landing", 4)
-    return _stream_step_mean(spark, f"{work}/landing", "event_id bigint, value double", "event_id", "value", 300, work)
+    run = lambda: _stream_step_mean(spark, f"{work}/landing", "event_id bigint, value double", "event_id", "value", 300, work)
+    land_in_order(ev, "event_id", f"{work}/landing", 4, after=run)
+    return run()
 
 
 @query("stream_dedup_state", REGISTRY["lsh_dedup"][1])
@@ -54,8 +57,29 @@ def stream_dedup_state(spark, sf):
     from corpusflow.streaming.dedup_state import stream_dedup_state as _run
     work = new_scratch_dir(spark, "stream-dedup-state")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    land_in_order(docs, "doc_id", f"{work}/landing", 4)
-    return _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, carry=("lang",))
+    run = lambda: _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, carry=("lang",))
+    land_in_order(docs, "doc_id", f"{work}/landing", 4, after=run)
+    return run()
+
+
+# Every third document arrives in a second, late micro-batch.
+_LATE_ORD = "(CASE WHEN doc_id % 3 = 1 THEN 1000000000000 ELSE 0 END + doc_id)"
+
+
+@query("stream_late_rows", f"""SELECT k.o % 1000000000000 AS doc_id, d.lang FROM
+  ({sql_first_wins(f"(SELECT {_LATE_ORD} AS o, text FROM documents)", 'o', 'text')}) k
+  JOIN documents d ON d.doc_id = k.o % 1000000000000""")
+def stream_late_rows(spark, sf):
+    """ST2: rows that arrive late (smaller ord than rows before them) are kept when they are new, in both forms."""
+    from corpusflow.streaming.dedup_state import stream_dedup_state as _run
+    work = new_scratch_dir(spark, "stream-late")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    late = F.col("doc_id") % 3 == 1
+    for part in (docs.where(~late), docs.where(late)):
+        part.write.mode("append").parquet(f"{work}/landing")
+        by_state = _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", f"{work}/state", carry=("lang",))
+        by_table = _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", f"{work}/table")
+    return by_state.join(by_table.select("doc_id"), "doc_id").select("doc_id", "lang")
 
 
 @query("persona_job", _PERSONAS_SQL)

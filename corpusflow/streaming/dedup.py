@@ -4,7 +4,8 @@ State is a ``seen(band, key, first)`` Parquet table partitioned by batch.
 For a micro-batch: band keys of its rows, the batch's own ``min(ord)`` per
 (band, key), an anti-join with ``seen`` (keys an earlier batch owns), and
 the same count rule as the batch job: a row is kept iff it is first in all
-bands.  Valid when later batches carry larger ``ord`` (append-only arrival).
+bands.  The order is (micro-batch, ``ord``): a late row competes with the rows
+that came before it.
 """
 
 from __future__ import annotations
@@ -12,25 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.dedup import COEFF_SEED, NUM_PERM, band_keys, lsh_params, minhash_coefficients, signatures
-from corpusflow.operators.parallel import bounded_broadcast
-from corpusflow.streaming.landing import run_available
-
-# Band keys of one micro-batch that may be broadcast (9 per row); bound the
-# batch with maxFilesPerTrigger / maxBytesPerTrigger to stay under it.
-MAX_BATCH_KEYS = 5_000_000
+from corpusflow.operators.dedup import COEFF_SEED, NUM_PERM, band_keys, lsh_params, minhash_coefficients, signatures, unique_ords
+from corpusflow.sources.ledger import path_exists
+from corpusflow.streaming.landing import read_files, run_available
 
 
 def compact_seen(spark: SparkSession, seen_path: str, before_batch: int) -> None:
-    """Merge the state partitions of committed batches (< ``before_batch``) into one.
+    """Merge the state partitions of the batches that no earlier merge holds (0 <= id < ``before_batch``).
 
-    The merged rows are appended as partition ``batch_id = -before_batch`` and
-    the merged partitions are deleted afterwards.  A crash in between leaves
+    The merged rows become partition ``batch_id = -before_batch`` and the
+    merged partitions are deleted afterwards.  Earlier merges (negative ids) are
+    left alone, so each row is rewritten once.  A crash in between leaves
     duplicate keys, which cannot change an anti-join; a replay simply merges
     again.  Fewer, larger files keep the per-batch probe scan cheap.
     """
-    old = spark.read.parquet(seen_path).where(F.col("batch_id") < before_batch)
-    ids = [r["batch_id"] for r in old.select("batch_id").distinct().collect()]   # one id per batch
+    old = spark.read.parquet(seen_path).where((F.col("batch_id") < before_batch) & (F.col("batch_id") >= 0))
+    ids = [r["batch_id"] for r in old.select("batch_id").distinct().collect()]   # one id per batch since the last merge
     if len(ids) < 2:
         return
     (old.select("band", "key", "first").distinct()
@@ -39,9 +37,8 @@ def compact_seen(spark: SparkSession, seen_path: str, before_batch: int) -> None
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for i in ids:
-        if i != -before_batch:
-            path = jvm.org.apache.hadoop.fs.Path(f"{seen_path}/batch_id={i}")
-            path.getFileSystem(conf).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(f"{seen_path}/batch_id={i}")
+        path.getFileSystem(conf).delete(path, True)
 
 
 def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path: str, out_path: str,
@@ -59,21 +56,15 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
         bfirst = keys.groupBy("band", "key").agg(F.min(ord_col).alias("first")).persist()
         new = None
         try:
-            try:
-                seen = (spark.read.parquet(seen_path).where(F.col("batch_id") != batch_id)
-                        .select("band", "key"))
-                # The state table only streams through a probe of this batch's
-                # keys (size-checked broadcast); it is never shuffled.
-                probe = bounded_broadcast(bfirst.select("band", "key"), MAX_BATCH_KEYS)
-                owned = seen.join(probe, ["band", "key"], "left_semi")
-                new = bfirst.join(owned, ["band", "key"], "left_anti")
-            except Exception as e:  # noqa: BLE001 - no state yet
-                if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                    raise
+            if path_exists(spark, seen_path):
+                seen = spark.read.parquet(seen_path).where(F.col("batch_id") != batch_id).select("band", "key")
+                # An equi-join on (band, key): AQE broadcasts the batch's side when it measures small.
+                new = bfirst.join(seen, ["band", "key"], "left_anti")
+            else:
                 new = bfirst
             new = new.persist()
             kept = (new.groupBy("first").agg(F.count(F.lit(1)).alias("_nb")).where(F.col("_nb") == b)
-                       .select(F.col("first").alias(ord_col)))
+                       .select(F.col("first").alias(ord_col)).join(unique_ords(batch, ord_col), ord_col, "left_semi"))
             (batch.join(kept, ord_col, "left_semi").write.mode("overwrite")
                   .parquet(f"{out_path}/batch_id={batch_id}"))
             (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
@@ -89,10 +80,12 @@ def dedup_batch_fn(spark: SparkSession, ord_col: str, text_col: str, seen_path:
 
 
 def stream_dedup(spark: SparkSession, source_path: str, schema, ord_col: str, text_col: str, work_dir: str,
-                 files_per_trigger: int = 1, **kw) -> DataFrame:
-    """``kw``: dedup parameters and ``compact_every`` (merge committed state every N batches)."""
-    """Run the incremental dedup over everything in ``source_path``; return the kept rows."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
+                 files_per_trigger: int | None = None, **kw) -> DataFrame:
+    """Run the incremental dedup over everything in ``source_path``; return the kept rows.
+
+    ``kw``: dedup parameters and ``compact_every`` (merge committed state every N batches).
+    """
+    stream = read_files(spark, source_path, schema, files_per_trigger)
     fn = dedup_batch_fn(spark, ord_col, text_col, f"{work_dir}/seen", f"{work_dir}/out", **kw)
     run_available(stream, fn, f"{work_dir}/checkpoint", None)
     return spark.read.schema(schema).parquet(f"{work_dir}/out")

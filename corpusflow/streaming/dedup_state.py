@@ -1,14 +1,14 @@
 """ST2, keyed-state form: incremental first-wins dedup on the streaming state store.
 
-``groupBy(band, key).agg(min(ord), max(ord), min_by(carry, ord))`` runs as a
-stateful streaming aggregation (JVM, partial aggregation before the shuffle,
-one state row per band key, keyed lookups: no scan of all state per batch).
-In update mode each micro-batch emits the keys it touched.  A row that
-arrived in this batch (``ord`` above the previous batch's largest ``ord``) is
-kept iff it is the minimum of all its band keys; the batch's largest ``ord``
-is the largest ``max(ord)`` it emitted, recorded per batch id so that a
-replayed batch reads the same threshold.  Valid when later batches carry
-larger ``ord`` values (append-only arrival).
+``groupBy(band, key)`` keeps, per band key, the first row by (arrival, ``ord``)
+and the last arrival, as a stateful streaming aggregation (JVM, partial
+aggregation before the shuffle, one state row per band key, keyed lookups: no
+scan of all state per batch).  The arrival of a row is its micro-batch's
+timestamp, which Spark records in the checkpoint, so a replay sees the same one.
+In update mode a micro-batch emits the keys it touched; a key is new when its
+first and last arrival are equal.  A row is kept iff it is first in all its band
+keys.  Rows may arrive in any order of ``ord``: a late row competes with those
+that came before it and is kept when it is new.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import shingle_hashes, shingles
 from corpusflow.operators.dedup import COEFF_SEED, NUM_PERM, _minhash_udf, lsh_params, minhash_coefficients
+from corpusflow.streaming.landing import read_files, run_to_end
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,21 +30,9 @@ def band_rows(stream: DataFrame, ord_col: str, text_col: str, carry: list, k: in
                   .select(ord_col, *carry, F.posexplode(keys).alias("band", "key")))
 
 
-def _previous_max(spark: SparkSession, marks: str, batch_id: int):
-    try:
-        row = (spark.read.parquet(marks).where(F.col("batch_id") < batch_id)
-               .agg(F.max("max_ord").alias("m")).first())
-        return row["m"] if row else None
-    except Exception as e:  # noqa: BLE001 - no marks yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        return None
-
-
 def stream_dedup_state(spark: SparkSession, source_path: str, schema, ord_col: str, text_col: str, work_dir: str,
-                       carry: tuple = (), files_per_trigger: int = 1, threshold: float = 0.8, k: int = 3,
-                       num_perm: int = NUM_PERM, seed: int = COEFF_SEED, rocksdb: bool = False,
-                       timeout_s: int = 900) -> DataFrame:
+                       carry: tuple = (), files_per_trigger: int | None = None, threshold: float = 0.8, k: int = 3,
+                       num_perm: int = NUM_PERM, seed: int = COEFF_SEED, rocksdb: bool = False) -> DataFrame:
     """Run over everything available in ``source_path``; return kept (ord, carry...) rows.
 
     ``rocksdb=True`` switches the session to the RocksDB state store (state on
@@ -55,33 +44,22 @@ def stream_dedup_state(spark: SparkSession, source_path: str, schema, ord_col: s
     if rocksdb:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     carry = list(carry)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
-    rows = band_rows(stream, ord_col, text_col, carry, k, coeffs, b, r)
+    stream = read_files(spark, source_path, schema, files_per_trigger).withColumn("_at", F.current_timestamp())
+    rows = band_rows(stream, ord_col, text_col, ["_at", *carry], k, coeffs, b, r)
+    order = F.struct(F.col("_at").alias("at"), F.col(ord_col).alias("o"))
     firsts = rows.groupBy("band", "key").agg(
-        F.min(ord_col).alias("_first"), F.max(ord_col).alias("_last"),
-        *[F.min_by(c, F.col(ord_col)).alias(c) for c in carry])
-    out, marks = f"{work_dir}/out", f"{work_dir}/marks"
+        F.min(order).alias("_first"), F.max("_at").alias("_last"),
+        *[F.min_by(c, order).alias(c) for c in carry])
+    out = f"{work_dir}/out"
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            prev = _previous_max(spark, marks, batch_id)
-            fresh = batch if prev is None else batch.where(F.col("_first") > F.lit(prev))
-            kept = (fresh.groupBy("_first", *carry).agg(F.count(F.lit(1)).alias("_wins"))
-                         .where(F.col("_wins") == b)
-                         .select(F.col("_first").alias(ord_col), *carry))
-            kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-            (batch.agg(F.max("_last").alias("max_ord")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-                  .write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}"))
-        finally:
-            batch.unpersist()
+        fresh = batch.where(F.col("_first.at") == F.col("_last"))
+        kept = (fresh.groupBy(F.col("_first.o").alias(ord_col), *carry).agg(F.count(F.lit(1)).alias("_wins"))
+                     .where(F.when(F.col("_wins") <= b, F.col("_wins") == b)
+                             .otherwise(F.raise_error(F.lit(f"{ord_col} is repeated inside a micro-batch")).cast("boolean")))
+                     .select(ord_col, *carry))
+        kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    q = (firsts.writeStream.outputMode("update").foreachBatch(fn)
-               .option("checkpointLocation", f"{work_dir}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    run_to_end(firsts.writeStream.outputMode("update").foreachBatch(fn)
+                     .option("checkpointLocation", f"{work_dir}/checkpoint"))
     return spark.read.parquet(out).select(ord_col, *carry)

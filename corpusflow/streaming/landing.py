@@ -1,19 +1,21 @@
-"""Landing folders for file-source streams.
-
-``land_in_order`` appends a table to a folder in ``chunks`` ranges of an
-order column, one file per range, each range written after the previous
-one, so the file source (oldest file first) replays them in order.  Test
-harness for arrivals; a production landing folder is filled by producers.
-"""
+"""Landing folders for file-source streams, and running a stream over what has landed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4) -> list:
-    """Append ``df`` to ``path`` as ``chunks`` ordered range files, oldest first; returns the cut points."""
+def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4, after: Callable[[], object] | None = None) -> list:
+    """Append ``df`` to ``path`` in ``chunks`` ranges of ``ord_col``, oldest first; returns the cut points.
+
+    Each range is written by as many tasks as its rows need.  ``after`` runs
+    after each append, e.g. the stream over the folder, so that a range is one
+    micro-batch whatever its number of files.  Test harness for arrivals; a
+    production landing folder is filled by producers.
+    """
     probs = [i / chunks for i in range(1, chunks)]
     cuts = df.approxQuantile(ord_col, probs, 0.001) if chunks > 1 else []
     bounds = [None] + cuts + [None]
@@ -23,19 +25,29 @@ def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4) -> li
             part = part.where(F.col(ord_col) > F.lit(lo))
         if hi is not None:
             part = part.where(F.col(ord_col) <= F.lit(hi))
-        part.coalesce(1).sortWithinPartitions(ord_col).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        if after:
+            after()
     return cuts
 
 
-def run_available(stream_df, fn, checkpoint: str, name: str | None = None, timeout_s: int = 600) -> None:
-    """Process everything available now through ``foreachBatch(fn)`` and stop."""
-    w = stream_df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if name:
-        w = w.queryName(name)
-    q = w.start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def read_files(spark, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the Parquet files under ``path``; all that is new, or a number of files, per micro-batch."""
+    r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(path)
+
+
+def run_to_end(writer) -> None:
+    """Start a stream over everything available and wait until it has ended, however long that takes.
+
+    ``awaitTermination`` raises the query's error, so a result is never read from a stream that failed.
+    """
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def run_available(stream_df: DataFrame, fn, checkpoint: str, name: str | None = None) -> None:
+    """Process everything available now through ``foreachBatch(fn)``."""
+    w = stream_df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+    run_to_end(w.queryName(name) if name else w)

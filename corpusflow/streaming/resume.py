@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from corpusflow.operators.enrich import split_parsed
 from corpusflow.operators.expand import explode_items
 from corpusflow.plans import personas as P
-from corpusflow.sources.ledger import append_ledger, read_ledger
-from corpusflow.streaming.landing import run_available
-
-MAX_BATCH_ROWS = 5_000_000   # micro-batch keys that may be broadcast against the ledger
+from corpusflow.sources.ledger import append_ledger, path_exists, read_ledger
+from corpusflow.streaming.landing import read_files, run_available
 
 
 def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path: str, out_path: str,
@@ -27,11 +25,12 @@ def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path
     """``foreachBatch`` function of the resumable enrichment (rows, rejects, ledger per batch)."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         ledger = read_ledger(spark, ledger_path, op, exclude=(run, batch_id))
-        prompted = P.persona_prompts(batch, id_col, text_col, ledger, small_input_rows=MAX_BATCH_ROWS)
-        # Model replies are written before use: a lost executor must not make
-        # the (non-deterministic) model answer twice for one batch.
+        # Model replies are written before use and kept: neither a lost executor
+        # nor a replay of the batch asks the (non-deterministic) model again.
         enriched_path = f"{out_path}/enriched/run={run}/batch_id={batch_id}"
-        P.enrich_personas(prompted, id_col, client_factory).write.mode("overwrite").parquet(enriched_path)
+        if not path_exists(spark, f"{enriched_path}/_SUCCESS"):
+            prompted = P.persona_prompts(batch, id_col, text_col, ledger)
+            P.enrich_personas(prompted, id_col, client_factory).write.mode("overwrite").parquet(enriched_path)
         enriched = spark.read.parquet(enriched_path)
         ok, rejects = split_parsed(enriched, "items")
         rows = explode_items(ok, "items", id_col)
@@ -45,10 +44,10 @@ def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path
 
 
 def stream_resume(spark: SparkSession, source_path: str, schema, id_col: str, text_col: str, work_dir: str,
-                  checkpoint: str, files_per_trigger: int = 1, client_factory=None) -> None:
+                  checkpoint: str, files_per_trigger: int | None = None, client_factory=None) -> None:
     """One run of the resumable job over everything available in ``source_path``."""
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
+    stream = read_files(spark, source_path, schema, files_per_trigger)
     fn = resume_batch_fn(spark, id_col, text_col, f"{work_dir}/ledger", f"{work_dir}/out", run,
                          client_factory=client_factory)
     run_available(stream, fn, checkpoint)
