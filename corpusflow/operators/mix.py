@@ -1,8 +1,8 @@
 """Dataset mixing.
 
-Each part is shuffled by a keyed hash (seed | part | split | row key), ranked
-exactly with bucketed offsets (no single-partition window), cut to a count
-or a fraction, aligned to the first train part's schema and unioned by name.
+Each part is shuffled by a keyed hash (seed | part | split | row key), cut to a
+count or a fraction by a threshold on that key (exact, and only the rows below
+it are exchanged), aligned by column and field name and unioned.
 """
 
 from __future__ import annotations
@@ -12,38 +12,36 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.keys import keyed_hash
 from corpusflow.operators.filters import require_columns, split_kind
 from corpusflow.operators.messages import to_messages
-from corpusflow.operators.positions import exact_positions, sorted_positions
+from corpusflow.operators.positions import exact_positions, first_by_key, sorted_positions
 
 
 def parse_mixer(mixer) -> dict:
-    """Dict as is; a flat list [name, amount, ...] with string or numeric amounts."""
+    """A dict as it is, or a flat list of names and amounts; a text amount with a point is a fraction."""
     if isinstance(mixer, dict):
         return dict(mixer)
-    if len(mixer) % 2:
-        raise ValueError(f"data mixer list length is not even: {mixer}")
-    out = {}
-    for name, val in zip(mixer[0::2], mixer[1::2]):
-        if not isinstance(name, str):
-            raise ValueError(f"invalid type in data mixer: {mixer}")
-        if isinstance(val, str):
-            val = float(val) if "." in val else int(val)
-        out[name] = val
-    return out
+    names, amounts = list(mixer[0::2]), list(mixer[1::2])
+    if len(names) != len(amounts):
+        raise ValueError(f"the mixer has {len(names)} names but {len(amounts)} amounts: {mixer}")
+    wrong = [n for n in names if not isinstance(n, str)]
+    if wrong:
+        raise ValueError(f"part names must be text, not {wrong}")
+    return {n: (float(v) if "." in v else int(v)) if isinstance(v, str) else v for n, v in zip(names, amounts)}
 
 
 def amount_mode(amounts: list) -> bool:
-    """True for count mode (any value > 1, all ints), False for fractions."""
-    if any(a < 0 for a in amounts):
-        raise ValueError("dataset fractions / lengths cannot be negative")
-    if any(a > 1 for a in amounts):
-        if not all(isinstance(a, int) and not isinstance(a, bool) for a in amounts):
-            raise NotImplementedError("cannot mix fractions and counts")
-        return True
-    return False
+    """True for row counts (some amount above 1, all integers), False for fractions."""
+    below = [v for v in amounts if v < 0]
+    if below:
+        raise ValueError(f"amounts below zero: {below}")
+    counts = max(amounts, default=0) > 1
+    if counts and not all(type(v) is int for v in amounts):
+        raise NotImplementedError(f"either all amounts are row counts or all are fractions: {amounts}")
+    return counts
 
 
 def row_key(df: DataFrame, order_col: str | None) -> F.Column:
@@ -53,77 +51,155 @@ def row_key(df: DataFrame, order_col: str | None) -> F.Column:
     return F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
 
 
+def _keyed(df: DataFrame, name: str, split: str, seed: int, order_col: str | None) -> DataFrame:
+    """Rows with ``_rk`` (identity) and the uniform ``_k``.
+
+    Without a unique column, equal rows would share one key and land in one
+    task however many there are.  They are counted first (partial aggregation)
+    and dealt out again as numbered copies with keys of their own.
+    """
+    d = df.withColumn("_rk", row_key(df, order_col))
+    if not order_col:
+        rows = d.groupBy("_rk").agg(F.any_value(F.struct(*[F.col(c) for c in df.columns])).alias("_row"), F.count(F.lit(1)).alias("_c"))
+        rows = rows.select("_rk", "_row", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_copy"))
+        d = rows.select("_row.*", F.concat_ws("#", "_rk", F.nullif(F.col("_copy").cast("string"), F.lit("1"))).alias("_rk"))
+    return d.withColumn("_k", keyed_hash(seed, name, split, F.col("_rk")))
+
+
 def shuffled_positions(df: DataFrame, name: str, split: str, seed: int, order_col: str | None,
                        out: str = "pos", total_out: str | None = None) -> DataFrame:
     """L2: exact 0-based position in the part's keyed shuffle."""
-    d = df.withColumn("_rk", row_key(df, order_col))
-    d = d.withColumn("_k", keyed_hash(seed, name, split, F.col("_rk")))
-    return exact_positions(d, "_k", "_rk", out=out, total_out=total_out).drop("_k", "_rk")
+    return exact_positions(_keyed(df, name, split, seed, order_col), "_k", "_rk", out=out, total_out=total_out).drop("_k", "_rk")
+
+
+def _merged_type(a: T.DataType, b: T.DataType, at: str) -> T.DataType:
+    """The type of a column that two parts have: structs by field name, the first's order; widest of two numbers."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        both = {f.name: f for f in b.fields}
+        own = [T.StructField(f.name, _merged_type(f.dataType, both[f.name].dataType, f"{at}.{f.name}") if f.name in both else f.dataType)
+               for f in a.fields]
+        return T.StructType(own + [T.StructField(f.name, f.dataType) for f in b.fields if f.name not in a.names])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_merged_type(a.elementType, b.elementType, f"{at}[]"))
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(a, whole) and isinstance(b, whole):
+        return max(a, b, key=lambda t: whole.index(type(t)))
+    if all(isinstance(t, (*whole, T.FloatType, T.DoubleType)) for t in (a, b)):
+        return T.DoubleType()
+    raise ValueError(f"column {at}: parts have types {a.simpleString()} and {b.simpleString()}, which do not agree")
+
+
+def _shaped(c: F.Column, have: T.DataType, want: T.DataType) -> F.Column:
+    """``c`` rebuilt as ``want``: nested fields are taken by name, missing ones are NULL."""
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        kinds = {f.name: f.dataType for f in have.fields}
+        fields = [(_shaped(c[f.name], kinds[f.name], f.dataType) if f.name in kinds else F.lit(None).cast(f.dataType)).alias(f.name)
+                  for f in want.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(c, lambda x: _shaped(x, have.elementType, want.elementType))
+    return c.cast(want)
+
+
+def align_parts(parts: list[DataFrame], columns: list[str]) -> list[DataFrame]:
+    """Every part with the same columns and types.
+
+    A column's type comes from the parts that have it (the first leads); a part
+    without it gets NULL of that type.  Types that do not agree are an error.
+    """
+    types: dict[str, T.DataType] = {}
+    for d in parts:
+        for f in d.schema.fields:
+            if f.name in columns:
+                types[f.name] = _merged_type(types[f.name], f.dataType, f.name) if f.name in types else f.dataType
+    types = {c: types.get(c, T.StringType()) for c in columns}
+    types = {c: T.StringType() if isinstance(t, T.NullType) else t for c, t in types.items()}
+    out = []
+    for d in parts:
+        have = {f.name: f.dataType for f in d.schema.fields}
+        out.append(d.select(*[(_shaped(F.col(c), have[c], t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()]))
+    return out
 
 
-def mix(load: Callable[[str, str], DataFrame], mixer, splits=("train", "test"), columns_to_keep=(),
+def table_loader(spark, configs: dict | None = None) -> Callable[..., DataFrame]:
+    """Loader of parts by name: a JSON(L) file, else a saved dataset folder (``<name>[/<config>]/<split>``, Parquet or JSON)."""
+    from corpusflow.sources.ledger import path_exists
+    from corpusflow.sources.tables import read_any
+
+    def load(name: str, split: str, config: str | None = None) -> DataFrame:
+        if name.endswith((".json", ".jsonl")):
+            return read_any(spark, name)
+        root = "/".join(x for x in (name.rstrip("/"), config) if x)
+        for path in (f"{root}/{split}", f"{root}/{split}.parquet", f"{root}/{split}.jsonl", f"{root}/{split}.json"):
+            if path_exists(spark, path):
+                return read_any(spark, path)
+        raise ValueError(f"no split {split!r} of {root!r}")
+    return load
+
+
+def mix(load: Callable[..., DataFrame], mixer, splits=("train", "test"), columns_to_keep=(),
         shuffle: bool = True, seed: int = 42, need_columns=None, keep_ids: bool = False,
         add_source_col: bool = False, order_col: str | None = None, check_counts: bool = True,
-        save_dir: str | None = None) -> dict[str, DataFrame]:
+        save_dir: str | None = None, configs: list | None = None) -> dict[str, DataFrame]:
     """Mix parts into {"train": df, "test": df}.
 
-    ``load(name, split)`` returns a part.  Train parts are cut to the count or
-    fraction given for their part; test parts are kept whole.  ``order_col``
-    names a unique column to key the shuffle (else the row content is).
+    ``load(name, split)``, or ``load(name, split, config)`` when ``configs``
+    gives one configuration per part, returns a part.  Train parts are cut to
+    the count or fraction given for their part; test parts are kept whole.
+    ``order_col`` names a unique column to key the shuffle (else the row content is).
+
+    A part is cut by key threshold before anything is exchanged; positions are
+    computed only where they are used: to cut, or as ids that are kept.
     """
     amounts = parse_mixer(mixer)
     is_count = amount_mode(list(amounts.values()))
-    keep = list(columns_to_keep or [])
-    train, test, raw_train = [], [], []
-    for name, amount in amounts.items():
+    if configs and len(configs) != len(amounts):
+        raise ValueError(f"{len(configs)} configurations for {len(amounts)} parts")
+    keep = [c for c in dict.fromkeys(columns_to_keep or []) if c != "id"]
+    parts: dict[str, list[DataFrame]] = {"train": [], "test": []}
+    raw_train = []
+    for i, (name, amount) in enumerate(amounts.items()):
         for split in splits:
             kind = split_kind(split)
-            df = load(name, split)
+            df = load(name, split, configs[i]) if configs else load(name, split)
             if need_columns:
                 require_columns(df, need_columns)
             if kind == "train":
                 raw_train.append((name, amount, df))
             df = to_messages(df)
-            if shuffle or "id" not in df.columns:
-                if not shuffle and not order_col:
-                    raise ValueError("without shuffle, positions need an integer order_col")
-                if shuffle:
-                    df = shuffled_positions(df, name, split, seed, order_col, total_out="_total")
-                else:
-                    df = sorted_positions(df, order_col, out="pos", total_out="_total")
-            if "id" not in df.columns:
+            new_ids = (keep_ids or save_dir) and "id" not in df.columns
+            if not shuffle and not order_col and (new_ids or kind == "train"):
+                raise ValueError("without shuffle, positions need an order_col")
+            limit = F.lit(amount) if is_count else F.floor(F.col("_tot") * F.lit(float(amount)))
+            if kind == "train" and shuffle:
+                df = first_by_key(_keyed(df, name, split, seed, order_col), "_k", "_rk", limit, out="pos").drop("_k", "_rk")
+            elif kind == "train":
+                df = sorted_positions(df, order_col, out="pos", total_out="_tot").where(F.col("pos") < limit)
+            elif new_ids:
+                df = shuffled_positions(df, name, split, seed, order_col) if shuffle else sorted_positions(df, order_col)
+            if new_ids:
                 df = df.withColumn("id", F.concat(F.lit(f"{name}_"), F.col("pos").cast("string")))
-            if kind == "train":
-                limit = F.lit(amount) if is_count else F.floor(F.col("_total") * F.lit(float(amount)))
-                df = df.where(F.col("pos") < limit)
-            cols = [c for c in df.columns if c in keep + ["id"]]
-            df = df.select(*cols)
+            df = df.select(*[c for c in ["id", *keep] if c in df.columns])
             if add_source_col:
                 df = df.withColumn("source", F.lit(name))
-            for c in keep:
-                if c not in df.columns:
-                    df = df.withColumn(c, F.lit(None).cast("string"))
-            (train if kind == "train" else test).append((name, amount, df))
-    if not train and not test:
-        raise ValueError("no datasets loaded")
-    target = (train or test)[0][2].schema
-
-    def align(d: DataFrame) -> DataFrame:
-        return d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
-
-    out = {}
-    if train:
-        out["train"] = reduce(lambda a, b: a.unionByName(b), [align(d) for _, _, d in train])
-        if is_count and check_counts:
-            _check_counts(raw_train)
-    if test:
-        out["test"] = reduce(lambda a, b: a.unionByName(b), [align(d) for _, _, d in test])
+            parts[kind].append(df)
+    if not any(parts.values()):
+        raise ValueError(f"the splits {list(splits)} gave no part to mix")
+    if is_count and check_counts and raw_train:
+        _check_counts(raw_train)
+    every = parts["train"] + parts["test"]
+    columns = (["id"] if any("id" in d.columns for d in every) else []) + keep + (["source"] if add_source_col else [])
+    aligned = align_parts(every, columns)
+    n = len(parts["train"])
+    out = {k: reduce(lambda a, b: a.unionByName(b), v) for k, v in (("train", aligned[:n]), ("test", aligned[n:])) if v}
     if save_dir:
         for split, d in out.items():
             d.write.mode("overwrite").json(f"{save_dir.rstrip('/')}/mixed_ds_{split}")
-    if not keep_ids:
-        out = {k: v.drop("id") for k, v in out.items()}
-    return out
+    return out if keep_ids else {k: v.drop("id") for k, v in out.items()}
 
 
 def _check_counts(train) -> None:
@@ -140,10 +216,24 @@ def _check_counts(train) -> None:
             raise ValueError(f"requested {amount} rows from {name}, only {got.get(i, 0)} available")
 
 
-def manifest(mixed: DataFrame, model_name: str, source_col: str = "source") -> DataFrame:
-    """K5: one-row lineage record (datasets and row counts per source, model)."""
-    per = mixed.groupBy(source_col).agg(F.count(F.lit(1)).alias("rows"))
-    return per.agg(F.array_sort(F.collect_list(source_col)).alias("datasets"),
-                   F.sum("rows").cast("bigint").alias("rows"),
-                   F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(source_col, "rows"))))).alias("rows_by_source")) \
-              .withColumn("model_name", F.lit(model_name))
+def manifest(mixed: DataFrame, model_name: str, source_col: str = "source", datasets: list[str] | None = None,
+             base_model: str | None = None, model_type: str = "sft") -> DataFrame:
+    """K5: one-row lineage record.
+
+    ``datasets`` lists the declared parts: each appears, also with no row left
+    in the mix; by default the parts that have rows.
+    """
+    per = mixed.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
+    if datasets is not None:
+        declared = mixed.sparkSession.createDataFrame([(d,) for d in datasets], "source string")
+        per = declared.join(per, "source", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
+    one = per.agg(F.array_sort(F.collect_list("source")).alias("datasets"),
+                  F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows"),
+                  F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "rows"))))).alias("rows_by_source"))
+    return (one.withColumn("model_name", F.lit(model_name)).withColumn("model_type", F.lit(model_type))
+               .withColumn("base_model", F.lit(base_model).cast("string")))
+
+
+def save_manifest(record: DataFrame, path: str) -> None:
+    """K5: the record as a JSON file under ``path`` (one row, one file)."""
+    record.write.mode("overwrite").json(path)

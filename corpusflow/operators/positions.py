@@ -1,10 +1,9 @@
 """Exact row positions and running sums without a single-partition window.
 
 ``row_number() over (order by k)`` with no partition moves every row into one
-task.  Here the order key is a uniform hash, so its high bits split rows into
-``buckets`` equal ranges: a small (groups x buckets) count table gives each
-range its offset, and the row number is only computed inside each range.
-The result equals the global row number exactly.
+task.  Here rows are cut into ordered buckets: a small count table gives each
+bucket its offset, and the row number is only computed inside each bucket.  The
+result equals the global row number exactly.
 """
 
 from __future__ import annotations
@@ -16,60 +15,97 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import KEY_HEX_DIGITS
 
+# At 10^11 rows a bucket holds about 1.5 million; the offset table has at most this many rows.
+BUCKETS = 1 << 16
 
-def exact_positions(df: DataFrame, order_key: str, tiebreak: str | list[str],
-                    partition_cols: list[str] | tuple = (), out: str = "pos",
-                    total_out: str | None = None, key_bits: int = 4 * KEY_HEX_DIGITS,
-                    buckets: int = 1024) -> DataFrame:
-    """Add ``out`` = 0-based position in (order_key, tiebreak) order per partition.
 
-    ``order_key`` must be a BIGINT spread uniformly over [0, 2**key_bits)
-    (see :func:`corpusflow.functions.keys.keyed_hash`).  ``total_out`` adds the
-    group size, taken from the same count table.
+def _bucket(order_key: str, key_bits: int, buckets: int) -> Column:
+    """High bits of a uniform key.
+
+    Never NULL: otherwise the optimizer would infer a filter on one of the two
+    uses of the input, and the scan and shuffle below would no longer be shared.
     """
-    pcols = list(partition_cols)
-    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     bits = max(0, min(key_bits, int(math.log2(buckets))))
-    shift = key_bits - bits
-    # A non-nullable bucket keeps the optimizer from inferring an IS NOT NULL
-    # filter on one branch only, so both uses of `df` stay identical and the
-    # scan/shuffle below them is computed once (ReusedExchange).
-    d = df.withColumn("_bkt", F.shiftrightunsigned(F.coalesce(F.col(order_key), F.lit(0).cast("bigint")), shift))
+    return F.shiftrightunsigned(F.coalesce(F.col(order_key), F.lit(0).cast("bigint")), key_bits - bits)
+
+
+def _offsets(d: DataFrame, pcols: list[str]) -> DataFrame:
+    """(pcols, _bkt, _off, _tot): rows before each bucket, and in all buckets of the group."""
     counts = d.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*pcols, "_bkt",
-                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+    return counts.select(*pcols, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                          F.sum("_n").over(Window.partitionBy(*pcols)).alias("_tot"))
-    # Without groups the offset table has at most `buckets` rows: a proven
+
+
+def _numbered(d: DataFrame, pcols: list[str], order: list[Column], out: str, total_out: str | None) -> DataFrame:
+    offs = _offsets(d, pcols)
+    # Without groups the offset table has at most one row per bucket: a proven
     # bound, so it is broadcast.  With groups its size is groups x buckets and
     # the join strategy is left to AQE's runtime statistics.
     offs = F.broadcast(offs) if not pcols else offs
-    local = F.row_number().over(
-        Window.partitionBy(*pcols, "_bkt").orderBy(F.col(order_key), *[F.col(t) for t in ties]))
-    res = (d.join(offs, [*pcols, "_bkt"])
-             .withColumn(out, F.col("_off") + local - 1))
+    local = F.row_number().over(Window.partitionBy(*pcols, "_bkt").orderBy(*order))
+    res = d.join(offs, [*pcols, "_bkt"]).withColumn(out, F.col("_off") + local - 1)
     if total_out:
         res = res.withColumnRenamed("_tot", total_out)
     return res.drop("_bkt", "_off", "_tot")
 
 
+def exact_positions(df: DataFrame, order_key: str, tiebreak: str | list[str],
+                    partition_cols: list[str] | tuple = (), out: str = "pos",
+                    total_out: str | None = None, key_bits: int = 4 * KEY_HEX_DIGITS,
+                    buckets: int = BUCKETS) -> DataFrame:
+    """Add ``out`` = 0-based position in (order_key, tiebreak) order per partition.
+
+    ``order_key`` must be a BIGINT spread uniformly over [0, 2**key_bits) (see
+    :func:`corpusflow.functions.keys.keyed_hash`); rows with equal keys should
+    be few (callers with many equal rows number the different rows once and
+    deal out their copies).  ``total_out`` adds the group size, taken from the
+    same count table.
+    """
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
+    d = df.withColumn("_bkt", _bucket(order_key, key_bits, buckets))
+    return _numbered(d, list(partition_cols), [F.col(order_key), *[F.col(t) for t in ties]], out, total_out)
+
+
+def first_by_key(df: DataFrame, order_key: str, tiebreak: str, limit: Column, out: str = "_pos",
+                 key_bits: int = 4 * KEY_HEX_DIGITS, buckets: int = BUCKETS) -> DataFrame:
+    """The first ``limit`` rows in (order_key, tiebreak) order, with their position ``out``.
+
+    ``limit`` may use ``_tot``, the number of rows.  A count per bucket of the
+    key (a scan of the key's columns alone) says in which bucket the last row
+    lies; rows of later buckets are dropped by a filter in front of the exchange,
+    so only about ``limit`` rows are shuffled and sorted.
+    """
+    d = df.withColumn("_bkt", _bucket(order_key, key_bits, buckets))
+    last = _offsets(d, []).where(F.col("_off") < limit).agg(F.max("_bkt").alias("m"))
+    total = d.agg(F.count(F.lit(1)).alias("n"))
+    # One-row tables as scalar subqueries: evaluated before the scan, used as plain filter values.
+    below = d.where(F.col("_bkt") <= last.scalar())
+    res = _numbered(below, [], [F.col(order_key), F.col(tiebreak)], out, None)
+    return res.withColumn("_tot", total.scalar()).where(F.col(out) < limit).drop("_tot")
+
+
 def running_sum(df: DataFrame, order_col: str, value_col: str, out: str,
-                chunk: int = 4096, inclusive: bool = True) -> DataFrame:
+                chunk: int = 4096, inclusive: bool = True, levels: int = 2) -> DataFrame:
     """Running total of ``value_col`` in ``order_col`` order (dense BIGINT order).
 
-    Rows are cut into chunks of ``chunk`` consecutive order values; chunk
-    totals are prefix-summed over a table of n/chunk rows, then each chunk
-    adds its own window.  No task sees more than one chunk.
+    Rows are cut into chunks of ``chunk`` consecutive order values; the chunk
+    totals are summed up the same way, ``levels`` times, so the window at the
+    top sees rows / chunk^levels rows.  No other task sees more than one chunk.
     """
-    d = df.withColumn("_chunk", F.floor(F.col(order_col) / chunk))
-    tot = d.groupBy("_chunk").agg(F.sum(value_col).alias("_ct"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_chunk", F.coalesce(F.sum("_ct").over(before), F.lit(0)).alias("_coff"))
+    c, t, o = (f"_{x}{levels}" for x in ("chunk", "total", "before"))
+    d = df.withColumn(c, F.floor(F.col(order_col) / chunk))
+    tot = d.groupBy(c).agg(F.sum(value_col).alias(t))
+    if levels > 1:
+        offs = running_sum(tot, c, t, o, chunk, False, levels - 1).select(c, o)
+    else:
+        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        offs = tot.select(c, F.coalesce(F.sum(t).over(before), F.lit(0)).alias(o))
     frame_end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy("_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, frame_end)
-    return (d.join(offs, "_chunk")
-             .withColumn(out, (F.col("_coff") + F.coalesce(F.sum(value_col).over(w), F.lit(0))).cast("bigint"))
-             .drop("_chunk", "_coff"))
+    w = Window.partitionBy(c).orderBy(order_col).rowsBetween(Window.unboundedPreceding, frame_end)
+    return (d.join(offs, c)
+             .withColumn(out, (F.col(o) + F.coalesce(F.sum(value_col).over(w), F.lit(0))).cast("bigint"))
+             .drop(c, o))
 
 
 def sql_position(order_sql: str, partition_sql: str | None = None) -> str:
@@ -84,18 +120,17 @@ def batch_ids(pos: Column, batch_size: int) -> Column:
 
 
 def sorted_positions(df: DataFrame, order_col: str, out: str = "pos", total_out: str | None = None,
-                     buckets: int = 1024) -> DataFrame:
-    """0-based position in the order of a unique integer column (any spread).
+                     buckets: int | None = None) -> DataFrame:
+    """0-based position in the order of a unique column, whatever its spread.
 
-    One small aggregate gives the key's range; the high bits of ``key - min``
-    are ordered buckets, and :func:`exact_positions` numbers rows inside each
-    bucket.  Deterministic (no sampled range bounds), so every use and every
-    recomputation sees the same buckets.
+    A range exchange cuts the rows at sampled quantiles, so outliers and gaps
+    do not matter; the partition number is the bucket.  The partitioned rows are
+    written once to the shared scratch folder, because both uses of them must
+    see the same cuts.
     """
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    span_bits = max(1, int(hi - lo).bit_length())
-    shifted = df.withColumn("_sk", (F.col(order_col) - F.lit(lo)).cast("bigint"))
-    return exact_positions(shifted, "_sk", order_col, out=out, total_out=total_out, key_bits=span_bits,
-                           buckets=buckets).drop("_sk")
+    from corpusflow.session import new_scratch_dir
+    spark = df.sparkSession
+    path = new_scratch_dir(spark, "ordered")
+    cut = df.repartitionByRange(buckets, order_col) if buckets else df.repartitionByRange(order_col)
+    cut.withColumn("_bkt", F.spark_partition_id()).write.parquet(path)
+    return _numbered(spark.read.parquet(path), [], [F.col(order_col)], out, total_out)

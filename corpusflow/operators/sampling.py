@@ -1,4 +1,4 @@
-"""Keyed shuffles, top-k, caps and batch slicing."""
+"""Keyed shuffles, caps and batch slicing."""
 
 from __future__ import annotations
 
@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import keyed_hash
-from corpusflow.operators.positions import batch_ids, exact_positions
-
-# Below this, "first n in key order" is a top-k (TakeOrderedAndProject keeps
-# n rows per task); above it, exact bucketed positions are used instead.
-TOP_K_MAX = 100_000
+from corpusflow.operators.positions import batch_ids, exact_positions, first_by_key
 
 
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42, purpose: str = "shuffle", out: str = "pos") -> DataFrame:
@@ -20,11 +16,9 @@ def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42, purpose: str =
 
 
 def first_n(df: DataFrame, id_col: str, n: int, seed: int = 42, purpose: str = "shuffle") -> DataFrame:
-    """The first ``n`` rows of the keyed shuffle."""
-    if n <= TOP_K_MAX:
-        k = keyed_hash(seed, purpose, F.col(id_col))
-        return df.withColumn("_k", k).orderBy("_k", id_col).limit(n).drop("_k")
-    return shuffle_positions(df, id_col, seed, purpose, "_p").where(F.col("_p") < n).drop("_p")
+    """The first ``n`` rows of the keyed shuffle (only rows below the key threshold are exchanged)."""
+    d = df.withColumn("_k", keyed_hash(seed, purpose, F.col(id_col)))
+    return first_by_key(d, "_k", id_col, F.lit(n)).drop("_k", "_pos")
 
 
 def assign_batches(df: DataFrame, id_col: str, batch_size: int, seed: int = 42, purpose: str = "shuffle") -> DataFrame:

@@ -159,3 +159,30 @@ def mix_saved(spark, sf):
     MX.mix(load_part(spark, sf), COUNTS, splits=("train",), columns_to_keep=["doc_id", "lang"], order_col="doc_id",
            save_dir=out_dir)
     return spark.read.schema("id string, doc_id bigint, lang string").json(f"{out_dir}/mixed_ds_train")
+
+
+def _nested_part(spark, sf):
+    """Parts in three layouts: prompt/completion, messages with fields in another order, and a part without messages."""
+    def load(name, split):
+        d = table(spark, sf, "documents").where(F.col("lang") == name).select("doc_id", "text", "source")
+        if name == "en":
+            return d.select("doc_id", "source")
+        if name == "fr":
+            return d.select("doc_id", F.col("text").alias("prompt"), F.col("source").alias("completion"))
+        turns = [F.struct(F.col(c).alias("content"), F.lit(r).alias("role")) for c, r in (("text", "user"), ("source", "assistant"))]
+        return d.select(F.col("doc_id").cast("int").alias("doc_id"), F.array(*turns).alias("messages"))
+    return load
+
+
+_NESTED_SQL = _train_sql({"en": 0.5, "fr": 0.5, "de": 0.5}, False, "doc_id, lang, text, source")
+
+
+@query("mix_align_nested", f"""SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE 2 END AS n_messages,
+  CASE WHEN lang = 'en' THEN NULL ELSE md5('user' || chr(1) || text || chr(1) || 'assistant' || chr(1) || source) END AS messages_md5 FROM {_NESTED_SQL}""")
+def mix_align_nested(spark, sf):
+    """Messages of two layouts meet by field name; a first part without messages gives them no type."""
+    out = MX.mix(_nested_part(spark, sf), {"en": 0.5, "fr": 0.5, "de": 0.5}, splits=("train",), columns_to_keep=["doc_id", "messages"],
+                 order_col="doc_id")["train"]
+    flat = F.flatten(F.transform("messages", lambda m: F.array(m["role"], m["content"])))
+    return out.select("doc_id", F.when(F.col("messages").isNotNull(), F.size("messages")).alias("n_messages"),
+                      F.md5(F.array_join(flat, "\u0001")).alias("messages_md5"))

@@ -117,3 +117,89 @@ def test_line_numbers_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {(f, i): f"{f}-{i}" for f, n in (("a.jsonl", 700), ("b.jsonl", 3)) for i in range(n)}
+
+
+def test_empty_replay_clears_the_batch(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    append_ledger(spark.createDataFrame([("a",), ("b",)], "key string"), path, "op", 0)
+    append_ledger(spark.createDataFrame([], "key string"), path, "op", 0)
+    assert read_ledger(spark, path, "op").count() == 0
+    append_ledger(spark.createDataFrame([("c",)], "key string"), path, "op", 1)
+    assert [r.key for r in read_ledger(spark, path).collect()] == ["c"]
+
+
+def test_alignment_by_name_and_type(spark):
+    f = spark.createDataFrame
+    a = f([(1,)], "k bigint")
+    b = f([(2, [("hello", "user")])], "k int, messages array<struct<content: string, role: string>>")
+    c = f([(3, [("user", "hi")])], "k int, messages array<struct<role: string, content: string>>")
+    load = {"a": a, "b": b, "c": c}
+    out = MX.mix(lambda n, s: load[n], {"a": 1.0, "b": 1.0, "c": 1.0}, splits=("train",), columns_to_keep=["k", "messages"], order_col="k")["train"]
+    got = {r.k: [(m.role, m.content) for m in r.messages] if r.messages else None for r in out.collect()}
+    assert got == {1: None, 2: [("user", "hello")], 3: [("user", "hi")]}
+    bad = {"a": f([(1, "x")], "k int, v string"), "b": f([(2, [1])], "k int, v array<int>")}
+    with pytest.raises(ValueError, match="do not agree"):
+        MX.mix(lambda n, s: bad[n], {"a": 1.0, "b": 1.0}, splits=("train",), columns_to_keep=["k", "v"], order_col="k")
+
+
+def test_copies_share_no_key(spark):
+    rows = [("same",)] * 500 + [(f"t{i}",) for i in range(500)]
+    df = spark.createDataFrame(rows, "text string").repartition(5)
+    keyed = MX._keyed(df, "A", "train", 42, None)
+    assert keyed.groupBy("_k").count().agg(F.max("count")).first()[0] == 1 and keyed.count() == 1000
+    out = MX.mix(lambda n, s: df, {"A": 1000}, splits=("train",), columns_to_keep=["text"], keep_ids=True)["train"]
+    assert out.where(F.col("text") == "same").count() == 500 and out.select("id").distinct().count() == 1000
+
+
+def test_cut_reads_text_only_below_the_threshold(spark):
+    df = spark.range(0, 20_000, 1, 4).withColumn("text", F.concat(F.lit("t"), "id"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def touch(t):
+        seen.add(1)
+        return t
+    from corpusflow.operators.sampling import first_n
+    got = first_n(df, "id", 300).withColumn("text", touch("text")).collect()
+    want = first_n(df, "id", 20_000).select("id").count()
+    assert len(got) == 300 and want == 20_000 and seen.value == 300
+
+
+def test_loader_and_configs(spark, tmp_path):
+    for cfg, v in (("x", 1), ("y", 2)):
+        spark.createDataFrame([(v, "t")], "k int, text string").write.parquet(str(tmp_path / "part" / cfg / "train"))
+    load = MX.table_loader(spark)
+    name = str(tmp_path / "part")
+    assert load(name, "train", "y").first().k == 2
+    out = MX.mix(load, {name: 1.0}, splits=("train",), columns_to_keep=["k"], order_col="k", configs=["x"])["train"]
+    assert [r.k for r in out.collect()] == [1]
+    with pytest.raises(ValueError, match="configurations"):
+        MX.mix(load, {name: 1.0}, splits=("train",), columns_to_keep=["k"], order_col="k", configs=["x", "y"])
+    with pytest.raises(ValueError, match="no split"):
+        load(name, "test", "x")
+
+
+def test_manifest_lists_declared_parts(spark, tmp_path):
+    import json
+    mixed = spark.createDataFrame([("a",), ("a",)], "source string")
+    MX.save_manifest(MX.manifest(mixed, "m", datasets=["b", "a"], base_model="base"), str(tmp_path / "manifest"))
+    text = [p.read_text() for p in (tmp_path / "manifest").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    assert json.loads(text[0]) == {"datasets": ["a", "b"], "rows": 2, "rows_by_source": '{"a":2,"b":0}', "model_name": "m", "model_type": "sft", "base_model": "base"}
+
+
+def test_same_file_name_in_two_folders(spark, tmp_path):
+    from corpusflow.sources.jsonl import read_jsonl
+    for d in ("one", "two"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "a.jsonl").write_text("".join('{"v": "%s%d"}\n' % (d, i) for i in range(4)))
+    df = read_jsonl(spark, str(tmp_path) + "/*", "v string", with_position=True)
+    assert sorted((r.v, r.line) for r in df.collect()) == sorted((f"{d}{i}", i) for d in ("one", "two") for i in range(4))
+
+
+def test_scratch_needs_a_shared_folder_off_local(monkeypatch):
+    from types import SimpleNamespace
+    from corpusflow.session import scratch_root
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None),
+                           sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(fake)

@@ -45,3 +45,22 @@ def test_mix_without_shuffle_takes_leading_rows(spark):
     out = MX.mix(lambda n, s: a, {"A": 0.2}, splits=("train",), columns_to_keep=["k"], shuffle=False,
                  order_col="k", keep_ids=True)["train"]
     assert sorted((r.id, r.k) for r in out.collect()) == sorted((f"A_{i}", i) for i in range(10))
+
+
+def test_outlier_ids_and_two_levels(spark):
+    from corpusflow.operators.positions import sorted_positions
+    df = spark.range(2000).union(spark.range(10**15, 10**15 + 1))
+    got = sorted_positions(df, "id", buckets=8)
+    assert got.where((F.col("id") < 2000) & (F.col("pos") != F.col("id"))).count() == 0
+    assert got.where(F.col("id") > 2000).first().pos == 2000
+    sums = {r.o: r.c for r in running_sum(spark.range(1000).selectExpr("id as o", "id as v"), "o", "v", "c", chunk=7).collect()}
+    assert all(sums[i] == i * (i + 1) // 2 for i in range(1000))
+
+
+def test_first_by_key_is_exact(spark):
+    from corpusflow.operators.positions import first_by_key
+    df = spark.range(3000).withColumn("k", keyed_hash("x", F.col("id")))
+    want = [r.id for r in df.orderBy("k", "id").limit(700).collect()]
+    got = first_by_key(df, "k", "id", F.floor(F.col("_tot") * 0.2334), out="p").orderBy("p").collect()
+    assert [r.id for r in got] == want and [r.p for r in got] == list(range(700))
+    assert first_by_key(df, "k", "id", F.lit(0)).count() == 0 and first_by_key(df.limit(0), "k", "id", F.lit(5)).count() == 0
