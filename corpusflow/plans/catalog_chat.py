@@ -251,10 +251,12 @@ def epoch_shuffle(spark, sf):
     return enc.epoch_order(ids, "conv_id", seed=42, epoch=1)
 
 
-@query("training_plan", f"""SELECT n AS n_examples, ceil(n / 16)::BIGINT AS batches_per_epoch,
-  ceil(ceil(n / 16) / 2)::BIGINT AS update_steps_per_epoch, (3 * ceil(ceil(n / 16) / 2))::BIGINT AS max_train_steps,
-  3::BIGINT AS num_train_epochs, floor(3 * ceil(ceil(n / 16) / 2) * 0.1)::BIGINT AS warmup_steps
-FROM (SELECT count(*) AS n FROM {_EX_SQL})""")
+# Counted, not computed: examples are dealt into batches, batches into update steps, and the groups are counted.
+@query("training_plan", f"""WITH e AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS i FROM {_EX_SQL}),
+ c AS (SELECT count(*) AS n, count(DISTINCT i // 16) AS b, count(DISTINCT i // 16 // 2) AS u, count(DISTINCT i // 8 // 2) AS s FROM e)
+SELECT n AS n_examples, b AS batches_per_epoch, u AS update_steps_per_epoch, 3 * u AS max_train_steps,
+  CASE WHEN u = 0 THEN 0 ELSE (3 * u + u - 1) // u END AS num_train_epochs, 3 * s AS scheduler_steps,
+  (3 * s) // 10 AS warmup_steps FROM c""")
 def training_plan(spark, sf):
     """A5: batches, update steps, total steps, epochs and warm-up from the example count."""
     return enc.training_plan(trainable_examples(spark, sf), per_device_batch=8, processes=2, grad_acc=2,
@@ -266,3 +268,49 @@ def training_plan(spark, sf):
 def step_window_mean(spark, sf):
     """Mean metric over each complete block of 300 steps."""
     return enc.step_window_mean(table(spark, sf, "events"), "event_id", "value", 300)
+
+
+_SPAN_HEAD = f"({lit_sql(M.MESSAGE_INDENT)} || {lit_sql(M.HEADER_START)} || role || {lit_sql(M.HEADER_END)} || chr(10) || chr(10))"
+_SPAN_TEXT = f"({_SPAN_HEAD} || {_STRIPPED_TEXT} || {lit_sql(M.END_OF_TURN)} || chr(10))"
+_LEAD = len(f"\n{M.BOS}\n")
+SUBWORD = "[A-Za-z]{1,3}|[0-9]|[^A-Za-z0-9]"
+
+
+@query("encode_subword", f"""WITH m AS (SELECT conv_id, turn, role, {_SPAN_TEXT} AS seg, length({_SPAN_HEAD}) AS head,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+ p AS (SELECT *, {_LEAD} + coalesce(sum(length(seg)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM m),
+ spans AS (SELECT conv_id, CASE WHEN prev IS NULL THEN 0 WHEN prev = 'assistant' THEN pos ELSE pos + head END AS s, pos + length(seg) AS e
+           FROM p WHERE role = 'assistant'),
+ t AS (SELECT conv_id, regexp_extract_all(chr(10) || {lit_sql(M.BOS)} || chr(10) || string_agg(seg, '' ORDER BY turn) || chr(10), '{SUBWORD}') AS toks
+       FROM m GROUP BY conv_id),
+ k AS (SELECT conv_id, j, toks[j] AS tok FROM t, range(1, len(toks) + 1) r(j)),
+ o AS (SELECT conv_id, j, ('0x' || substr(md5(tok), 1, 7))::INT AS id,
+         coalesce(sum(length(tok)) OVER (PARTITION BY conv_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k),
+ l AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM spans WHERE spans.conv_id = o.conv_id AND o.start >= s AND o.start < e) THEN id ELSE {IGNORE} END AS label
+       FROM o WHERE j <= {MAX_LEN})
+SELECT conv_id, count(*) AS n_input, count(*) FILTER (WHERE label <> {IGNORE}) AS n_trainable,
+  md5(string_agg(id::VARCHAR, ',' ORDER BY j)) AS ids_md5, md5(string_agg(label::VARCHAR, ',' ORDER BY j)) AS labels_md5
+FROM l GROUP BY conv_id""")
+def encode_subword(spark, sf):
+    """A tokenizer that splits headers; tokens of the rendered text, the whole generation prefix masked."""
+    msgs = M.collect_turns(table(spark, sf, "conversations"))
+    e = enc.encode(msgs, "messages", MAX_LEN, tokenizer=lambda text: enc.regex_tokens(text, SUBWORD))
+    return e.select("conv_id", F.size("input_ids").alias("n_input"),
+                    F.size(F.filter("labels", lambda x: x != F.lit(IGNORE))).alias("n_trainable"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+@query("pad_batch_arrays", f"""WITH x AS (SELECT t.conv_id, t.p, t.id, t.label FROM {_TOK_SQL} t SEMI JOIN {_EX_SQL} e ON t.conv_id = e.conv_id),
+ b AS (SELECT conv_id, n_tokens, pos // {BATCH} AS batch_id, pos FROM {_ORDER_SQL}),
+ w AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS width FROM b),
+ f AS (SELECT w.conv_id, w.batch_id, w.pos, i AS p, coalesce(x.id, 0) AS id, coalesce(x.label, {IGNORE}) AS label, (x.id IS NOT NULL)::INT AS seen
+       FROM w, range(0, {MAX_LEN}) r(i) LEFT JOIN x ON x.conv_id = w.conv_id AND x.p = i WHERE i < w.width)
+SELECT conv_id, batch_id, pos, count(*) AS width, md5(string_agg(id::VARCHAR, ',' ORDER BY p)) AS ids_md5,
+  md5(string_agg(label::VARCHAR, ',' ORDER BY p)) AS labels_md5, sum(seen)::BIGINT AS n_real FROM f GROUP BY ALL""")
+def pad_batch_arrays(spark, sf):
+    """A4: ids, labels and attention mask of every example, padded to the longest of its batch of 8."""
+    ex = enc.trainable_only(encoded(spark, sf))
+    d = enc.padded_arrays(ex, "conv_id", BATCH, pad_id=0, seed=42, epoch=0)
+    return d.select("conv_id", "batch_id", "pos", F.size("input_ids").alias("width"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                    F.md5(F.array_join("labels", ",")).alias("labels_md5"),
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,20 +27,18 @@ def tok(s):
     return [int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in s.split()]
 
 
-def reference_encode(msgs, max_len):
-    """The prefix re-rendering algorithm (quadratic), as the reference does it."""
-    ids = tok(render_py(msgs))[:max_len]
-    labels = list(ids)
+def spans_encode(msgs, max_len):
+    """Independent property: a token is trained iff it starts inside a trained character span of the rendered text."""
+    text, pos, spans = render_py(msgs), len("\n" + M.BOS + "\n"), []
     for i, m in enumerate(msgs):
-        if m["role"] != "assistant":
-            start = 0 if i == 0 else min(len(tok(render_py(msgs[:i]))), max_len)
-            nxt = i < len(msgs) - 1 and msgs[i + 1]["role"] == "assistant"
-            end = min(len(tok(render_py(msgs[:i + 1], nxt))), max_len)
-            for t in range(start, end):
-                labels[t] = -100
-            if end >= max_len:
-                break
-    return ids, labels
+        c = m["content"] if m["content"] is not None else "None"
+        head = len("\n    " + M.HEADER_START + m["role"] + M.HEADER_END + "\n\n")
+        size = head + len(c.strip()) + len(M.END_OF_TURN + "\n")
+        if m["role"] == "assistant":
+            spans.append((0 if i == 0 else pos + (0 if msgs[i - 1]["role"] == "assistant" else head), pos + size))
+        pos += size
+    found = [(int(hashlib.md5(t[0].encode()).hexdigest()[:7], 16), t.start()) for t in re.finditer(r"\S+", text)][:max_len]
+    return [i for i, _ in found], [i if any(s <= p < e for s, e in spans) else -100 for i, p in found]
 
 
 CASES = [
@@ -53,22 +52,22 @@ CASES = [
 
 
 @pytest.mark.parametrize("max_len", [4, 12, 1000])
-def test_linear_mask_equals_prefix_rendering(spark, max_len):
+def test_mask_equals_trained_character_spans(spark, max_len):
     rows = [(i, [{"role": r, "content": c} for r, c in case]) for i, case in enumerate(CASES)]
     df = spark.createDataFrame(rows, f"id int, messages {MSG}")
-    got = {r.id: (r.input_ids, r.labels, r.attention_mask) for r in enc.encode(df, "messages", max_len).collect()}
+    got = {r.id: (r.input_ids, r.labels, r.attention_mask) for r in enc.encode(df, "messages", max_len, on_invalid="keep").collect()}
     for i, msgs in rows:
-        ids, labels = reference_encode(msgs, max_len)
+        ids, labels = spans_encode(msgs, max_len)
         assert got[i][0] == ids and got[i][1] == labels and got[i][2] == [1] * len(ids), i
 
 
-def test_table_mask_equals_prefix_rendering(spark):
+def test_table_mask_equals_trained_character_spans(spark):
     turns = spark.read.parquet(f"{SF0001}/conversations.parquet")
     msgs = M.collect_turns(turns)
     got = {r.conv_id: (r.input_ids, r.labels) for r in enc.encode(msgs, "messages", 256).collect()}
     for r in msgs.collect():
         m = [{"role": x.role, "content": x.content} for x in r.messages]
-        assert got[r.conv_id] == reference_encode(m, 256)
+        assert got[r.conv_id] == spans_encode(m, 256)
 
 
 def test_render_exact(spark):
@@ -112,10 +111,55 @@ def test_step_window_mean_drops_partial_block(spark):
     assert got == [(0, 10, 4.5), (1, 20, 14.5)]
 
 
-@pytest.mark.parametrize("max_len", [3, 40, 256])
+@pytest.mark.parametrize("max_len", [1, 3, 40, 256])
 def test_turn_level_encode_equals_message_encode(spark, max_len):
     turns = spark.read.parquet(f"{SF0001}/conversations.parquet")
     a = {r.conv_id: (r.input_ids, r.labels, r.attention_mask)
          for r in enc.encode(M.collect_turns(turns), "messages", max_len).collect()}
     b = {r.conv_id: (r.input_ids, r.labels, r.attention_mask) for r in enc.encode_turns(turns, max_len).collect()}
     assert a == b
+
+
+def test_empty_and_broken_conversations(spark):
+    rows = [(1, []), (2, [("user", "a"), ("user", "b")]), (3, [("user", "a"), ("assistant", "b")]), (4, None)]
+    df = spark.createDataFrame([(i, m and [{"role": r, "content": c} for r, c in m] if m is not None else None) for i, m in rows], f"id int, messages {MSG}")
+    assert [r.id for r in enc.encode(df, "messages", on_invalid="reject").collect()] == [3]
+    for bad in (1, 2):
+        with pytest.raises(Exception, match="no messages|take turns"):
+            enc.encode(df.where(F.col("id") == bad), "messages").collect()
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "user", "y")], "conv_id int, turn int, role string, text string")
+    with pytest.raises(Exception, match="take turns"):
+        enc.encode_turns(turns, 8).collect()
+
+
+def test_any_tokenizer_masks_the_whole_generation_prefix(spark):
+    def pieces(texts):
+        """Up to three letters, or one other character: headers become many tokens."""
+        out = []
+        for t in texts:
+            m = list(re.finditer(r"[a-z_]{1,3}|[^a-z_]", t))
+            out.append(([sum(map(ord, x[0])) for x in m], [x.start() for x in m]))
+        return out
+    cases = [[("system", "be"), ("user", "cd e"), ("assistant", "fgh ij")], [("user", "x"), ("assistant", "y"), ("user", "z"), ("assistant", " w ")]]
+    df = spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in m]) for i, m in enumerate(cases)], f"id int, messages {MSG}")
+    for r in enc.encode(df, "messages", tokenizer=enc.offset_tokenizer(pieces)).collect():
+        msgs = [{"role": a, "content": c} for a, c in cases[r.id]]
+        (ids, starts), = pieces([render_py(msgs)])
+        assert r.input_ids == ids
+        kept = "".join(render_py(msgs)[s:e] for s, e, l in zip(starts, starts[1:] + [None], r.labels) if l != -100)
+        assert kept == "".join(m["content"].strip() + M.END_OF_TURN + "\n" for m in msgs if m["role"] == "assistant")
+
+
+def test_padded_arrays_and_plan(spark):
+    df = spark.createDataFrame([(i, [7] * (i % 5 + 1), [7] * (i % 5 + 1), [1] * (i % 5 + 1)) for i in range(98)],
+                               "id bigint, input_ids array<int>, labels array<int>, attention_mask array<int>")
+    by = {}
+    for r in enc.padded_arrays(df, "id", 8, pad_id=0).collect():
+        n = r.id % 5 + 1
+        assert r.input_ids[n:] == [0] * (len(r.input_ids) - n) and set(r.labels[n:]) <= {-100} and sum(r.attention_mask) == n
+        by.setdefault(r.batch_id, []).append((len(r.input_ids), n))
+    assert len(by) == 13 and all({w for w, _ in b} == {max(n for _, n in b)} for b in by.values())
+    p = enc.training_plan(df, 8, processes=2, grad_acc=2, epochs=3, warmup_ratio=0.1).first()
+    assert (p.max_train_steps, p.scheduler_steps, p.warmup_steps) == (12, 21, 2)
+    q = enc.training_plan(df, 8, processes=2, grad_acc=2, max_train_steps=50, warmup_ratio=0.1).first()
+    assert (q.scheduler_steps, q.warmup_steps) == (100, 10)
