@@ -19,7 +19,6 @@ SPACE_CLASS_RE2 = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 WORD_PATTERN_RE2 = "[^" + SPACE_CLASS_RE2 + "]+"
 TRIM_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _SP = r"[\s\x1c-\x1f]"
-_WD = r"[^\s\x1c-\x1f]"
 
 
 def col_(c) -> Column:
@@ -38,19 +37,27 @@ def n_words(text) -> Column:
 
 
 def more_words_than(text, n: int) -> Column:
-    """``n_words(text) > n``, decided after at most n + 1 words."""
-    return F.coalesce(col_(text), F.lit("")).rlike(rf"(?U)^{_SP}*(?:{_WD}+{_SP}+){{{n}}}{_WD}")
+    """``n_words(text) > n``: the text is split at most ``n`` times, and something must follow."""
+    return F.coalesce(F.get(_split_head(text, n), F.lit(n)), F.lit("")) != ""
+
+
+def _split_head(text, n: int) -> Column:
+    """The first ``n`` words and, as one more element, the rest (at most ``n`` splits, for any ``n``).
+
+    ``split`` with a limit loops; a counted regex group would recurse once per
+    word and overflow the stack for large ``n``.
+    """
+    start = F.regexp_replace(F.coalesce(col_(text), F.lit("")), rf"(?U)^{_SP}+", "")
+    return F.split(start, rf"(?U){_SP}+", n + 1)
 
 
 def first_n_words(text, n: int = 200) -> Column:
     """First ``n`` words re-joined by single spaces.
 
-    One anchored regex captures the leading ``n`` words and stops there, so a
-    long document is not split in full to keep its head.
+    At most ``n`` splits are made, so a long document is not split in full to
+    keep its head.
     """
-    head = F.regexp_extract(F.coalesce(col_(text), F.lit("")),
-                            rf"(?U)^{_SP}*((?:{_WD}+{_SP}+){{0,{n - 1}}}{_WD}+)", 1)
-    return F.regexp_replace(head, rf"(?U){_SP}+", " ")
+    return F.array_join(F.filter(F.slice(_split_head(text, n), 1, n), lambda w: w != ""), " ")
 
 
 def strip_ws(text) -> Column:

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import SHINGLE_HEX_DIGITS
-from corpusflow.functions.text import col_, sql_words, shingle_hashes, shingles
-from corpusflow.operators.parallel import spread
+from corpusflow.functions.text import col_, more_words_than, shingle_hashes, shingles, sql_words
 
 # The hash family modulus (Mersenne prime 2**31 - 1), the
 # default permutation count, and the coefficient generator seed.
@@ -106,7 +105,7 @@ def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str =
     aggregation leaves one row per input row before it).  The empty set maps
     to PRIME in every slot, so all empty rows collide.
     """
-    base = spread(df.select(F.col(ord_col), col_(text).alias("_t")))
+    base = df.select(F.col(ord_col), col_(text).alias("_t"))
     hashes = shingle_hashes(shingles("_t", k))
     if method == "vectorized":
         return base.select(F.col(ord_col), _minhash_udf(coeffs)(hashes).alias("sig"))
@@ -138,7 +137,26 @@ def kept_ords(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int
     firsts = keys.groupBy("band", "key").agg(F.min(ord_col).alias("_first"))
     return (firsts.groupBy("_first").agg(F.count(F.lit(1)).alias("_nb"))
                   .where(F.col("_nb") == b)
-                  .select(F.col("_first").alias(ord_col)))
+                  .select(F.col("_first").alias(ord_col))
+                  .join(unique_ords(df, ord_col), ord_col, "left_semi"))
+
+
+def unique_ords(df: DataFrame, ord_col: str) -> DataFrame:
+    """The ``ord`` values; the job fails on a repeated one, which would not say which row is first.
+
+    Only the narrow column is shuffled, with a partial count before.
+    """
+    bad = F.raise_error(F.concat(F.lit(f"{ord_col} must be unique and not NULL: "), F.col(ord_col).cast("string")))
+    # A filter, not a column: column pruning cannot remove it.
+    return (df.groupBy(ord_col).agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(bad.cast("boolean")))
+              .select(ord_col))
+
+
+def with_ord(df: DataFrame, ord_col: str) -> DataFrame:
+    """``df`` whose ``ord`` fails the job where it is NULL (joins would drop such a row in silence)."""
+    bad = F.raise_error(F.lit(f"{ord_col} must be unique and not NULL: NULL")).cast(dict(df.dtypes)[ord_col])
+    return df.withColumn(ord_col, F.coalesce(F.col(ord_col), bad))
 
 
 def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
@@ -151,12 +169,12 @@ def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8,
     """
     if short not in ("first", "keep"):
         raise ValueError("short must be 'first' or 'keep'")
-    text_c = col_(text)
+    df, text_c = with_ord(df, ord_col), col_(text)
     if short == "keep":
-        nw = F.size(F.regexp_extract_all(F.coalesce(text_c, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0))
-        long_rows = df.where(nw >= k)
+        is_long = more_words_than(text_c, k - 1)
+        long_rows = df.where(is_long)
         kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params, method)
-        return df.join(kept, ord_col, "left_semi").unionByName(df.where(nw < k))
+        return df.join(kept, ord_col, "left_semi").unionByName(df.where(~is_long))
     kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params, method)
     return df.join(kept, ord_col, "left_semi")
 

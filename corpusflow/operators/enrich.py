@@ -2,8 +2,8 @@
 
 ``enrich`` is a ``mapInPandas`` step: each task builds its client once,
 sends Arrow batches of prompts and returns the *key with the result*, so no
-positional zip can misalign rows.  Retries, an optional in-task thread pool
-and a per-task rate limit are arguments.  Failures land in ``error`` and the
+positional zip can misalign rows.  Retries, an optional in-task thread pool,
+one rate limit for the job and the client's generation options are arguments.  Failures land in ``error`` and the
 row is routed to rejects by :func:`split_parsed`; keys only enter a ledger
 when their row parsed.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import time
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import Callable, Iterable
 
 import pandas as pd
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.jsonx import parse_object_or_list
 from corpusflow.functions.text import col_
-from corpusflow.operators.parallel import spread
 
 PERSONA_ITEM = "struct<countries: array<string>, languages: array<string>, persona: string>"
 PROMPT_ITEM = "struct<prompt: string, language: string>"
@@ -64,8 +64,8 @@ def mock_reply(content: str, kind: str = "persona") -> str:
     return body
 
 
-def mock_client(kind: str = "persona") -> Callable[[list], list]:
-    """Client factory for :func:`enrich`: list of message lists -> list of (raw, model)."""
+def mock_client(kind: str = "persona", **_options) -> Callable[[list], list]:
+    """Client factory for :func:`enrich`: list of message lists -> list of (raw, model); options change nothing."""
     def call(prompts: list) -> list:
         return [(mock_reply(_last_user(p), kind), MOCK_MODEL) for p in prompts]
     return call
@@ -87,7 +87,7 @@ def with_retry(call: Callable[[list], list], attempts: int = 3, wait_s: float =
 
 
 class RateLimiter:
-    """E5: at most one call per ``min_interval_s`` (per task); thread-safe."""
+    """E5: at most one call per ``min_interval_s`` inside one task; thread-safe."""
 
     def __init__(self, min_interval_s: float = 0.0):
         import threading
@@ -107,37 +107,61 @@ class RateLimiter:
             self._last = time.monotonic()
 
 
-def enrich(df: DataFrame, client_factory: Callable[[], Callable[[list], list]], prompt_col: str,
+def answer(call: Callable[[list], list], prompts: list) -> list:
+    """One (raw, model, error) per prompt.
+
+    A call that fails, or answers with another number of results, is repeated
+    prompt by prompt, so a single bad prompt fails alone.
+    """
+    try:
+        got = list(call(prompts))
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} results for {len(prompts)} prompts")
+        return [(r, m, None) for r, m in got]
+    except Exception as e:  # noqa: BLE001 - any client failure ends in the error column
+        if len(prompts) == 1:
+            return [(None, None, f"{type(e).__name__}: {e}")]
+        return [x for p in prompts for x in answer(call, [p])]
+
+
+def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]], prompt_col: str,
            key_cols: list[str], attempts: int = 3, wait_s: float = 0.0, batch_size: int = 64,
-           concurrency: int = 1, min_interval_s: float = 0.0) -> DataFrame:
+           concurrency: int = 1, calls_per_s: float | None = None, partitions: int | None = None,
+           options: dict | None = None) -> DataFrame:
     """(keys..., raw STRING, model STRING, error STRING) per input row.
 
-    ``client_factory`` is called once per task.  ``batch_size`` prompts go in
-    one call; ``concurrency`` calls run at once inside a task (E4); a task
-    waits ``min_interval_s`` between calls (E5).  Scale out with more tasks:
-    ``df.repartition(n)`` before calling sets the number of parallel clients.
+    ``client_factory(**options)`` is called once per task; ``options`` are the
+    generation options of the client (temperature, maximum tokens, response
+    schema, ...).  ``batch_size`` prompts go in one call; ``concurrency`` calls
+    run at once inside a task (E4).  ``partitions`` sets the number of parallel
+    clients by an exchange of the prompts; by default the input's own partitions
+    are used.
+
+    ``calls_per_s`` limits the whole job (E5): each of ``partitions`` tasks gets
+    an equal share, so that together they never exceed it, however many run at once.
     """
+    if calls_per_s and not partitions:
+        raise ValueError("calls_per_s needs partitions: the limit is shared out among that many tasks")
+    interval = partitions / calls_per_s if calls_per_s else 0.0
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{k} {key_types[k]}" for k in key_cols] + ["raw string", "model string", "error string"])
-    inp = spread(df.select(*key_cols, F.col(prompt_col).alias("_prompt")))
+    inp = df.select(*key_cols, F.col(prompt_col).alias("_prompt"))
+    if partitions:
+        inp = inp.repartition(partitions)
 
     def run(batches: Iterable[pd.DataFrame]):
-        call = with_retry(client_factory(), attempts, wait_s)
-        limiter = RateLimiter(min_interval_s)
+        client, limiter = client_factory(**(options or {})), RateLimiter(interval)
 
-        def one(chunk: list):
+        def limited(prompts: list) -> list:
             limiter.wait()
-            try:
-                return [(r, m, None) for r, m in call(chunk)]
-            except Exception as e:  # noqa: BLE001
-                return [(None, None, f"{type(e).__name__}: {e}")] * len(chunk)
-
+            return client(prompts)
+        call = with_retry(limited, attempts, wait_s)
         pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
         try:
             for pdf in batches:
                 prompts = [list(p) if p is not None else None for p in pdf["_prompt"]]
                 chunks = [prompts[i:i + batch_size] for i in range(0, len(prompts), batch_size)]
-                results = list(pool.map(one, chunks)) if pool else [one(c) for c in chunks]
+                results = list(pool.map(lambda c: answer(call, c), chunks)) if pool else [answer(call, c) for c in chunks]
                 flat = [x for part in results for x in part]
                 out = pdf[key_cols].copy()
                 out["raw"] = [x[0] for x in flat]
@@ -161,8 +185,7 @@ def split_parsed(df: DataFrame, items_col: str = "items", require: list[str] | N
     or any item misses a required field (all-or-nothing per source row)."""
     ok = F.col(items_col).isNotNull() & F.coalesce(F.col("error").isNull(), F.lit(True))
     if require:
-        ok = ok & F.forall(F.col(items_col), lambda x: F.reduce(
-            F.array(*[x[f].isNotNull() for f in require]), F.lit(True), lambda a, b: a & b))
+        ok = ok & F.forall(F.col(items_col), lambda x: reduce(lambda a, b: a & b, [x[f].isNotNull() for f in require]))
     flag = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     rejects = flag.where(~F.col("_ok")).withColumn(
         "reason", F.when(F.col("error").isNotNull(), F.lit("error"))

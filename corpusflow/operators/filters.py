@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import more_words_than
-from corpusflow.operators.parallel import bounded_broadcast, spread
 
 
 def min_words(df: DataFrame, text: str = "text", n: int = 100) -> DataFrame:
     """keep rows with strictly more than ``n`` words; NULL/empty text drops.
 
-    The test stops after n + 1 words; the input is spread over the cores first
-    when it arrives in fewer partitions than there are cores.
+    A row filter without a shuffle: the text is split at most ``n`` times.
     """
-    return spread(df).where(more_words_than(text, n))
+    return df.where(more_words_than(text, n))
 
 
 def equals(df: DataFrame, column: str, value) -> DataFrame:
@@ -33,11 +31,11 @@ def first_turn_in(turns: DataFrame, group_col: str, order_col: str, attr: str,
                   allowed: DataFrame, allowed_col: str = "value") -> DataFrame:
     """Groups whose first-turn ``attr``, lower-cased, is in ``allowed``.
 
-    ``allowed`` is a vocabulary (country or language lists); it is broadcast
-    after a size check.  NULL attributes never match.
+    ``allowed`` is a vocabulary (country or language lists); AQE broadcasts it
+    when its measured size is small.  NULL attributes never match.
     """
     firsts = first_turn_attribute(turns, group_col, order_col, attr)
-    vocab = bounded_broadcast(allowed.select(F.lower(F.col(allowed_col)).alias("_v")).distinct())
+    vocab = allowed.select(F.lower(F.col(allowed_col)).alias("_v")).distinct()
     return (firsts.withColumn("_v", F.lower(F.col("first_value")))
                   .join(vocab, "_v", "left_semi")
                   .drop("_v"))
@@ -52,7 +50,7 @@ def require_columns(df: DataFrame, needed: list[str]) -> None:
     """error when a needed column is missing (driver-side schema check)."""
     missing = [c for c in needed if c not in df.columns]
     if missing:
-        raise ValueError(f"needed columns {missing} not found in {df.columns}")
+        raise ValueError(f"input lacks {missing}; it has {df.columns}")
 
 
 def split_kind(split: str) -> str:
@@ -61,4 +59,4 @@ def split_kind(split: str) -> str:
         return "train"
     if "test" in split:
         return "test"
-    raise ValueError(f"split type {split} not recognized as one of test or train")
+    raise ValueError(f"cannot tell from its name whether split {split!r} is for training or testing")

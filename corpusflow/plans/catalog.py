@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from corpusflow.plans import catalog_text  # noqa: F401
+from corpusflow.plans import catalog_chat, catalog_enrich, catalog_io, catalog_mix, catalog_stream, catalog_text  # noqa: F401
 from corpusflow.plans.registry import REGISTRY
 
-for _mod in ("catalog_enrich", "catalog_chat", "catalog_mix", "catalog_io", "catalog_stream"):
-    try:
-        __import__(f"corpusflow.plans.{_mod}")
-    except ModuleNotFoundError as e:  # modules are added step by step
-        if _mod not in str(e):
-            raise
-
 
 def queries() -> dict:
     """Name -> Spark job over the driver tables."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.jsonx import json_span, opens_with_object, sql_json_span
 from corpusflow.functions.keys import keyed_choice, sql_keyed_hash
-from corpusflow.functions.text import first_n_words, sql_words
+from corpusflow.functions.text import sql_words, words
 from corpusflow.operators import prompts
 from corpusflow.operators.enrich import split_parsed
 from corpusflow.operators.expand import explode_items, explode_prompts
@@ -97,12 +97,12 @@ def template_fill(spark, sf):
 
 
 @query("persona_json", f"""SELECT doc_id, md5(to_json(struct_pack(countries := [lang], languages := [source],
-  persona := array_to_string({sql_words('text')}[1:5], ' ')))) AS json_md5 FROM documents""")
+  persona := array_to_string({sql_words('text')}, ' ')))) AS json_md5 FROM documents""")
 def persona_json(spark, sf):
     """Persona struct serialised as JSON text."""
     d = table(spark, sf, "documents")
     st = F.struct(F.array("lang").alias("countries"), F.array("source").alias("languages"),
-                  first_n_words("text", 5).alias("persona"))
+                  F.array_join(words("text"), " ").alias("persona"))
     return d.select("doc_id", F.md5(prompts.persona_json(st)).alias("json_md5"))
 
 
@@ -199,13 +199,13 @@ def persona_text_q(spark, sf):
 
 
 # Instruction generation over long documents acting as personas.
-_PERSONA_OF = f"array_to_string({sql_words('text')}[1:12], ' ')"
+_PERSONA_OF = f"array_to_string({sql_words('text')}, ' ')"
 
 
 def _persona_rows(spark, sf):
     d = table(spark, sf, "documents")
     from corpusflow.operators import filters
-    return filters.min_words(d, "text", 100).select(F.col("doc_id"), first_n_words("text", 12).alias("persona"))
+    return filters.min_words(d, "text", 100).select(F.col("doc_id"), F.array_join(words("text"), " ").alias("persona"))
 
 
 def _topics(spark, sf):
@@ -231,9 +231,9 @@ def _kh(purpose):
 
 
 _ASSIGN_SQL = f"""(WITH pr AS (SELECT doc_id, {_PERSONA_OF} AS persona FROM documents WHERE len({sql_words('text')}) > 100),
- tp AS (SELECT topic, row_number() OVER (ORDER BY topic) - 1 AS idx FROM (SELECT DISTINCT source AS topic FROM documents)),
+ tp AS (SELECT topic, row_number() OVER (ORDER BY {sql_keyed_hash([lit_sql('dimension'), 'topic'])}, topic) - 1 AS idx FROM (SELECT DISTINCT source AS topic FROM documents)),
  sd AS (SELECT item_id AS seed_item, prompt AS seed_prompt, language AS seed_language,
-               row_number() OVER (ORDER BY item_id) - 1 AS idx FROM {_SEED_SQL} WHERE domain = 'instruction_following')
+               row_number() OVER (ORDER BY {sql_keyed_hash([lit_sql('dimension'), 'item_id'])}, item_id) - 1 AS idx FROM {_SEED_SQL} WHERE domain = 'instruction_following')
  SELECT pr.doc_id, pr.persona, {_sql_list(P.LANGUAGES)}[1 + ({_kh('language')} % {len(P.LANGUAGES)})] AS language,
         {_sql_list(P.STYLES)}[1 + ({_kh('style')} % {len(P.STYLES)})] AS style, tp.topic, sd.seed_item, sd.seed_prompt, sd.seed_language
  FROM pr JOIN tp ON tp.idx = {_kh('topic')} % (SELECT count(*) FROM tp)
@@ -280,3 +280,38 @@ def expand_personas(spark, sf):
     ok2, _ = split_parsed(out, "items")
     ex = explode_items(ok2, "items", "parent_key")
     return ex.select("parent_key", F.col("pos").cast("bigint").alias("pos"), F.col("item.persona").alias("persona"))
+
+
+def _with_url(spark, sf):
+    """Assigned personas with the url of the page that has their id ('' where there is none)."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return _assigned(spark, sf).join(pages, "doc_id", "left").withColumn("url", F.coalesce("url", F.lit("")))
+
+
+_RECORD_KEYS = "doc_id, persona, url, language, style, topic"
+
+
+def _records_sql(user_sql: str) -> str:
+    content = f"""(SELECT a.doc_id, a.persona, coalesce(p.url, '') AS url, a.language, a.style, a.topic, {user_sql} AS content
+      FROM {_ASSIGN_SQL} a LEFT JOIN pages p ON p.page_id = a.doc_id)"""
+    return f"""SELECT persona, url, CAST(doc_id AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS id, 'task ' || substr(h, 9 + 4 * i, 4) AS prompt,
+  language, 'mock-model' AS model, topic AS domain, style
+FROM {sql_mock(content, _RECORD_KEYS, 'prompts')} m, range(0, 3) r(i) WHERE i < n AND mode <> 1"""
+
+
+def _records(spark, sf, math: bool):
+    prompted = P.instruction_prompts(_with_url(spark, sf), math=math)
+    out = P.enrich_instructions(prompted, ["doc_id", "persona", "url", "language", "style", "topic"], options={"temperature": 0.7})
+    return P.prompt_records(out, "doc_id")[0]
+
+
+@query("prompt_records", _records_sql(_USER_SQL))
+def prompt_records_q(spark, sf):
+    """The complete stage 4 record (8 fields), url from ``pages``."""
+    return _records(spark, sf, math=False)
+
+
+@query("prompt_records_math", _records_sql("'Persona: ' || persona || chr(10) || '    Language: ' || language"))
+def prompt_records_math(spark, sf):
+    """Math mode end to end (its own template, a user prompt of persona and language)."""
+    return _records(spark, sf, math=True)

@@ -71,3 +71,16 @@ def scan_lang_partitioned(spark, sf):
     if "PartitionFilters: [isnotnull(lang" not in plan:
         raise AssertionError("expected partition pruning on lang")
     return df
+
+
+@query("jsonl_lines_partitioned", """SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS line,
+  dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS file_rank FROM customer""")
+def jsonl_lines_partitioned(spark, sf):
+    """Lines and file order over folders whose files share one name."""
+    from pyspark.sql import Window
+    out = new_scratch_dir(spark, "jsonl-folders")
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    c.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").write.partitionBy("c_mktsegment").json(out)
+    back = read_jsonl(spark, out, "c_custkey bigint, c_mktsegment string", with_position=True, glob="*.json")
+    ranks = back.select("file_path").distinct().withColumn("file_rank", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("bigint"))
+    return back.join(ranks, "file_path").select("c_custkey", "c_mktsegment", "line", "file_rank")

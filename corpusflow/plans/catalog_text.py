@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusflow.functions.keys import keyed_choice, sql_keyed_hash
 from corpusflow.functions.text import SPACE_CLASS_RE2, first_n_words, n_words, shingles, sql_words, strip_ws
 from corpusflow.operators import dedup, filters
-from corpusflow.operators.parallel import bounded_broadcast
 from corpusflow.operators.dedup import (band_keys, lsh_params, minhash_coefficients, signatures,
                                         sql_band_ctes, sql_first_wins)
 from corpusflow.plans.registry import query, table
@@ -139,7 +138,7 @@ NATION_LIST = ["Nation_1", "NATION_3", "nation_5", "Nation_8", "nation_13", "NAT
 def distinct_matched(spark, sf):
     """Distinct matched values (customers' nation names in a list)."""
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    n = bounded_broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     vocab = spark.createDataFrame([(x,) for x in NATION_LIST], "value string").select(F.lower("value").alias("matched"))
     named = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lower("n_name").alias("matched"))
     return named.join(F.broadcast(vocab), "matched", "left_semi").distinct()

@@ -1,6 +1,6 @@
 """Stage 3 as one job: persona files in a folder -> first-wins dedup -> output folder.
 
-Rows are ordered by (file name, line) (T8: explicit order, not listing
+Rows are ordered by (file path, line) (T8: explicit order, not listing
 order); ids become ``<id>#<line>`` (P12); usable persona text follows the
 VARIANT rule (F6/T5); kept rows are written with their shingle list (K3) to
 a folder separate from the input (T7).
@@ -18,14 +18,15 @@ PERSONA_ROW = "id string, url string, persona variant, model string, lang string
 
 
 def ordered_rows(spark: SparkSession, in_dir: str, schema: str = PERSONA_ROW, glob: str = "*.jsonl") -> DataFrame:
-    """Rows with ``ord`` = (rank of file name) * 2^32 + line, and ``id#line`` ids."""
+    """Rows with ``ord`` = (rank of file path) * 2^32 + line, and ``id#line`` ids."""
     rows = read_jsonl(spark, in_dir, schema, with_position=True, glob=glob)
-    files = rows.select("file_name").distinct()
-    ranked = files.withColumn("_frank", (F.dense_rank().over(Window.orderBy("file_name")) - 1).cast("bigint"))
-    return (rows.join(ranked, "file_name")
+    files = rows.select("file_path").distinct()
+    # One row per file: the window's single task grows with the files, not with their rows.
+    ranked = files.withColumn("_frank", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("bigint"))
+    return (rows.join(ranked, "file_path")
                 .withColumn("ord", F.col("_frank") * F.lit(1 << 32) + F.col("line"))
                 .withColumn("id", F.concat(F.col("id"), F.lit("#"), F.col("line").cast("string")))
-                .drop("_frank"))
+                .drop("_frank", "file_path"))
 
 
 def dedup_persona_files(spark: SparkSession, in_dir: str, out_dir: str | None = None, threshold: float = 0.8,

@@ -11,33 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.functions.keys import keyed_choice
+from corpusflow.functions.keys import keyed_choice, keyed_hash
 from corpusflow.functions.text import first_n_words
 from corpusflow.operators import filters, prompts
 from corpusflow.operators.enrich import PERSONA_ITEM, PROMPT_ITEM, enrich, mock_client, parsed_list, split_parsed
+from corpusflow.operators.positions import exact_positions
 from corpusflow.sources.ledger import exclude_processed
 
 # Our own default vocabularies (parameters of the instruction job).
 LANGUAGES = ["English", "French", "German", "Spanish", "Portuguese", "Italian", "Dutch", "Polish", "Swedish"]
 STYLES = ["question", "instruction", "puzzle", "dialogue", "summary", "critique", "plan", "story", "explanation"]
 ONE_ROLE_MODELS = ["model-b"]
-MAX_DIMENSION_ROWS = 100_000
 
 
 def persona_prompts(pages: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None,
                     min_words: int = 100, head_words: int = 200, system: str = prompts.PERSONA_SYSTEM,
-                    small_input_rows: int | None = None) -> DataFrame:
-    """Stage 1 up to the model call: (id, prompt messages)."""
+                    carry: tuple = ()) -> DataFrame:
+    """Stage 1 up to the model call: (id, columns to carry such as ``url``, prompt messages)."""
     d = filters.min_words(pages, text_col, min_words)
     if ledger is not None:
-        d = exclude_processed(d, ledger, id_col, small_input_rows)
-    return d.select(F.col(id_col), prompts.two_role(F.lit(system), first_n_words(text_col, head_words)).alias("prompt"))
+        d = exclude_processed(d, ledger, id_col)
+    return d.select(F.col(id_col), *carry, prompts.two_role(F.lit(system), first_n_words(text_col, head_words)).alias("prompt"))
 
 
 def enrich_personas(prompted: DataFrame, id_col: str, client_factory=None, **kw) -> DataFrame:
-    """Model call + parse: (id, raw, model, error, items)."""
-    factory = client_factory or (lambda: mock_client("persona"))
-    out = enrich(prompted, factory, "prompt", [id_col], **kw)
+    """Model call + parse: (id and all other columns of ``prompted``, raw, model, error, items)."""
+    factory = client_factory or (lambda **o: mock_client("persona", **o))
+    out = enrich(prompted, factory, "prompt", [id_col, *[c for c in prompted.columns if c not in (id_col, "prompt")]], **kw)
     return out.withColumn("items", parsed_list("raw", "persona_list", PERSONA_ITEM))
 
 
@@ -46,14 +46,10 @@ def dimension(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), f"idx bigint, {name} string")
 
 
-def indexed(df: DataFrame, order_col: str, name: str) -> tuple[DataFrame, int]:
-    """Number rows of a small table derived from data, with a checked size bound."""
-    n = df.limit(MAX_DIMENSION_ROWS + 1).count()
-    if n > MAX_DIMENSION_ROWS:
-        raise ValueError(f"{name}: {n} rows is too large for a lookup dimension")
-    from pyspark.sql import Window
-    w = Window.orderBy(order_col)
-    return df.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint")), n
+def indexed(df: DataFrame, key_col: str) -> DataFrame:
+    """Dimension rows numbered 0, 1, ... in the order of a hash of ``key_col`` (any number of rows, no single-task sort)."""
+    keyed = df.withColumn("_k", keyed_hash("dimension", F.col(key_col)))
+    return exact_positions(keyed, "_k", key_col, out="idx").drop("_k")
 
 
 def assign_choices(personas: DataFrame, id_col: str, spark: SparkSession, topics: DataFrame, seeds: DataFrame,
@@ -61,22 +57,22 @@ def assign_choices(personas: DataFrame, id_col: str, spark: SparkSession, topics
     """One keyed random language, style, topic and seed prompt per row.
 
     Each choice is ``md5(seed|purpose|id) mod n`` joined to an ``(idx, value)``
-    dimension; dimensions are size-checked and broadcast.
+    dimension.  Topics and seeds come from data and may have any size: their
+    counts are scalar subqueries of the same plan, and AQE chooses the join.
     """
-    topics_i, n_topics = indexed(topics, "topic", "topics")
-    seeds_i, n_seeds = indexed(seeds, "seed_item", "seeds")
+    def count(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
     p = (personas
          .withColumn("_li", keyed_choice(len(LANGUAGES), seed, "language", F.col(id_col)))
          .withColumn("_si", keyed_choice(len(STYLES), seed, "style", F.col(id_col)))
-         .withColumn("_ti", keyed_choice(n_topics, seed, "topic", F.col(id_col)))
-         .withColumn("_pi", keyed_choice(n_seeds, seed, "seed", F.col(id_col))))
+         .withColumn("_ti", keyed_choice(count(topics), seed, "topic", F.col(id_col)))
+         .withColumn("_pi", keyed_choice(count(seeds), seed, "seed", F.col(id_col))))
     # Closed vocabularies built from driver lists: bounded by construction.
     lang = F.broadcast(dimension(spark, LANGUAGES, "language")).withColumnRenamed("idx", "_li")
     sty = F.broadcast(dimension(spark, STYLES, "style")).withColumnRenamed("idx", "_si")
-    # topics/seeds were size-checked by `indexed` (<= MAX_DIMENSION_ROWS rows).
     return (p.join(lang, "_li").join(sty, "_si")
-             .join(F.broadcast(topics_i.withColumnRenamed("idx", "_ti")), "_ti")
-             .join(F.broadcast(seeds_i.withColumnRenamed("idx", "_pi")), "_pi")
+             .join(indexed(topics, "topic").withColumnRenamed("idx", "_ti"), "_ti")
+             .join(indexed(seeds, "seed_item").withColumnRenamed("idx", "_pi"), "_pi")
              .drop("_li", "_si", "_ti", "_pi"))
 
 
@@ -93,11 +89,24 @@ def instruction_prompts(assigned: DataFrame, persona_col: str = "persona", model
 
 def enrich_instructions(prompted: DataFrame, key_cols: list[str], client_factory=None, **kw) -> DataFrame:
     """Stage 4 model call + parse: (keys..., raw, model, error, items ARRAY<prompt item>)."""
-    factory = client_factory or (lambda: mock_client("prompts"))
+    factory = client_factory or (lambda **o: mock_client("prompts", **o))
     out = enrich(prompted, factory, "prompt", key_cols, **kw)
     return out.withColumn("items", parsed_list("raw", "prompts", PROMPT_ITEM))
 
 
+def prompt_records(enriched: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """K1: (records, rejects) of stage 4.
+
+    A record has persona, url ('' when absent), id (``<id>_<position>``),
+    prompt, language, model, domain and style.
+    """
+    from corpusflow.operators.expand import explode_prompts
+    ok, rejects = valid_instructions(enriched)
+    out = explode_prompts(ok, "items", id_col, "url")
+    return out.select("persona", "url", F.col("prompt_id").alias("id"), "prompt", "language", "model",
+                      F.col("topic").alias("domain"), "style"), rejects
+
+
 def valid_instructions(enriched: DataFrame):
     """All prompts of a row must carry text, else the whole row is rejected."""
     return split_parsed(enriched, "items", require=["prompt"])
@@ -123,7 +132,8 @@ def persona_job(spark: SparkSession, pages: DataFrame, id_col: str, text_col: st
     from corpusflow.sources.ledger import append_ledger, read_ledger
     ledger = read_ledger(spark, ledger_path, "persona", exclude=(run, batch_id))
     enriched_path = f"{out_dir}/enriched/run={run}/batch_id={batch_id}"
-    enrich_personas(persona_prompts(pages, id_col, text_col, ledger), id_col, client_factory) \
+    carry = ("url",) if "url" in pages.columns else ()
+    enrich_personas(persona_prompts(pages, id_col, text_col, ledger, carry=carry), id_col, client_factory) \
         .write.mode("overwrite").parquet(enriched_path)
     enriched = spark.read.parquet(enriched_path)
     ok, rejects = split_parsed(enriched, "items")

@@ -9,6 +9,7 @@ counts are left to AQE coalescing, starting from a value the caller picks.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -60,6 +61,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        # A folder of this machine serves only a session that runs on this machine alone.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
@@ -67,12 +71,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh, unique sub-folder of the shared scratch root."""
-    root = scratch_root(spark)
-    path = f"{root}/{purpose}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    """The path of a fresh, unique sub-folder of the shared scratch root (Spark creates it when it writes)."""
+    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 _SHIPPED: set = set()

@@ -17,8 +17,9 @@ def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = Fal
 
     Spark's own JSON writer names files ``*.json``: read those with ``glob="*.json"``.
 
-    ``with_position`` adds ``file_name`` and 0-based ``line`` per file (W6),
-    from the file path, split start and scan order inside each split.
+    ``with_position`` adds ``file_name``, ``file_path`` and 0-based ``line`` per
+    file (W6), from the file's full path (files of different folders may share a
+    name), split start and scan order inside each split.
     """
     r = spark.read.schema(schema)
     if glob:
@@ -27,16 +28,17 @@ def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = Fal
     if not with_position:
         return df
     df = (df.withColumn("file_name", F.col("_metadata.file_name"))
+            .withColumn("file_path", F.col("_metadata.file_path"))
             .withColumn("_split", F.col("_metadata.file_block_start"))
             .withColumn("_seq", F.monotonically_increasing_id()))
     # Lines are numbered inside each file split (one split is at most
     # maxPartitionBytes); a small (file, split) count table gives each split
     # its offset in the file, so a huge file is never sorted in one task.
-    counts = df.groupBy("file_name", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file_name").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("file_name", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("file_name", "_split").orderBy("_seq")) - 1
-    return (df.join(offs, ["file_name", "_split"])
+    counts = df.groupBy("file_path", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("file_path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("file_path", "_split").orderBy("_seq")) - 1
+    return (df.join(offs, ["file_path", "_split"])
               .withColumn("line", (F.col("_off") + local).cast("bigint"))
               .drop("_split", "_seq", "_off"))
 
@@ -52,9 +54,12 @@ def write_jsonl(df: DataFrame, path: str, batch_id: int | None = None, partition
     return out
 
 
-def read_csv_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with header (quoted commas/braces) turned into JSON-record strings."""
-    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv_records(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """CSV with header (quoted commas/braces) turned into JSON-record strings.
+
+    ``multi_line`` allows line breaks inside quoted fields; such a file cannot be split among tasks.
+    """
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     df = r.csv(path)

@@ -18,7 +18,7 @@ LEDGER_SCHEMA = StructType([StructField("key", StringType()), StructField("op",
                             StructField("run", StringType()), StructField("batch_id", LongType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -32,7 +32,7 @@ def read_ledger(spark: SparkSession, path: str, op: str | None = None,
     ``exclude=(run, batch_id)`` hides the keys a failed attempt of that same
     batch may have left, so its replay sees the ledger as it was before.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], LEDGER_SCHEMA).select("key")
     df = spark.read.schema(LEDGER_SCHEMA).parquet(path)
     if op is not None:
@@ -42,28 +42,20 @@ def read_ledger(spark: SparkSession, path: str, op: str | None = None,
     return df.select("key")
 
 
-def exclude_processed(df: DataFrame, ledger: DataFrame, key, small_input_rows: int | None = None) -> DataFrame:
-    """Rows whose key (as a string) is not in the ledger.
-
-    ``small_input_rows``: for a bounded input (a micro-batch), first probe the
-    ledger with the input's keys (size-checked broadcast, so the ledger is
-    scanned, not shuffled), then anti-join the few matches.
-    """
+def exclude_processed(df: DataFrame, ledger: DataFrame, key) -> DataFrame:
+    """Rows whose key (as a string) is not in the ledger."""
     key_c = F.col(key) if isinstance(key, str) else key
     keyed = df.withColumn("_lkey", key_c.cast("string"))
     led = ledger.select(F.col("key").alias("_lkey"))
-    if small_input_rows:
-        from corpusflow.operators.parallel import bounded_broadcast
-        probe = bounded_broadcast(keyed.select("_lkey").distinct(), small_input_rows)
-        led = led.join(probe, "_lkey", "left_semi")
     return keyed.join(led, "_lkey", "left_anti").drop("_lkey")
 
 
 def append_ledger(keys: DataFrame, path: str, op: str, batch_id: int, key_col: str = "key",
                   run: str = "0") -> None:
-    """K2: record distinct keys of one batch; a replayed batch overwrites itself."""
-    out = (keys.select(F.col(key_col).cast("string").alias("key")).distinct()
-               .withColumn("op", F.lit(op)).withColumn("run", F.lit(run))
-               .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("op", "run", "batch_id").parquet(path))
+    """K2: record distinct keys of one batch.
+
+    The batch's own partition folder is overwritten, also by a batch without
+    keys, so a replay never leaves keys of an earlier attempt behind.
+    """
+    (keys.select(F.col(key_col).cast("string").alias("key")).distinct()
+         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/op={op}/run={run}/batch_id={batch_id}"))

@@ -16,11 +16,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """Read a dataset by format: explicit ``fmt``, else by suffix.
 
     ``.json``/``.jsonl`` -> JSON lines (schema strongly advised), ``.csv`` ->
     CSV with header, anything else -> Parquet (a directory of a saved split).
+    ``multi_line`` allows line breaks inside quoted CSV fields; such a file
+    cannot be split among tasks.
     """
     fmt = fmt or ("json" if path.endswith((".json", ".jsonl")) else
                   "csv" if path.endswith(".csv") else "parquet")
@@ -30,7 +32,7 @@ def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None
     if fmt == "json":
         return r.json(path)
     if fmt == "csv":
-        return r.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        return r.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     return r.format(fmt).load(path)
 
 
@@ -53,12 +55,12 @@ def resolve_source(dataset_name: str | None = None, dataset_mixer: dict | None =
                                  ("mixer_list", dataset_mixer_list), ("file", train_file))
              if v is not None]
     if not given:
-        raise ValueError("need a dataset name, a dataset mixer, or a training file")
+        raise ValueError("no training source is given")
     if len(given) > 1:
-        raise ValueError("cannot provide two dataset selection mechanisms")
+        raise ValueError(f"more than one training source is given: {[k for k, _ in given]}")
     kind, value = given[0]
     if kind == "file":
         ext = os.path.splitext(str(value))[1].lstrip(".")
         if ext not in ("json", "jsonl"):
-            raise ValueError("train_file should be a json or a jsonl file")
+            raise ValueError(f"unknown kind of training file: {value}")
     return kind, value

@@ -64,3 +64,11 @@ def test_aggregate_method_equals_vectorized(spark):
     a = sorted(r.doc_id for r in first_wins_dedup(docs, "doc_id", "text", method="aggregate").collect())
     b = sorted(r.doc_id for r in first_wins_dedup(docs, "doc_id", "text").collect())
     assert a == b
+
+
+def test_repeated_or_null_order_fails(spark):
+    import pytest
+    from corpusflow.operators.dedup import first_wins_dedup
+    for rows in ([(1, "a b c d"), (1, "e f g h")], [(None, "a b c d"), (2, "e f g h")]):
+        with pytest.raises(Exception, match="unique and not NULL"):
+            first_wins_dedup(spark.createDataFrame(rows, "ord bigint, t string"), "ord", "t").collect()

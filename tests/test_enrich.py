@@ -40,3 +40,36 @@ def test_template_order(spark):
     df = spark.createDataFrame([("fr", "say {seed_language}")], "l string, p string")
     got = df.select(fill_template("A {seed_language} B {seed_prompt}", F.col("l"), F.col("p")).alias("x")).first().x
     assert got == "A fr B say {seed_language}"
+
+
+def test_one_bad_prompt_fails_alone(spark):
+    from corpusflow.operators.enrich import answer
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id bigint, t string") \
+              .select("id", two_role(F.lit("s"), F.col("t")).alias("p")).coalesce(1)
+
+    def picky(**options):
+        assert options == {"temperature": 0.1}
+
+        def call(prompts):
+            if any(m["content"] == "text 7" for p in prompts for m in p):
+                raise ValueError("refused")
+            return [("{}", "m")] * len(prompts)
+        return call
+    out = {r.id: r.error for r in enrich(df, picky, "p", ["id"], attempts=1, options={"temperature": 0.1}).collect()}
+    assert {i for i, e in out.items() if e} == {7} and "refused" in out[7]
+    assert answer(lambda p: [("x", "m")], ["a", "b"]) == [("x", "m", None)] * 2 and answer(lambda p: [], ["a"])[0][2]
+    with pytest.raises(ValueError, match="partitions"):
+        enrich(df, picky, "p", ["id"], calls_per_s=5.0)
+
+
+def test_upstream_rows_run_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def touch(t):
+        seen.add(1)
+        return t
+    df = spark.range(0, 200, 1, 3).select("id", touch(F.col("id").cast("string")).alias("t")).groupBy("id").agg(F.max("t").alias("t"))
+    prompted = df.select("id", two_role(F.lit("s"), F.col("t")).alias("p"))
+    out = enrich(prompted, lambda: mock_client("persona"), "p", ["id"], partitions=5)
+    assert seen.value == 0 and out.count() == 200 and seen.value == 200

@@ -3,10 +3,6 @@ import random
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import first_n_words, more_words_than, n_words, shingles, strip_ws, words
-from corpusflow.operators import encode as enc
-from corpusflow.operators import messages as M
-
-from test_messages_encode import MSG, render_py
 
 WS = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", " ",
       " ", " ", " ", " ", " ", " ", "　"]
@@ -36,27 +32,9 @@ def test_word_functions_match_python_on_random_text(spark):
         assert r.h == " ".join(sp[:4]) and r.s == t.strip() and r.g == grams, repr(t)
 
 
-def test_pluggable_tokenizer_seam(spark):
-    def char_tokenizer(texts):
-        """A stand-in batch tokenizer: one id per non-space character (pickled by value)."""
-        return [[ord(c) for c in t if not c.isspace()] for t in texts]
-
-    msgs = [[("system", "ab"), ("user", "cd e"), ("assistant", "fg")], [("assistant", "x"), ("user", "y")]]
-    df = spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in m]) for i, m in enumerate(msgs)],
-                               f"id int, messages {MSG}")
-    tok = enc.pandas_tokenizer(char_tokenizer)
-    got = {r.id: (r.input_ids, r.labels) for r in enc.encode(df, "messages", 1000, tokenizer=tok, bos_id=1).collect()}
-
-    def per_message(m):
-        body = render_py([m])[len("\n" + M.BOS + "\n"):-1]
-        return char_tokenizer([body])[0]
-    for i, m in enumerate(msgs):
-        m = [{"role": r, "content": c} for r, c in m]
-        ids, labels = [1], [1 if m[0]["role"] == "assistant" else -100]
-        for j, x in enumerate(m):
-            t = per_message(x)
-            ids += t
-            for k, v in enumerate(t):
-                masked = x["role"] != "assistant" or (k == 0 and j > 0 and m[j - 1]["role"] != "assistant")
-                labels.append(-100 if masked else v)
-        assert got[i] == (ids, labels)
+def test_word_functions_take_any_n(spark):
+    """Twenty thousand words neither overflow a stack nor change the answer."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text,), (" " + text + " x ",), (None,)], "t string")
+    got = df.select(more_words_than("t", 19_999).alias("a"), more_words_than("t", 20_000).alias("b"), F.length(first_n_words("t", 20_000)).alias("n")).collect()
+    assert [tuple(r) for r in got] == [(True, False, len(text)), (True, True, len(text)), (False, False, 0)]
