@@ -24,7 +24,7 @@ Method
      components without their pairs ever being listed.  Rounds go on while they
      still join a fair share of what they compare.
   5. *The rest.*  Buckets that still hold several components are compared in
-     blocks of at most ``BLOCK`` sets.  Inside a task a pair is looked at once
+     blocks of about ``BLOCK`` shingles.  Inside a task a pair is looked at once
      (in the first bucket both share), only if its sets are in different
      components, passes the sketches (one byte a coordinate, cut 5 standard
      deviations below the threshold) and is confirmed on the full sets; a link
@@ -56,7 +56,9 @@ from corpusflow.llm.words import SLICE, cut, mix, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 ROWS, BANDS = 6, 40
-BLOCK = 256
+# A block holds about this many shingles (4 MB of hashes); a set counts as LEAST_SIZE at least, so
+# that the number of sets in a block is bounded too.
+BLOCK, LEAST_SIZE = 500_000, 128
 # Star rounds end when a round joins less than this share of the pairs it compares; the blocks do the rest.
 LEAST_SHARE, MOST_ROUNDS = 0.2, 6
 STEP = 1 << 17  # hashes a sketching step computes at a time
@@ -256,12 +258,16 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def mixed(members: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Rows (key, rep, root, m, hub, hub_root) of the buckets that hold more than one component."""
-    rows = staged(_rooted(members.select("key", "rep"), roots), "members")
+    """Rows (key, rep, n, root, nb, hub, hub_root) of the buckets that hold more than one component.
+
+    ``nb`` is the number of blocks of the bucket.
+    """
+    rows = staged(_rooted(members.select("key", "rep", "n"), roots), "members")
+    weight = F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SIZE))) / BLOCK).cast("int")
     order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("bigint"), F.col("rep"), F.col("root"))
-    keys = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"),
+    keys = staged(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), weight.alias("nb"),
                                           F.min(order).alias("h")).where("lo < hi")
-                      .select("key", "m", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "mixed")
+                      .select("key", "nb", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root")), "mixed")
     return staged(rows.join(keys, "key"), "mixed-members")
 
 
@@ -316,8 +322,7 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int, coords: int) ->
     """Confirmed links (a, b) between the components of the buckets in ``rest`` (see :func:`mixed`)."""
     own = rest.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most ``bands`` keys
     full = sets.select(F.col("_id").alias("rep"), "mark", "elements").join(own, "rep")
-    rows = rest.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rows = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root")
     rows = rows.join(full, "rep").select("key", "i", "j", "block", "rep", "root", "keys", "mark", "elements")
@@ -335,8 +340,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     marks = staged(src.mapInArrow(_sketches(k, rows, bands),
                                   f"_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>"), "sketches")
     reps = staged(marks.where("_id is not null and set_key is not null").groupBy("set_key")
-                       .agg(F.min("_id").alias("rep"), F.any_value("bands").alias("bands")), "sets")
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
+                       .agg(F.min("_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "sets")
+    buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = staged(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi"))
                            .where("hub < hi").select("key", "hub"), "shared")
     members = staged(buckets.join(shared, "key"), "buckets")

@@ -82,7 +82,9 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-def test_near_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 20_000])
+def test_near_groups_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(4)
     rows = [(i, t) for i, t in enumerate([None, "", "  \n", "a", "A", "b", "a b", "a B", "a b c", "c a b"])]
     for g in range(12):  # groups whose pairs lie on both sides of the threshold, and chains
@@ -90,7 +92,7 @@ def test_near_groups_equal_brute_force(spark):
         for _ in range(14):
             rows.append((len(rows), edited(rng, words, rng.randrange(max(1, len(words) // 10) + 1))))
     words = [f"hot{i}" for i in range(80)]
-    for _ in range(700):  # a hot group: a bucket of more than one block, most pairs just below the threshold
+    for _ in range(700):  # a hot group: one block or several, most pairs just below the threshold
         rows.append((len(rows), edited(rng, words, 5)))
     rows += [(len(rows) + i, rows[-1][1].upper()) for i in range(20)]
     want = brute(rows, 2)
