@@ -399,18 +399,25 @@ def tags_of(texts: list[str], model: BiLstmCrf, window: int = WINDOW, overlap: i
     return out
 
 
+# Characters with which a model span of a kind may begin and end; a run of tags is cut to them.
+_ENDS = {"email": (re.compile(r"[A-Za-z0-9]"),) * 2, "ip": (re.compile(r"[0-9]"),) * 2, "card": (re.compile(r"[0-9]"),) * 2,
+         "phone": (re.compile(r"[0-9+(]"), re.compile(r"[0-9]"))}
+
+
 def model_spans(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
-    """Runs of equal tags, without white space at their ends."""
+    """Runs of equal tags, cut to characters with which their kind begins and ends."""
     edge = np.flatnonzero(np.diff(tags, prepend=0, append=0))
     out = []
     for s, e in zip(edge, edge[1:]):
         if tags[s]:
-            while s < e and text[s].isspace():
+            kind = KINDS[tags[s] - 1]
+            begin, end = _ENDS[kind]
+            while s < e and not begin.match(text[s]):
                 s += 1
-            while e > s and (text[e - 1].isspace() or text[e - 1] in ".,;:"):
+            while e > s and not end.match(text[e - 1]):
                 e -= 1
             if s < e:
-                out.append((KINDS[tags[s] - 1], int(s), int(e)))
+                out.append((kind, int(s), int(e)))
     return out
 
 

@@ -30,7 +30,7 @@ def test_statistics():
     assert x.shape == (4, quality.STATISTICS) and np.isfinite(x).all() and (x[0] == x[1]).all()
     share = dict(zip(range(quality.CLASSES), x[2][3:3 + quality.CLASSES] * 17))
     assert [round(v) for v in share.values()] == [0, 6, 1, 2, 4, 1, 1, 2, 0]
-    assert np.isclose(x[2][1], np.log1p(5)) and np.isclose(x[2][-4], 4 / 5) and np.isclose(x[2][-3], 0)
+    assert np.isclose(x[2][1], np.log1p(5)) and np.isclose(x[2][-4], 1) and np.isclose(x[2][-3], 0)
 
 
 def test_isotonic_is_the_least_squares_monotone_fit():
@@ -144,7 +144,7 @@ def test_toxicity_edges(spark):
     chain = toxicity.fit(docs, none, {"a": F.col("toxic"), "toxic": F.col("toxic")}, "toxic")
     rows = toxicity.score(docs, chain).collect()
     assert len(rows) == len(edge_rows()) and all(r.p_toxic < 1e-6 for r in rows)
-    one = spark.createDataFrame([(2, 1), (4, 1), (None, 1), (5, None)], "doc_id bigint, toxic int")
+    one = spark.createDataFrame([(1, 1), (7, 1), (None, 1), (8, None)], "doc_id bigint, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, one, {"toxic": F.col("toxic")}, "toxic")).where("p_toxic > 0.9").count() == len(edge_rows())
     assert toxicity.score(frame(spark, []), chain).count() == 0
 
