@@ -95,7 +95,8 @@ def _minhash_udf(coeffs):
     return minhash
 
 
-def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str = "vectorized") -> DataFrame:
+def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str = "vectorized",
+               partitions: int | None = None) -> DataFrame:
     """(ord, sig ARRAY<BIGINT>): per-row minimum of every hash function.
 
     Shingling and shingle hashing are native expressions.  The minimums are
@@ -103,9 +104,11 @@ def signatures(df: DataFrame, ord_col: str, text, k: int, coeffs, method: str =
     shuffle) or, with ``method="aggregate"``, by exploding the hashes into a
     hash aggregate of ``min`` per function (one shuffle by ``ord``; partial
     aggregation leaves one row per input row before it).  The empty set maps
-    to PRIME in every slot, so all empty rows collide.
+    to PRIME in every slot, so all empty rows collide.  ``partitions`` deals the
+    rows out first (only where the caller asks for it: it shuffles the text).
     """
     base = df.select(F.col(ord_col), col_(text).alias("_t"))
+    base = base.repartition(partitions) if partitions else base
     hashes = shingle_hashes(shingles("_t", k))
     if method == "vectorized":
         return base.select(F.col(ord_col), _minhash_udf(coeffs)(hashes).alias("sig"))
@@ -129,11 +132,11 @@ def band_keys(sig_df: DataFrame, ord_col: str, bands: int, rows: int) -> DataFra
 
 def kept_ords(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
               num_perm: int = NUM_PERM, seed: int = COEFF_SEED,
-              params: tuple[int, int] | None = None, method: str = "vectorized") -> DataFrame:
+              params: tuple[int, int] | None = None, method: str = "vectorized", partitions: int | None = None) -> DataFrame:
     """Single-column DataFrame of the ``ord`` values that survive."""
     b, r = params or lsh_params(threshold, num_perm)
     coeffs = minhash_coefficients(b * r, seed)
-    keys = band_keys(signatures(df, ord_col, text, k, coeffs, method), ord_col, b, r)
+    keys = band_keys(signatures(df, ord_col, text, k, coeffs, method, partitions), ord_col, b, r)
     firsts = keys.groupBy("band", "key").agg(F.min(ord_col).alias("_first"))
     return (firsts.groupBy("_first").agg(F.count(F.lit(1)).alias("_nb"))
                   .where(F.col("_nb") == b)
@@ -161,7 +164,8 @@ def with_ord(df: DataFrame, ord_col: str) -> DataFrame:
 
 def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
                      num_perm: int = NUM_PERM, seed: int = COEFF_SEED, short: str = "first",
-                     params: tuple[int, int] | None = None, method: str = "vectorized") -> DataFrame:
+                     params: tuple[int, int] | None = None, method: str = "vectorized",
+                     partitions: int | None = None) -> DataFrame:
     """Rows of ``df`` that survive first-wins LSH dedup in ``ord_col`` order.
 
     ``ord_col`` must be unique (e.g. (file, line) folded into one BIGINT, or a
@@ -173,9 +177,9 @@ def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8,
     if short == "keep":
         is_long = more_words_than(text_c, k - 1)
         long_rows = df.where(is_long)
-        kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params, method)
+        kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params, method, partitions)
         return df.join(kept, ord_col, "left_semi").unionByName(df.where(~is_long))
-    kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params, method)
+    kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params, method, partitions)
     return df.join(kept, ord_col, "left_semi")
 
 

@@ -13,7 +13,7 @@ from corpusflow.operators.expand import explode_items, explode_prompts
 from corpusflow.operators.persona import persona_text
 from corpusflow.plans import personas as P
 from corpusflow.plans.catalog_text import seed_prompts
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import partitions, query, table
 
 
 def lit_sql(s: str) -> str:
@@ -111,7 +111,7 @@ def persona_json(spark, sf):
 def enrich_mock(spark, sf):
     """Batch model call through ``mapInPandas`` with the offline mock client."""
     pr = P.persona_prompts(table(spark, sf, "documents"), "doc_id", "text")
-    out = P.enrich_personas(pr, "doc_id")
+    out = P.enrich_personas(pr, "doc_id", partitions=partitions(spark))
     return out.select("doc_id", "model", F.md5("raw").alias("raw_md5"), "error")
 
 
@@ -124,7 +124,7 @@ FROM {sql_mock(PAGES_SQL, 'doc_id')} m, range(0, 3) r(i) WHERE i < n AND mode <>
 def explode_personas(spark, sf):
     """Parse the model reply (object or bare array) and explode personas."""
     pr = P.persona_prompts(table(spark, sf, "documents"), "doc_id", "text")
-    ok, _ = split_parsed(P.enrich_personas(pr, "doc_id"), "items")
+    ok, _ = split_parsed(P.enrich_personas(pr, "doc_id", partitions=partitions(spark)), "items")
     ex = explode_items(ok, "items", "doc_id")
     return ex.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("item.persona").alias("persona"),
                      F.get(F.col("item.countries"), 0).alias("country"), F.get(F.col("item.languages"), 0).alias("language"))
@@ -134,7 +134,7 @@ def explode_personas(spark, sf):
 def persona_rejects(spark, sf):
     """Replies that do not parse go to rejects (their keys stay unprocessed)."""
     pr = P.persona_prompts(table(spark, sf, "documents"), "doc_id", "text")
-    _, rej = split_parsed(P.enrich_personas(pr, "doc_id"), "items")
+    _, rej = split_parsed(P.enrich_personas(pr, "doc_id", partitions=partitions(spark)), "items")
     return rej.select("doc_id", "reason")
 
 
@@ -257,7 +257,7 @@ FROM {sql_mock(f"(SELECT doc_id, language, style, topic, {_USER_SQL} AS content
 def explode_prompts_q(spark, sf):
     """Stage 4: prompt per persona, model call, validation, one row per generated prompt."""
     pr = P.instruction_prompts(_assigned(spark, sf))
-    out = P.enrich_instructions(pr, ["doc_id", "language", "style", "topic"])
+    out = P.enrich_instructions(pr, ["doc_id", "language", "style", "topic"], partitions=partitions(spark))
     ok, _ = P.valid_instructions(out)
     ex = explode_prompts(ok, "items", "doc_id", None)
     return ex.select("prompt_id", "doc_id", F.col("pos").cast("bigint").alias("pos"), "prompt", "language",
@@ -273,7 +273,7 @@ FROM {sql_mock(_EXPAND_CONTENT, 'item_key')} m, range(0, 3) r(i) WHERE i < n AND
 def expand_personas(spark, sf):
     """Stage 2 (persona -> persona): JSON-serialised persona prompt, model call, explode; keys are row keys."""
     pr = P.persona_prompts(table(spark, sf, "documents"), "doc_id", "text")
-    ok, _ = split_parsed(P.enrich_personas(pr, "doc_id"), "items")
+    ok, _ = split_parsed(P.enrich_personas(pr, "doc_id", partitions=partitions(spark)), "items")
     first = explode_items(ok, "items", "doc_id").select(F.col("item_key").alias("parent_key"), "item")
     prompted = P.expand_prompts(first, "parent_key", "item")
     out = P.enrich_personas(prompted, "parent_key")

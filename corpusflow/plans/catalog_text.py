@@ -9,7 +9,7 @@ from corpusflow.functions.text import SPACE_CLASS_RE2, first_n_words, n_words, s
 from corpusflow.operators import dedup, filters
 from corpusflow.operators.dedup import (band_keys, lsh_params, minhash_coefficients, signatures,
                                         sql_band_ctes, sql_first_wins)
-from corpusflow.plans.registry import query, table
+from corpusflow.plans.registry import partitions, query, table
 from corpusflow.sources.ledger import exclude_processed
 from corpusflow.sources.tables import scan_partition
 
@@ -80,7 +80,7 @@ def minhash_bands(spark, sf):
 def lsh_dedup(spark, sf):
     """§2.10/J5/A8: first-row-wins near-duplicate removal (k=3, t=0.8) in doc_id order."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return dedup.first_wins_dedup(d, "doc_id", "text").select("doc_id", "lang")
+    return dedup.first_wins_dedup(d, "doc_id", "text", partitions=partitions(spark)).select("doc_id", "lang")
 
 
 @query("lsh_dedup_aggregate", f"SELECT d.doc_id, d.lang FROM documents d SEMI JOIN ({sql_first_wins('documents', 'doc_id', 'text')}) k "
