@@ -32,6 +32,7 @@ results; empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -220,21 +221,23 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]
         yield held
 
 
-_INDEXES: dict = {}
+_INDEXES: dict[str, Index] = {}
+
+
+def cached_index(key: str, sent) -> Index:
+    """The index of a broadcast block, kept by the worker process for its next tasks (the last few blocks)."""
+    if key not in _INDEXES:
+        while len(_INDEXES) >= 4:
+            del _INDEXES[next(iter(_INDEXES))]
+        _INDEXES[key] = Index(*sent.value)
+    return _INDEXES[key]
 
 
 def _sent(df: DataFrame, block: list[tuple], rate: float):
-    """A function that gives the block's index inside a task (built once per worker process)."""
+    """A function that gives the block's index inside a task."""
     repeat = repetitions([t for _, t in block], rate)
-    sent = df.sparkSession.sparkContext.broadcast((block, repeat, rate))
-
-    def index() -> Index:
-        key = sent.id if hasattr(sent, "id") else id(sent)
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = Index(*sent.value)
-        return _INDEXES[key]
-    return index
+    key, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast((block, repeat, rate))
+    return lambda: cached_index(key, sent)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

@@ -47,9 +47,15 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
     rows = (rows.where((fold("_id") != HELD_OUT) & F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
                 .withColumn("_h", F.xxhash64(F.lit("dictionary"), "_id")))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))).where(f"_n <= {sample}")
+    # The cut of each language is found from the hashes alone; only the chosen texts leave their tasks.
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
+    cuts = {r["_lang"]: r["c"] for r in rows.select("_lang", "_h").withColumn("_n", nth).where(f"_n <= {sample}")
+            .groupBy("_lang").agg(F.max("_h").alias("c")).collect()}
+    if not cuts:
+        return {}
+    cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])[F.col("_lang")]
     out: dict[str, bytes] = {}
-    for lang, h, text in first.select("_lang", "_h", "_text").orderBy("_lang", "_n").toLocalIterator():
+    for lang, h, text in rows.where(F.col("_h") <= cut).select("_lang", "_h", "_text").orderBy("_lang", "_h", "_text").toLocalIterator():
         data = normal(text)
         at = h % max(1, len(data) - SLICE_BYTES + 1)
         out[lang] = out.get(lang, b"") + b" " + data[at:at + SLICE_BYTES]

@@ -337,8 +337,14 @@ def windows(texts: list[str], length: int = TRAIN_LENGTH, limit: int = TRAIN_WIN
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> list[str]:
     """Whole texts for training, at most ``rows``: half of them with a digit or '@' (by least hash of the id), half any."""
     src = docs.where(F.length(text_col) > 0).select(F.col(f"`{text_col}`").cast("string").alias("t"), F.xxhash64(f"`{id_col}`").alias("h"))
-    part = [src.where(F.col("t").rlike("[0-9@]")), src]
-    return [r["t"] for p in part for r in p.orderBy("h", "t").limit(rows // 2).toLocalIterator()]
+    out = []
+    for part in (src.where(F.col("t").rlike("[0-9@]")), src):
+        # The cut is found from the hashes alone; only the chosen texts leave their tasks.
+        cut = part.select("h").orderBy("h").limit(rows // 2).agg(F.max("h")).first()[0]
+        if cut is not None:
+            chosen = part.where(F.col("h") <= cut).orderBy("h", "t").limit(rows // 2)
+            out += [r["t"] for r in chosen.toLocalIterator()]
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> BiLstmCrf | None:
