@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import keyed_choice, sql_keyed_hash
-from corpusflow.functions.text import SPACE_CLASS_RE2, first_n_words, n_words, shingles, sql_words, strip_ws
+from corpusflow.functions.text import SPACE_CLASS_RE2, first_n_words, more_words_than, n_words, shingles, sql_words, strip_ws
 from corpusflow.operators import dedup, filters
 from corpusflow.operators.dedup import (band_keys, lsh_params, minhash_coefficients, signatures,
                                         sql_band_ctes, sql_first_wins)
@@ -151,9 +151,9 @@ def distinct_matched(spark, sf):
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
 def stage_counts(spark, sf):
     """A1: row counts after each filter stage, in one pass."""
-    d = table(spark, sf, "documents").select("doc_id", n_words("text").alias("nw"))
+    d = table(spark, sf, "documents").select("doc_id", more_words_than("text", 100).alias("long"), (~more_words_than("text", 2)).alias("short"))
     led = table(spark, sf, "labels").select(F.col("doc_id").alias("l_id")).distinct()
     j = d.join(led, d.doc_id == led.l_id, "left")
-    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("nw") > 100).alias("n_long"),
-                 F.count_if((F.col("nw") > 100) & F.col("l_id").isNull()).alias("n_todo"),
-                 F.count_if(F.col("nw") < 3).alias("n_short"))
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("long").alias("n_long"),
+                 F.count_if(F.col("long") & F.col("l_id").isNull()).alias("n_todo"),
+                 F.count_if("short").alias("n_short"))
