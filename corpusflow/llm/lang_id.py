@@ -55,7 +55,10 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {}
     cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v))])[F.col("_lang")]
     out: dict[str, bytes] = {}
-    for lang, h, text in rows.where(F.col("_h") <= cut).select("_lang", "_h", "_text").orderBy("_lang", "_h", "_text").toLocalIterator():
+    # Numbered again, in case an id is repeated more often than the sample is large.
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_text"))
+    chosen = rows.where(F.col("_h") <= cut).withColumn("_n", nth).where(f"_n <= {sample}")
+    for lang, h, text in chosen.select("_lang", "_h", "_text").orderBy("_lang", "_n").toLocalIterator():
         data = normal(text)
         at = h % max(1, len(data) - SLICE_BYTES + 1)
         out[lang] = out.get(lang, b"") + b" " + data[at:at + SLICE_BYTES]

@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], main:
                    .agg(*[F.max(c).alias(c) for c in names]).orderBy(F.xxhash64("_id"), "_id").limit(sample))
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     # The sample bounds the broadcast; documents are scanned once and never shuffled.
-    rows = staged(src.join(F.broadcast(known), "_id")
+    # Of repeated ids one text counts, so the sample bounds the rows too.
+    rows = staged(src.join(F.broadcast(known), "_id").groupBy("_id", *names).agg(F.max("_text").alias("_text"))
                      .select("_text", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_cv"), F.col(main).cast("int").alias("_y"),
                              *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()]), "labelled")
 
