@@ -57,7 +57,7 @@ class Walk:
 
     def __init__(self, repetitions: int, longest: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.repetitions, self.rng_words = repetitions, rng.integers(0, 1 << 63, (2 * longest + 1, repetitions), dtype=np.int64)
+        self.repetitions, self.rng_words = repetitions, rng.integers(-(1 << 63), 1 << 63, (2 * longest + 1, repetitions), dtype=np.int64)
         # Sampled coordinates as shares of the walk, so that they scale with the window.
         self.shares = np.sort(rng.random((SAMPLES, repetitions)), axis=0)
 

@@ -177,6 +177,18 @@ def test_recall_and_precision_against_brute_force():
     assert not any(index.matches(t) for _, t in items(60, 77))
 
 
+def test_recall_of_edits_on_any_character():
+    found = total = 0
+    for n, (_, t) in enumerate(items(24, 12)):
+        for c in "?~ü":
+            for at in (0, 2, 5, 20):
+                item = t[:at] + c + t[at + 1:]
+                index = decontaminate.Index([(n, item)], 32)
+                for edit in (t[:at] + "." + t[at + 1:], t[:at] + t[at + 1:], item[:at] + c + item[at:]):
+                    found, total = found + bool(index.matches(f"so {edit} then")), total + 1
+    assert found / total >= 0.97
+
+
 def test_decontamination_frames(spark):
     bench = items(6)
     rows = edge_rows() + [(50, "intro words " + bench[2][1].upper().replace(" ", "\n ") + " more"), (50, bench[2][1]), (51, bench[2][1][:60]),
