@@ -23,15 +23,20 @@ shuffle:
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters, one pass
 over the documents for each block, so what is broadcast is bounded.
 
-Defined results: NULL and empty texts match nothing; items with fewer than
-``MIN_CHARS`` characters (or NULL) say too little to name a source and match
-nothing; several matches of an item in a document count once, the closest;
-items with equal texts all match; repeated document rows give repeated
-results; empty tables give an empty result; other columns are ignored.
+Defined results: NULL and empty texts and items match nothing; items with fewer
+than ``least`` characters (``MIN_CHARS`` by default) say too little to name a
+source and match nothing; with a smaller ``least``, as in the query and the
+pipeline, items below ``MIN_CHARS`` match where a document holds them verbatim
+between word boundaries (:func:`apart`), not with edits; several matches of an
+item in a document count once, the closest; items with equal texts all match;
+repeated document rows give repeated results; empty tables give an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,6 +57,15 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+# Scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han): a word can end at any character.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def apart(a: str, b: str) -> bool:
+    """Whether there is a word boundary between two neighbouring characters (either may be empty)."""
+    return any(not c or unicodedata.category(c)[0] not in "LMN" or bool(_UNSPACED.match(c)) for c in (a, b))
+
+
 class Walk:
     """CGK embeddings of many strings under many repetitions, at each repetition's sampled coordinates."""
 
@@ -104,7 +118,7 @@ def repetitions(items: list[str], rate: float = RATE, target: float = RECALL, se
     pairs = [(codes(t), codes(edited(t, int(rate * len(t)), rng))) for t in some for _ in range(3)]
     n = START_REPETITIONS
     while True:
-        walk = Walk(n, max(len(t) for t in some))
+        walk = Walk(n, max(map(len, some), default=1))
         found = 0
         for a, b in pairs:
             e = walk([a, b], len(a))
@@ -142,13 +156,14 @@ class Index:
 
     def __init__(self, items: list[tuple], repeat: int, rate: float = RATE):
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
-        self.edits = [int(rate * len(t)) for t in self.texts]
+        self.short = [len(t) < MIN_CHARS for t in self.texts]
+        self.edits = [0 if short else int(rate * len(t)) for t, short in zip(self.texts, self.short)]
         self.walk = Walk(repeat, max(map(len, self.texts), default=1))
-        self.sampled = [self.walk([codes(t)], len(t))[0] for t in self.texts]
+        self.sampled = [None if short else self.walk([codes(t)], len(t))[0] for t, short in zip(self.texts, self.short)]
         self.seeds = []
         places: dict[str, list] = defaultdict(list)
         for n, (t, k) in enumerate(zip(self.texts, self.edits)):
-            s = SEEDS if len(t) // (k + SEEDS) >= 6 else 1
+            s = SEEDS if len(t) // (k + SEEDS) >= 6 and not self.short[n] else 1
             self.seeds.append(s)
             cuts = [len(t) * i // (k + s) for i in range(k + s + 1)]
             for a, b in zip(cuts, cuts[1:]):
@@ -159,12 +174,17 @@ class Index:
         self.automaton.make_automaton()
 
     def windows(self, text: str) -> list[tuple[int, int, int, list[int]]]:
-        """(item, first start, last start, starts) where enough pieces of an item agree."""
+        """(item, first start, last start, starts) where enough pieces of an item agree; a short item's first place."""
         starts: dict[int, set] = defaultdict(set)
+        whole: dict[int, int] = {}
         for end, (length, at) in self.automaton.iter(text):
+            start = end + 1 - length
             for n, offset in at:
-                starts[n].add((end + 1 - length - offset, offset))
-        out = []
+                if not self.short[n]:
+                    starts[n].add((start - offset, offset))
+                elif n not in whole and apart(text[max(0, start - 1):start], text[start]) and apart(text[end], text[end + 1:end + 2]):
+                    whole[n] = start
+        out = [(n, start, start, [start]) for n, start in whole.items()]
         for n, found in starts.items():
             k, s = self.edits[n], self.seeds[n]
             if len(found) < s:
@@ -194,6 +214,9 @@ class Index:
             length = len(item)
             if best.get(n) == 0:
                 continue
+            if self.short[n]:
+                best[n] = 0
+                continue
             inside = [text[max(0, s):max(0, s) + length] for s in starts]
             got = self.walk([codes(w) for w in inside], length)
             if not (got == self.sampled[n]).all(axis=1).any():
@@ -204,13 +227,13 @@ class Index:
         return [(self.ids[n], d, len(self.texts[n])) for n, d in sorted(best.items())]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
-    """The items (id, normal text) in id order, in blocks of bounded size."""
+def blocks(items: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> Iterator[list[tuple]]:
+    """The items (id, normal text) of ``least`` characters or more in id order, in blocks of bounded size."""
     held, size = [], 0
     rows = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).orderBy("i", "t")
     for i, t in rows.toLocalIterator():
         t = normal(t)
-        if len(t) < MIN_CHARS:
+        if len(t) < max(1, least):
             continue
         if held and size + len(t) > BLOCK_CHARS:
             yield held
@@ -235,19 +258,19 @@ def cached_index(key: str, sent) -> Index:
 
 def _sent(df: DataFrame, block: list[tuple], rate: float):
     """A function that gives the block's index inside a task."""
-    repeat = repetitions([t for _, t in block], rate)
+    repeat = repetitions([t for _, t in block if len(t) >= MIN_CHARS], rate)
     key, sent = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast((block, repeat, rate))
     return lambda: cached_index(key, sent)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         item_text: str = "text", rate: float = RATE) -> DataFrame:
+         item_text: str = "text", rate: float = RATE, least: int = MIN_CHARS) -> DataFrame:
     """One row per document and item found in it: id, item id, edit_distance, item_chars."""
     kinds = f"{id_col} {dict(docs.dtypes)[id_col]}, {item_col} {dict(items.dtypes)[item_col]}, edit_distance bigint, item_chars bigint"
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = items.select(F.col(f"`{item_col}`")).limit(0).toArrow().schema.field(0).type
     out = docs.sparkSession.createDataFrame([], kinds)
-    for block in blocks(items, item_col, item_text):
+    for block in blocks(items, item_col, item_text, least):
         index = _sent(docs, block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -276,8 +299,8 @@ def contaminated(text: Column, index) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-          rate: float = RATE) -> DataFrame:
+          rate: float = RATE, least: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns (a filter per block, no shuffle)."""
-    for block in blocks(items, item_col, item_text):
+    for block in blocks(items, item_col, item_text, least):
         docs = docs.where(~contaminated(F.col(f"`{text_col}`").cast("string"), _sent(docs, block, rate)))
     return docs

@@ -105,9 +105,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_benchmark_decontamination")
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items found in whole ``documents`` texts within a tenth of their length in edits."""
+    """Benchmark items found in whole ``documents`` texts within a tenth of their length in edits (short items verbatim)."""
     from corpusflow.llm.decontaminate import find
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1)
 
 
 # Words that split the one toxicity label of the tables into categories, as weak labels for the chain.

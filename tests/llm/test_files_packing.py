@@ -202,6 +202,28 @@ def test_decontamination_frames(spark):
     assert decontaminate.find(docs, marks.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), marks).count() == 0
 
 
+def test_short_items_match_verbatim(spark):
+    bench = [(1, "What is  2 + 2?"), (2, "cat"), (3, "日本の首都"), (4, "naïve"), (5, ""), (6, None), (7, "x" * 24), (8, "x" * 25)]
+    rows = [(1, "so what is 2\n+ 2? four"), (2, "concatenate cats"), (3, "a CAT, a cat"), (4, "今の日本の首都は"), (5, "naïvety"), (6, "(naïve)"),
+            (7, "x" * 24), (8, "x" * 25), (9, "what is 2 + 3?"), (10, None), (11, "cat " * 50_000)]
+    marks = spark.createDataFrame(bench, "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.edit_distance, r.item_chars) for r in decontaminate.find(docs, marks, least=1).collect())
+    assert got == [(1, 1, 0, 14), (3, 2, 0, 3), (4, 3, 0, 5), (6, 4, 0, 5), (7, 7, 0, 24), (7, 8, 1, 25), (8, 8, 0, 25), (11, 2, 0, 3)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, marks.where("item_id < 8"), least=1).collect()) == [2, 5, 8, 9, 10]
+
+
+def test_the_query_and_the_pipeline_match_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from corpusflow.llm.queries import QUERIES
+    docs = spark.createDataFrame([(1, "a red fox, here"), (2, "red foxes")], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Red fox")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in QUERIES["op3_benchmark_decontamination"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 7, 0, 7)]
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     bench = items(6)
     marks = spark.createDataFrame(bench, "item_id bigint, text string")
