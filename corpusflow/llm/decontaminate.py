@@ -16,7 +16,8 @@ shuffle:
 3. *LSH.*  Each repetition draws its own walk and ``SAMPLES`` coordinates; a
    window whose sampled characters equal the item's is a candidate.  The number
    of repetitions is doubled until items with K random edits are found with
-   ``RECALL`` (:func:`repetitions`).
+   ``RECALL`` (:func:`repetitions`).  A block that does not reach it with
+   ``MOST_REPETITIONS`` goes without steps 2 and 3: all its windows are verified.
 4. *Verification.*  The exact least edit distance of the item to any stretch
    around the window, by bit-parallel dynamic programming.
 
@@ -49,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE, SEEDS, MIN_CHARS = 0.1, 3, 25
-SAMPLES, RECALL, START_REPETITIONS = 2, 0.99, 16
+SAMPLES, RECALL, START_REPETITIONS, MOST_REPETITIONS = 2, 0.99, 16, 1024
 BLOCK_CHARS = 4_000_000
 
 
@@ -112,20 +113,24 @@ def edited(text: str, edits: int, rng: np.random.Generator) -> str:
 
 
 def repetitions(items: list[str], rate: float = RATE, target: float = RECALL, seed: int = 5) -> int:
-    """Least power-of-two number of repetitions that finds edited items with the target recall (on at most 100 items)."""
+    """Least power-of-two number of repetitions that finds edited items with the target recall (on at most 100 items).
+
+    0 if ``MOST_REPETITIONS`` do not reach it.
+    """
     rng = np.random.default_rng(seed)
     some = [items[i] for i in rng.permutation(len(items))[:100]]
     pairs = [(codes(t), codes(edited(t, int(rate * len(t)), rng))) for t in some for _ in range(3)]
     n = START_REPETITIONS
-    while True:
+    while n <= MOST_REPETITIONS:
         walk = Walk(n, max(map(len, some), default=1))
         found = 0
         for a, b in pairs:
             e = walk([a, b], len(a))
             found += bool((e[0] == e[1]).all(axis=0).any())
-        if found >= target * len(pairs) or n >= 1024:
+        if found >= target * len(pairs):
             return n
         n *= 2
+    return 0
 
 
 def distance(item: str, text: str) -> int:
@@ -152,14 +157,14 @@ def distance(item: str, text: str) -> int:
 
 
 class Index:
-    """The items of one block: pieces, embeddings and texts."""
+    """The items of one block: pieces, embeddings (none if ``repeat`` is 0) and texts."""
 
     def __init__(self, items: list[tuple], repeat: int, rate: float = RATE):
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.short = [len(t) < MIN_CHARS for t in self.texts]
         self.edits = [0 if short else int(rate * len(t)) for t, short in zip(self.texts, self.short)]
-        self.walk = Walk(repeat, max(map(len, self.texts), default=1))
-        self.sampled = [None if short else self.walk([codes(t)], len(t))[0] for t, short in zip(self.texts, self.short)]
+        self.walk = Walk(repeat, max(map(len, self.texts), default=1)) if repeat else None
+        self.sampled = [None if short or not repeat else self.walk([codes(t)], len(t))[0] for t, short in zip(self.texts, self.short)]
         self.seeds = []
         places: dict[str, list] = defaultdict(list)
         for n, (t, k) in enumerate(zip(self.texts, self.edits)):
@@ -217,10 +222,11 @@ class Index:
             if self.short[n]:
                 best[n] = 0
                 continue
-            inside = [text[max(0, s):max(0, s) + length] for s in starts]
-            got = self.walk([codes(w) for w in inside], length)
-            if not (got == self.sampled[n]).all(axis=1).any():
-                continue
+            if self.walk:
+                inside = [text[max(0, s):max(0, s) + length] for s in starts]
+                got = self.walk([codes(w) for w in inside], length)
+                if not (got == self.sampled[n]).all(axis=1).any():
+                    continue
             d = distance(item, text[max(0, first - k):last + length + 2 * k])
             if d <= k:
                 best[n] = min(d, best.get(n, d))

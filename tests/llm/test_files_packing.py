@@ -189,6 +189,16 @@ def test_recall_of_edits_on_any_character():
     assert found / total >= 0.97
 
 
+def test_every_window_is_verified_when_the_recall_is_not_reached(spark, monkeypatch):
+    bench, rng = [(i, decontaminate.normal(t)) for i, t in items()], np.random.default_rng(8)
+    assert decontaminate.repetitions([t for _, t in bench], target=1.01) == 0
+    near = [(i, f"so {decontaminate.edited(t, int(0.1 * len(t)), rng)} then") for i, t in bench for _ in range(5)]
+    want = sorted((i, j, d) for i, text in near for j, t in bench if (d := decontaminate.distance(t, decontaminate.normal(text))) <= int(0.1 * len(t)))
+    monkeypatch.setattr(decontaminate.repetitions, "__defaults__", (0.1, 1.01, 5))
+    found = decontaminate.find(spark.createDataFrame(near, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id, r.edit_distance) for r in found.collect()) == want and len(want) > 150
+
+
 def test_decontamination_frames(spark):
     bench = items(6)
     rows = edge_rows() + [(50, "intro words " + bench[2][1].upper().replace(" ", "\n ") + " more"), (50, bench[2][1]), (51, bench[2][1][:60]),
