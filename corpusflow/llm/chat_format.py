@@ -69,6 +69,7 @@ LAYOUTS: dict[str, Layout] = {
     "prompt_response": Layout(fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     "system_question": Layout(fields=(("system", ("system_prompt",)), ("user", ("question",)),
                                       ("assistant", ("response",)))),
+    "question_response": Layout(fields=(("user", ("question",)), ("assistant", ("response",)))),
     "query_answer": Layout(fields=(("user", ("query",)), ("assistant", ("answer",)))),
     "query_response": Layout(fields=(("user", ("query",)), ("assistant", ("response",)))),
 }
@@ -155,17 +156,28 @@ def _prefixed(prefix: str, keys: Column) -> Column:
 
 
 def json_layout(json_col: str) -> tuple[Column, Column]:
-    """(variant, layout name) of a JSON text, by the fingerprint of that row's own field paths."""
+    """(variant, layout name) of a JSON text, by the fingerprint of that row's own field paths.
+
+    The paths of an array are those of all its elements.  As in :func:`layout_of`, if other fields clash
+    the largest layout whose paths are all present is taken; none, or two of one size, gives NULL.
+    """
     v = F.try_parse_json(F.col(f"`{json_col}`"))
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    parts = [F.coalesce(keys, F.array().cast("array<string>"))]
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce(keys, none)]
     for a in sorted({m.array for m in LAYOUTS.values() if m.array}):
-        inner = F.map_keys(F.try_variant_get(v, f"$.{a}[0]", "map<string,variant>"))
-        parts.append(F.coalesce(_prefixed(f"{a}[].", inner), F.array().cast("array<string>")))
+        inner = F.transform(F.try_variant_get(v, f"$.{a}", "array<variant>"),
+                            lambda x: F.coalesce(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), none))
+        parts.append(F.coalesce(_prefixed(f"{a}[].", F.flatten(inner)), none))
     paths = F.array_sort(F.array_intersect(F.concat(*parts), F.array(*[F.lit(p) for p in KNOWN])))
     mark = F.sha2(F.array_join(paths, "\n"), 256)
     names = F.create_map(*[x for d, n in BY_DIGEST.items() if not LAYOUTS[n].rows for x in (F.lit(d), F.lit(n))])
-    return v, F.try_element_at(names, mark)
+    fits, sizes = F.lit(None).cast("string"), sorted({len(m.paths()) for m in LAYOUTS.values() if not m.rows})
+    for size in sizes:
+        of_size = F.filter(F.array(*[F.when(F.size(F.array_except(F.array(*[F.lit(p) for p in m.paths()]), paths)) == 0, F.lit(n))
+                                     for n, m in LAYOUTS.items() if not m.rows and len(m.paths()) == size]), lambda n: n.isNotNull())
+        fits = F.when(F.size(of_size) == 1, of_size[0]).when(F.size(of_size) == 0, fits)
+    return v, F.coalesce(F.try_element_at(names, mark), fits)
 
 
 def json_turns(df: DataFrame, json_col: str, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:

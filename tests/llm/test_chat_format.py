@@ -48,6 +48,27 @@ def test_json_rows_in_mixed_layouts(spark):
         (4, 0, "user", "i"), (4, 1, "assistant", "o")]
 
 
+def test_json_rows_by_all_their_messages(spark):
+    rows = [(1, {"messages": [{"role": "system"}, {"role": "user", "content": "a"}]}),
+            (2, {"messages": [None, {"content": "b"}, {"role": "assistant", "content": "c"}]}),
+            (3, {"question": "q", "response": "r"}), (4, {"conv_id": 4, "role": "x", "messages": [{"role": "user", "content": "d"}]}),
+            (5, {"prompt": "p", "completion": "c", "query": "q", "answer": "a"}), (6, {"messages": [{"role": "user"}, "text"]}),
+            (7, {"system_prompt": "s", "question": "q", "response": "r", "query": "z"}),
+            (8, {"messages": [{"role": "user", "content": "e"}, "text", {"role": "assistant", "content": ["f"]}]})]
+    turns, layouts = C.json_turns(spark.createDataFrame([(i, json.dumps(x)) for i, x in rows], "conv_id bigint, raw string"), "raw")
+    assert {r.conv_id: r.layout for r in layouts.collect()} == {
+        1: "messages", 2: "messages", 3: "question_response", 4: "messages", 5: None, 6: None, 7: "system_question", 8: "messages"}
+    assert [tuple(r) for r in turns.orderBy("conv_id", "turn").collect()] == [
+        (1, 0, "system", ""), (1, 1, "user", "a"), (2, 0, "", ""), (2, 1, "", "b"), (2, 2, "assistant", "c"), (3, 0, "user", "q"),
+        (3, 1, "assistant", "r"), (4, 0, "user", "d"), (7, 0, "system", "s"), (7, 1, "user", "q"), (7, 2, "assistant", "r"),
+        (8, 0, "user", "e"), (8, 1, "", ""), (8, 2, "assistant", '["f"]')]
+
+
+def test_frames_without_a_system_prompt(spark):
+    assert turns_of(spark.createDataFrame([(1, "q", "r")], "conv_id bigint, question string, response string")) == [
+        (1, 0, "user", "q"), (1, 1, "assistant", "r")]
+
+
 def check(spark, rows):
     out = C.read_back(C.format_turns(spark.createDataFrame(rows, TURNS))).collect()
     by = {}
