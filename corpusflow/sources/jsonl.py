@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.sources.tables import read_csv
+
 
 def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = False,
                glob: str | None = "*.jsonl") -> DataFrame:
@@ -57,10 +59,7 @@ def write_jsonl(df: DataFrame, path: str, batch_id: int | None = None, partition
 def read_csv_records(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """CSV with header (quoted commas/braces) turned into JSON-record strings.
 
-    ``multi_line`` allows line breaks inside quoted fields; such a file cannot be split among tasks.
+    ``multi_line`` allows line breaks inside quoted fields (:func:`corpusflow.sources.tables.read_csv`).
     """
-    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.csv(path)
+    df = read_csv(spark, path, schema, multi_line)
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("record"))

@@ -16,13 +16,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Complete quoted fields of a CSV line, and a quoted field that is still open at its end.
+_QUOTED, _OPEN = r'(^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)', r'(^|,)"'
+
+
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
+    """CSV with header, quotes doubled inside quoted fields.
+
+    ``multi_line`` allows line breaks inside quoted fields; such a file cannot be split among tasks.
+    Without it a line that ends inside a quoted field fails the job (the lines are scanned once more
+    for this), so no record is broken in silence.
+    """
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    if schema is not None:
+        r = r.schema(schema)
+    df = r.csv(path)
+    if multi_line:
+        return df
+    broken = F.regexp_replace("value", _QUOTED, "$1").rlike(_OPEN)
+    error = F.raise_error(F.concat(F.lit("a quoted CSV field holds a line break, read it with multi_line=True: "),
+                                   F.substring("value", 1, 200))).cast("boolean")
+    lines = spark.read.text(path).where(F.when(broken, error).otherwise(F.lit(False)))
+    return df.union(lines.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+
+
 def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """Read a dataset by format: explicit ``fmt``, else by suffix.
 
     ``.json``/``.jsonl`` -> JSON lines (schema strongly advised), ``.csv`` ->
     CSV with header, anything else -> Parquet (a directory of a saved split).
-    ``multi_line`` allows line breaks inside quoted CSV fields; such a file
-    cannot be split among tasks.
+    ``multi_line`` allows line breaks inside quoted CSV fields (:func:`read_csv`).
     """
     fmt = fmt or ("json" if path.endswith((".json", ".jsonl")) else
                   "csv" if path.endswith(".csv") else "parquet")
@@ -32,7 +55,7 @@ def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None
     if fmt == "json":
         return r.json(path)
     if fmt == "csv":
-        return r.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+        return read_csv(spark, path, schema, multi_line)
     return r.format(fmt).load(path)
 
 

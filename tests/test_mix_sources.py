@@ -203,3 +203,35 @@ def test_scratch_needs_a_shared_folder_off_local(monkeypatch):
                            sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(fake)
+
+
+def test_csv_with_line_breaks_is_not_broken_in_silence(spark, tmp_path):
+    import csv
+    from pyspark.errors import PySparkException
+    from corpusflow.sources.jsonl import read_csv_records
+    from corpusflow.sources.tables import read_any
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").limit(50).collect()]
+    flat = [t.replace("\r", " ").replace("\n", " ") for t in texts] + ['say "hi", "", ok', '",', '"', "a,b", ",\"\",", "x" * 100_000 + '"' * 1000]
+    bad = ["one\ntwo", 'a "b",\n"c"', '",\n', "a\n\nb"]
+
+    def save(name, rows):
+        path = tmp_path / name
+        path.mkdir()
+        for k in range(2):  # several files
+            with open(path / f"part-{k}.csv", "w", newline="", encoding="utf-8") as f:
+                w = csv.writer(f, lineterminator="\n")
+                w.writerows([("v", "w"), *[(t, i) for i, t in enumerate(rows) if i % 2 == k]])
+        return str(path)
+    good = save("good.csv", flat)
+    assert sorted(r.v for r in read_any(spark, good).collect()) == sorted(flat)
+    assert read_csv_records(spark, good).count() == read_any(spark, good).count() == len(flat)
+    for n, t in enumerate(bad):
+        path = save(f"bad{n}.csv", [*flat, t])
+        for act in (lambda: read_any(spark, path).collect(), lambda: read_csv_records(spark, path).count()):
+            try:
+                act()
+            except PySparkException as e:
+                assert "multi_line" in str(e)
+            else:
+                raise AssertionError(t)
+        assert sorted(r.v for r in read_any(spark, path, multi_line=True).collect()) == sorted([*flat, t])
