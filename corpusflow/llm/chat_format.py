@@ -63,6 +63,7 @@ LAYOUTS: dict[str, Layout] = {
     "turn_rows": Layout(rows=("conv_id", "turn", "role", "text")),
     "messages": Layout(array="messages", role="role", text="content"),
     "conversations": Layout(array="conversations", role="from", text="value", roles=SHARED_ROLES),
+    "preference": Layout(array="chosen", role="role", text="content"),
     "instruction": Layout(fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     "instruction_only": Layout(fields=(("user", ("instruction",)), ("assistant", ("output",)))),
     "prompt_completion": Layout(fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -238,8 +239,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     Turns are parsed from the formatted text alone; masked texts are cut out of
     it by the spans.
     """
-    segs = F.expr(f"slice(split(formatted, '{START.replace('|', chr(92) * 2 + '|')}', -1), 2, 2147483647)")
-    df = formatted.withColumn("_segs", segs)
+    parts = F.split("formatted", START.replace("|", r"\|"), -1)
+    # Before the first mark there is nothing.  The length is exact: interpreted, ``slice`` adds it to the start.
+    df = formatted.withColumn("_segs", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
 
     def turn(s: Column) -> Column:
         cut = F.instr(s, "\n")

@@ -57,11 +57,11 @@ from rendered group by conv_id
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -1, formatted and read back from the formatted text."""
     from corpusflow.llm import chat_format as C
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = C.canonical_turns(table(spark, sf_dir, "conversations"))
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
-    return C.digests(C.read_back(C.format_turns(C.canonical_turns(rows.unionByName(probe)))))
+    return C.digests(C.read_back(C.format_turns(rows.unionByName(C.canonical_turns(probe)))))
 
 
 @_query("op10_minhash_near_dedup")
