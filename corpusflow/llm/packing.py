@@ -26,7 +26,7 @@ from __future__ import annotations
 import bisect
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +123,12 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("_id", "copy", "piece"), F.lit(shards)).cast("int"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "_id", "start", "copy"], kind="stable")
-        g["bin"], g["offset"], g["bin_length"] = pack(g["length"].tolist(), permitted)
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by([(c, "ascending") for c in ("length", "_id", "start", "copy")])
+        for name, values in zip(("bin", "offset", "bin_length"), pack(g["length"].to_pylist(), permitted)):
+            g = g.append_column(name, pa.array(values, pa.int32()))
         return g
-    out = rows.groupBy("shard").applyInPandas(
+    # Arrow, not pandas: a NULL id would turn a column of large ids to floats.
+    out = rows.groupBy("shard").applyInArrow(
         run, f"_id {kind}, copy int, piece int, start bigint, length int, shard int, bin int, offset int, bin_length int")
     return out.withColumnRenamed("_id", id_col)

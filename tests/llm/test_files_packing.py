@@ -137,6 +137,12 @@ def test_packing_frames(spark):
     assert packing.best_fit(frame(spark, [])).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null(spark):
+    ids = [None, 9007199254740993, 9007199254740995, -9007199254740993]
+    got = packing.best_fit(frame(spark, [(i, "a b c") for i in ids]))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(ids, key=str)
+
+
 def items(n=40, seed=9):
     rng = random.Random(seed)
     return [(i, " ".join("".join(rng.choice("aeioutnrsh") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(18, 60)))) for i in range(n)]
