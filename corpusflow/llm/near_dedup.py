@@ -140,12 +140,17 @@ def _texts(col: pa.ChunkedArray | pa.Array) -> list:
     return col.cast(pa.binary()).to_pylist()
 
 
+def _keys(sets: list[np.ndarray]) -> list:
+    """128-bit digest of each sorted set (NULL for the empty one): the name of the set, whatever rows have it."""
+    return [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+
+
 def _sketches(k: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_texts(b.column(1)), k)
             n = np.array([len(x) for x in sets], np.int64)
-            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            keys = _keys(sets)
             flat = band_keys(sketches(sets, rows * bands)[n > 0], rows).ravel()
             ends = np.concatenate(([0], np.cumsum((n > 0) * bands))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -178,8 +183,8 @@ def _sets(k: int, rows: int, bands: int, wanted):
             sets = shingle_sets(_texts(b.column(1)), k)
             marks = (sketches(sets, rows * bands) & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()),
-                 pa.array([m.tobytes() for m in marks], pa.binary())], ["_id", "elements", "mark"])
+                [pa.array(_keys(sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary()),
+                 pa.array([m.tobytes() for m in marks], pa.binary())], ["rep", "elements", "mark"])
     return run
 
 
@@ -199,9 +204,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The narrow pairs meet the sets of ``b`` first (a group's hub; AQE splits a
     hot one), the wide rows are then dealt out by ``a``.
     """
-    full = sets.select("_id", "elements")
-    both = (pairs.join(full.select(F.col("_id").alias("b"), F.col("elements").alias("eb")), "b")
-                 .join(full.select(F.col("_id").alias("a"), F.col("elements").alias("ea")), "a"))
+    both = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
+                 .join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -214,7 +218,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over the edges (a, b).
+    """(node, root): the least node reachable over the edges (a, b) (any type that has an order).
 
     Every round takes the least label among neighbours and then follows labels
     of labels, so paths shorten by more than half a round.  Each round is
@@ -321,7 +325,7 @@ def _exact_blocks(percent: int, coords: int):
 def block_links(rest: DataFrame, sets: DataFrame, percent: int, coords: int) -> DataFrame:
     """Confirmed links (a, b) between the components of the buckets in ``rest`` (see :func:`mixed`)."""
     own = rest.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most ``bands`` keys
-    full = sets.select(F.col("_id").alias("rep"), "mark", "elements").join(own, "rep")
+    full = sets.select("rep", "mark", "elements").join(own, "rep")
     rows = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root")
@@ -331,6 +335,18 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int, coords: int) ->
                 .mapInArrow(_exact_blocks(percent, coords), f"a {kind}, b {kind}"))
 
 
+def _least_ids(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(rep, component_id): the least id of the rows of all sets in the component of each set (rep, least)."""
+    if roots is None:
+        return sets.withColumnRenamed("least", "component_id")
+    linked = staged(sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left"), "rooted")
+    own = linked.where("root is not null").withColumn("_salt", salt("rep", SALTS))
+    heads = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    cols = ("rep", "component_id")
+    return (salted_lookup(own, heads, "root", "_salt").select(*cols)
+            .union(linked.where("root is null").select("rep", F.col("least").alias("component_id"))))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
            percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (least id of its group), kept."""
@@ -339,19 +355,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     marks = staged(src.mapInArrow(_sketches(k, rows, bands),
                                   f"_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>"), "sketches")
-    reps = staged(marks.where("_id is not null and set_key is not null").groupBy("set_key")
-                       .agg(F.min("_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "sets")
-    buckets = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = staged(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi"))
-                           .where("hub < hi").select("key", "hub"), "shared")
+    # From here on a set is named by its digest (``rep``), never by an id: several texts may share one id.
+    reps = staged(marks.where("_id is not null and set_key is not null").groupBy(F.col("set_key").alias("rep"))
+                       .agg(F.min("_id").alias("least"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "sets")
+    buckets = reps.select("rep", "least", "n", F.explode("bands").alias("key"))
+    shared = staged(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
     members = staged(buckets.join(shared, "key"), "buckets")
 
-    wanted = spark.sparkContext.broadcast(id_filter(members.select("rep").distinct(), "rep"))
+    wanted = spark.sparkContext.broadcast(id_filter(members.select("least").distinct(), "least"))
     at = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)).alias("_at")
     sets = staged(src.where("_id is not null").select("_id", "_text", at)
-                     .mapInArrow(_sets(k, rows, bands, wanted), f"_id {kind}, elements binary, mark binary")
-                     .join(members.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi")
-                     .dropDuplicates(["_id"]), "elements")
+                     .mapInArrow(_sets(k, rows, bands, wanted), "rep binary, elements binary, mark binary")
+                     .join(members.select("rep").distinct(), "rep", "left_semi")
+                     .dropDuplicates(["rep"]), "elements")
 
     roots, tried = None, []
     for turn in range(MOST_ROUNDS):
@@ -373,7 +389,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     links = staged(block_links(rest, sets, percent, rows * bands), "links")
     if links.limit(1).count():
         roots = merged(roots, links)
-    final = _rooted(reps.select("set_key", "rep"), roots).select("set_key", F.col("root").alias("component_id"))
+    final = _least_ids(reps.select("rep", "least"), roots).select(F.col("rep").alias("set_key"), "component_id")
     own = marks.select("_id", "n_shingles", "set_key")
     linked = salted_lookup(own.where("_id is not null and set_key is not null").withColumn("_salt", salt("_id", SALTS)),
                            final, "set_key", "_salt")
