@@ -50,10 +50,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     groups = combine(docs, id_col, text_col, salts)
     by_digest = groups.groupBy("digest").agg(
         F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    by_digest = by_digest.select(
-        "digest", "keep_id",
-        F.when(F.col("_texts") == 1, F.col("group_size"))
-         .otherwise(F.raise_error(F.lit("two different texts share one SHA-256 digest")).cast("bigint")).alias("group_size"))
+    # A filter, not a column: it runs whatever columns the reader selects.
+    error = F.raise_error(F.lit("two different texts share one SHA-256 digest")).cast("boolean")
+    by_digest = by_digest.where(F.when(F.col("_texts") > 1, error).otherwise(F.lit(True))).drop("_texts")
     rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(_text(text_col), 256)).alias("digest"))
     # Equal (id, text) rows are counted and dealt out again, so that only the first is kept.
     rows = (rows.groupBy("_id", "digest").agg(F.count(F.lit(1)).alias("_copies"))

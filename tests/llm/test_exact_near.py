@@ -52,6 +52,8 @@ def test_digests_never_merge_texts(spark, monkeypatch):
     assert got == {f"t{i}": 8 for i in range(5)}
     with pytest.raises(Exception, match="share one SHA-256"):
         exact_dedup.assign(docs, salts=3).collect()
+    with pytest.raises(Exception, match="share one SHA-256"):
+        exact_dedup.assign(docs, salts=3).select("doc_id", "keep_id").collect()
 
 
 def brute(rows, k, percent=80):
@@ -101,6 +103,14 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, block):
     assert len(got) == len(rows) and not bad, bad[:5]
 
 
+def test_near_links_of_rows_that_share_an_id(spark):
+    rng = random.Random(7)
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(9, " ".join(one)), (9, " ".join(two)), (2, edited(rng, one, 1)), (3, edited(rng, two, 1)), (4, edited(rng, two, 1)), (5, "c d e f")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.groups(frame(spark, rows), k=2).collect())
+    assert got == [(2, 2, True), (3, 3, True), (4, 3, False), (5, 5, True), (9, 2, False), (9, 3, False)]
+
+
 def test_near_edges(spark):
     got = defaultdict(list)
     for r in near_dedup.groups(frame(spark, edge_rows())).collect():
