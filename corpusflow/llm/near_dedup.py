@@ -335,7 +335,7 @@ def block_links(rest: DataFrame, sets: DataFrame, percent: int, coords: int) ->
                 .mapInArrow(_exact_blocks(percent, coords), f"a {kind}, b {kind}"))
 
 
-def _least_ids(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+def least_ids(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(rep, component_id): the least id of the rows of all sets in the component of each set (rep, least)."""
     if roots is None:
         return sets.withColumnRenamed("least", "component_id")
@@ -389,7 +389,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     links = staged(block_links(rest, sets, percent, rows * bands), "links")
     if links.limit(1).count():
         roots = merged(roots, links)
-    final = _least_ids(reps.select("rep", "least"), roots).select(F.col("rep").alias("set_key"), "component_id")
+    final = least_ids(reps.select("rep", "least"), roots).select(F.col("rep").alias("set_key"), "component_id")
     own = marks.select("_id", "n_shingles", "set_key")
     linked = salted_lookup(own.where("_id is not null and set_key is not null").withColumn("_salt", salt("_id", SALTS)),
                            final, "set_key", "_salt")

@@ -137,3 +137,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusflow.llm import pii as P
     docs = table(spark, sf_dir, "documents")
     return P.find(docs, P.fit(docs))
+
+
+@_query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of whole ``documents`` texts: 3-word shingles, fingerprints that differ in 2 bits or fewer."""
+    from corpusflow.llm.simhash import groups
+    return groups(table(spark, sf_dir, "documents"))
