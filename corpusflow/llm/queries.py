@@ -144,3 +144,39 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of whole ``documents`` texts: 3-word shingles, fingerprints that differ in 2 bits or fewer."""
     from corpusflow.llm.simhash import groups
     return groups(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of whole ``documents`` texts (one run in 199 loses a letter) with their more frequent spellings."""
+    from corpusflow.llm import spelling as S
+    return S.variants(S.vocabulary(table(spark, sf_dir, "documents"), drop_every=199))
+
+
+@_query("op13_hard_negatives", """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from r a join r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id,
+       row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same
+  and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives among all ``embeddings`` for the anchors whose vec_id is divisible by 100."""
+    from corpusflow.llm import hard_negatives as H
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = H.vectors(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return H.mine(rows, rows.where(F.col("id") % 100 == 0))
