@@ -1,12 +1,15 @@
 """Dataset mixing.
 
-Each part is shuffled by a keyed hash (seed | part | split | row key), cut to a
-count or a fraction by a threshold on that key (exact, and only the rows below
-it are exchanged), aligned by column and field name and unioned.
+Each part is shuffled by a keyed hash (seed | part | split | row key).  One job
+counts the ranges of that key for all parts; the counts give the cut of each
+part to a count or a fraction (exact, and only the rows that stay are
+exchanged).  Parts are aligned by column and field name and unioned.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Callable
 
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 from corpusflow.functions.keys import keyed_hash
 from corpusflow.operators.filters import require_columns, split_kind
 from corpusflow.operators.messages import to_messages
-from corpusflow.operators.positions import exact_positions, first_by_key, sorted_positions
+from corpusflow.operators.positions import first_of_parts, key_histograms, sorted_positions
 
 
 def parse_mixer(mixer) -> dict:
@@ -66,12 +69,6 @@ def _keyed(df: DataFrame, name: str, split: str, seed: int, order_col: str | Non
     return d.withColumn("_k", keyed_hash(seed, name, split, F.col("_rk")))
 
 
-def shuffled_positions(df: DataFrame, name: str, split: str, seed: int, order_col: str | None,
-                       out: str = "pos", total_out: str | None = None) -> DataFrame:
-    """L2: exact 0-based position in the part's keyed shuffle."""
-    return exact_positions(_keyed(df, name, split, seed, order_col), "_k", "_rk", out=out, total_out=total_out).drop("_k", "_rk")
-
-
 def _merged_type(a: T.DataType, b: T.DataType, at: str) -> T.DataType:
     """The type of a column that two parts have: structs by field name, the first's order; widest of two numbers."""
     if a == b or isinstance(b, T.NullType):
@@ -105,8 +102,8 @@ def _shaped(c: F.Column, have: T.DataType, want: T.DataType) -> F.Column:
     return c.cast(want)
 
 
-def align_parts(parts: list[DataFrame], columns: list[str]) -> list[DataFrame]:
-    """Every part with the same columns and types.
+def align_parts(parts: list[DataFrame], columns: list[str], extra: list[list[str]] | None = None) -> list[DataFrame]:
+    """Every part with the same columns and types, and behind them its own ``extra`` columns as they are.
 
     A column's type comes from the parts that have it (the first leads); a part
     without it gets NULL of that type.  Types that do not agree are an error.
@@ -119,9 +116,9 @@ def align_parts(parts: list[DataFrame], columns: list[str]) -> list[DataFrame]:
     types = {c: types.get(c, T.StringType()) for c in columns}
     types = {c: T.StringType() if isinstance(t, T.NullType) else t for c, t in types.items()}
     out = []
-    for d in parts:
+    for d, more in zip(parts, extra or [[]] * len(parts)):
         have = {f.name: f.dataType for f in d.schema.fields}
-        out.append(d.select(*[(_shaped(F.col(c), have[c], t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()]))
+        out.append(d.select(*[(_shaped(F.col(c), have[c], t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()], *more))
     return out
 
 
@@ -152,62 +149,99 @@ def mix(load: Callable[..., DataFrame], mixer, splits=("train", "test"), columns
     the count or fraction given for their part; test parts are kept whole.
     ``order_col`` names a unique column to key the shuffle (else the row content is).
 
-    A part is cut by key threshold before anything is exchanged; positions are
-    computed only where they are used: to cut, or as ids that are kept.
+    One job counts the key ranges of all parts; from the counts follow the cut
+    of every part and the offsets of its positions, so the parts are read once
+    more and only the rows that stay are exchanged, all parts at once.  A part
+    that is kept whole without new ids is not exchanged at all.
     """
     amounts = parse_mixer(mixer)
     is_count = amount_mode(list(amounts.values()))
     if configs and len(configs) != len(amounts):
         raise ValueError(f"{len(configs)} configurations for {len(amounts)} parts")
     keep = [c for c in dict.fromkeys(columns_to_keep or []) if c != "id"]
-    parts: dict[str, list[DataFrame]] = {"train": [], "test": []}
-    raw_train = []
+    parts: list[_Part] = []
     for i, (name, amount) in enumerate(amounts.items()):
         for split in splits:
             kind = split_kind(split)
             df = load(name, split, configs[i]) if configs else load(name, split)
             if need_columns:
                 require_columns(df, need_columns)
-            if kind == "train":
-                raw_train.append((name, amount, df))
-            df = to_messages(df)
-            new_ids = (keep_ids or save_dir) and "id" not in df.columns
-            if not shuffle and not order_col and (new_ids or kind == "train"):
+            raw, df = df, to_messages(df)
+            part = _Part(name, kind, raw, df, amount if kind == "train" else None, bool((keep_ids or save_dir) and "id" not in df.columns))
+            if not shuffle and not order_col and (part.new_ids or kind == "train"):
                 raise ValueError("without shuffle, positions need an order_col")
-            limit = F.lit(amount) if is_count else F.floor(F.col("_tot") * F.lit(float(amount)))
-            if kind == "train" and shuffle:
-                df = first_by_key(_keyed(df, name, split, seed, order_col), "_k", "_rk", limit, out="pos").drop("_k", "_rk")
-            elif kind == "train":
-                df = sorted_positions(df, order_col, out="pos", total_out="_tot").where(F.col("pos") < limit)
-            elif new_ids:
-                df = shuffled_positions(df, name, split, seed, order_col) if shuffle else sorted_positions(df, order_col)
-            if new_ids:
-                df = df.withColumn("id", F.concat(F.lit(f"{name}_"), F.col("pos").cast("string")))
-            df = df.select(*[c for c in ["id", *keep] if c in df.columns])
-            if add_source_col:
-                df = df.withColumn("source", F.lit(name))
-            parts[kind].append(df)
-    if not any(parts.values()):
+            if shuffle and (part.new_ids or kind == "train"):
+                part.df = _keyed(df, name, split, seed, order_col)
+            parts.append(part)
+    if not parts:
         raise ValueError(f"the splits {list(splits)} gave no part to mix")
-    if is_count and check_counts and raw_train:
-        _check_counts(raw_train)
-    every = parts["train"] + parts["test"]
-    columns = (["id"] if any("id" in d.columns for d in every) else []) + keep + (["source"] if add_source_col else [])
-    aligned = align_parts(every, columns)
-    n = len(parts["train"])
-    out = {k: reduce(lambda a, b: a.unionByName(b), v) for k, v in (("train", aligned[:n]), ("test", aligned[n:])) if v}
+    ranked = [p for p in parts if shuffle and (p.new_ids or p.kind == "train")]
+    buckets, counts = key_histograms([p.df for p in ranked], "_k") if ranked else (0, [])
+    for p, c in zip(ranked, counts):
+        p.counts, p.limit = c, p.rows_wanted(sum(n for _, n in c), is_count, check_counts)
+    if is_count and check_counts and not shuffle:
+        _check_counts([(p.name, p.amount, p.raw) for p in parts if p.kind == "train"])
+    for p in parts:
+        if not shuffle and (p.new_ids or p.kind == "train"):
+            p.df = sorted_positions(p.df, order_col, out="pos", total_out="_tot")
+            if p.kind == "train":
+                p.df = p.df.where(F.col("pos") < (F.lit(p.amount) if is_count else F.floor(F.col("_tot") * F.lit(float(p.amount)))))
+            if p.new_ids:
+                p.df = p.df.withColumn("id", F.concat(F.lit(f"{p.name}_"), F.col("pos").cast("string")))
+    # Parts that are cut or numbered, to be ranked together; the others are read as they are.
+    cut = [p for p in ranked if p.new_ids or p.limit < sum(n for _, n in p.counts)]
+    for p in parts:
+        new = [F.lit(None).cast("string").alias("id")] if p in cut and p.new_ids else ["id"] if "id" in p.df.columns else []
+        kept = p.df.select(*new, *[c for c in keep if c in p.df.columns], *(["_k", "_rk"] if p in cut else []))
+        p.df = kept.withColumn("source", F.lit(p.name)) if add_source_col else kept
+    columns = (["id"] if any("id" in p.df.columns for p in parts) else []) + keep + (["source"] if add_source_col else [])
+    keys = [["_k", "_rk"] if p in cut else [] for p in parts]
+    for p, d in zip(parts, align_parts([p.df for p in parts], columns, keys)):
+        p.df = d
+    out = {}
+    for kind in ("train", "test"):
+        own = [p for p in parts if p.kind == kind]
+        done = [p.df for p in own if p not in cut]
+        if both := [p for p in own if p in cut]:
+            rows = reduce(lambda a, b: a.unionByName(b), [p.df.withColumn("_p", F.lit(i)) for i, p in enumerate(both)])
+            rows = first_of_parts(rows, buckets, [p.counts for p in both], [p.limit for p in both], "_k", "_rk")
+            if any(p.new_ids for p in both):
+                names = F.element_at(F.array(*[F.lit(p.name if p.new_ids else None) for p in both]), F.col("_p") + 1)
+                rows = rows.withColumn("id", F.coalesce(F.concat(names, F.lit("_"), F.col("pos").cast("string")), F.col("id").cast("string")))
+            done = [rows.select(*columns), *done]
+        if done:
+            out[kind] = reduce(lambda a, b: a.unionByName(b), done)
     if save_dir:
         for split, d in out.items():
             d.write.mode("overwrite").json(f"{save_dir.rstrip('/')}/mixed_ds_{split}")
     return out if keep_ids else {k: v.drop("id") for k, v in out.items()}
 
 
-def _check_counts(train) -> None:
-    """A requested count above the part size is an error.
+@dataclass(eq=False)
+class _Part:
+    """One part of a mix: the amount is None for parts that are kept whole (test)."""
 
-    One small job counts the raw parts (a column-free scan, answered from
-    file metadata where the format allows), not the shuffled selections.
-    """
+    name: str
+    kind: str
+    raw: DataFrame
+    df: DataFrame
+    amount: int | float | None
+    new_ids: bool
+    counts: list = field(default_factory=list)
+    limit: int = 0
+
+    def rows_wanted(self, total: int, is_count: bool, check: bool) -> int:
+        if self.amount is None:
+            return total
+        if not is_count:
+            return math.floor(total * float(self.amount))
+        if check and total < self.amount:
+            raise ValueError(f"requested {self.amount} rows from {self.name}, only {total} available")
+        return int(self.amount)
+
+
+def _check_counts(train) -> None:
+    """A requested count above the part size is an error (parts that are not shuffled; the others are counted with their keys)."""
     parts = [d.select(F.lit(i).alias("_i")) for i, (_, _, d) in enumerate(train)]
     got = {r["_i"]: r["n"] for r in reduce(lambda a, b: a.unionByName(b), parts)
            .groupBy("_i").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -85,6 +85,48 @@ def first_by_key(df: DataFrame, order_key: str, tiebreak: str, limit: Column, ou
     return res.withColumn("_tot", total.scalar()).where(F.col(out) < limit).drop("_tot")
 
 
+# Rows of one key histogram over all parts (they come to the driver and are broadcast): about 6 MB at most.
+HISTOGRAM_ROWS = 1 << 18
+
+
+def key_histograms(parts: list[DataFrame], order_key: str, key_bits: int = 4 * KEY_HEX_DIGITS) -> tuple[int, list[list[tuple[int, int]]]]:
+    """(buckets, per part the (bucket, rows) pairs in order): one job over the keys of all parts.
+
+    The more parts, the fewer buckets each has, so that the table stays within ``HISTOGRAM_ROWS``.
+    """
+    from functools import reduce
+    buckets = max(1, min(BUCKETS, 1 << int(math.log2(max(1, HISTOGRAM_ROWS // len(parts))))))
+    keys = [d.select(F.lit(i).alias("_p"), _bucket(order_key, key_bits, buckets).alias("_bkt")) for i, d in enumerate(parts)]
+    got = reduce(lambda a, b: a.union(b), keys).groupBy("_p", "_bkt").agg(F.count(F.lit(1)).alias("_n")).toArrow().to_pydict()
+    out: list[list[tuple[int, int]]] = [[] for _ in parts]
+    for i, b, n in sorted(zip(got["_p"], got["_bkt"], got["_n"])):
+        out[i].append((b, n))
+    return buckets, out
+
+
+def first_of_parts(rows: DataFrame, buckets: int, histograms: list[list[tuple[int, int]]], limits: list[int], order_key: str,
+                   tiebreak: str, out: str = "pos", key_bits: int = 4 * KEY_HEX_DIGITS) -> DataFrame:
+    """The first ``limits[i]`` rows of every part i (column ``_p``) in (order_key, tiebreak) order, with their position ``out``.
+
+    The histograms (:func:`key_histograms`) say in which bucket the last row of
+    a part lies and where each bucket starts.  They are broadcast (a fixed
+    bound); rows of later buckets drop out of that join, in front of the one
+    exchange, which brings the rows of a bucket together to be ranked.
+    """
+    starts = []
+    for i, (pairs, limit) in enumerate(zip(histograms, limits)):
+        at = 0
+        for b, n in pairs:
+            if at >= limit:
+                break
+            starts.append((i, b, at, limit))
+            at += n
+    offs = rows.sparkSession.createDataFrame(starts, "_p int, _bkt bigint, _off bigint, _lim bigint")
+    d = rows.withColumn("_bkt", _bucket(order_key, key_bits, buckets)).join(F.broadcast(offs), ["_p", "_bkt"])
+    local = F.row_number().over(Window.partitionBy("_p", "_bkt").orderBy(F.col(order_key), F.col(tiebreak)))
+    return d.withColumn(out, F.col("_off") + local - 1).where(F.col(out) < F.col("_lim")).drop("_bkt", "_off", "_lim")
+
+
 def running_sum(df: DataFrame, order_col: str, value_col: str, out: str,
                 chunk: int = 4096, inclusive: bool = True, levels: int = 2) -> DataFrame:
     """Running total of ``value_col`` in ``order_col`` order (dense BIGINT order).

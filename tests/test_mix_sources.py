@@ -235,3 +235,25 @@ def test_csv_with_line_breaks_is_not_broken_in_silence(spark, tmp_path):
             else:
                 raise AssertionError(t)
         assert sorted(r.v for r in read_any(spark, path, multi_line=True).collect()) == sorted([*flat, t])
+
+
+def test_mixing_reads_a_part_twice_and_counts_all_parts_at_once(spark, tmp_path, monkeypatch):
+    """One job for the key histograms of all parts; the plan reads a part once and has one exchange."""
+    from corpusflow.operators import positions
+    for n in ("A", "B", "C"):
+        spark.range(0, 400, 1, 4).select(F.col("id").alias("k"), F.concat(F.lit(n), "id").alias("text")).write.parquet(str(tmp_path / n))
+    jobs = []
+    real = MX.key_histograms
+    monkeypatch.setattr(MX, "key_histograms", lambda parts, *a, **b: jobs.append(len(parts)) or real(parts, *a, **b))
+    load = lambda name, split: spark.read.parquet(str(tmp_path / name))
+    out = MX.mix(load, {"A": 40, "B": 400, "C": 7}, splits=("train",), columns_to_keep=["k", "text"], keep_ids=True, order_col="k")["train"]
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert jobs == [3] and out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    assert out.count() == 447
+    whole = MX.mix(load, {"A": 1.0, "B": 1.0}, splits=("train",), columns_to_keep=["text"], order_col="k")["train"]
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString() and whole.count() == 800
+    # many parts share the bound of the histogram table
+    monkeypatch.setattr(positions, "HISTOGRAM_ROWS", 16)
+    small = MX.mix(load, {"A": 40, "B": 400, "C": 7}, splits=("train",), columns_to_keep=["k", "text"], keep_ids=True, order_col="k")["train"]
+    assert sorted(tuple(r) for r in small.collect()) == sorted(tuple(r) for r in out.collect())
