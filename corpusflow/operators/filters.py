@@ -60,3 +60,20 @@ def split_kind(split: str) -> str:
     if "test" in split:
         return "test"
     raise ValueError(f"cannot tell from its name whether split {split!r} is for training or testing")
+
+
+class StageCounts:
+    """A1: row counts of the stages of a plan, observed in the job that runs it (no pass of their own)."""
+
+    def __init__(self):
+        self._seen: dict = {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, whose rows are counted under ``name`` when an action runs it."""
+        from pyspark.sql import Observation
+        self._seen[name] = Observation(name)
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
+
+    def get(self) -> dict[str, int]:
+        """The counts; waits for the first action on the plan to end.  Empty if no stage was named."""
+        return {name: o.get["n"] for name, o in self._seen.items()}

@@ -12,7 +12,7 @@ from corpusflow.plans.registry import REGISTRY, query, table
 from corpusflow.session import new_scratch_dir
 from corpusflow.streaming.dedup import stream_dedup as _stream_dedup
 from corpusflow.streaming.landing import land_in_order
-from corpusflow.streaming.resume import stream_resume as _stream_resume
+from corpusflow.streaming.resume import resumed_rows, stream_resume as _stream_resume
 from corpusflow.streaming.step_mean import stream_step_mean as _stream_step_mean
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string"
@@ -37,8 +37,7 @@ def stream_resume(spark, sf):
     land_in_order(docs, "doc_id", f"{work}/landing", 4, after=lambda: run("checkpoint-a"))
     run("checkpoint-a")
     run("checkpoint-b")
-    rows = spark.read.parquet(f"{work}/out/rows")
-    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "persona", "country", "language")
+    return resumed_rows(spark, work, "doc_id").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "persona", "country", "language")
 
 
 @query("stream_step_mean", REGISTRY["step_window_mean"][1])
@@ -85,11 +84,33 @@ def stream_late_rows(spark, sf):
 @query("persona_job", _PERSONAS_SQL)
 def persona_job_q(spark, sf):
     """Stage 1 as a batch job (K1/K2): replies staged, rows and rejects written, ledger keys recorded; a re-run adds nothing."""
-    from corpusflow.plans.personas import persona_job
+    from corpusflow.plans.personas import job_rows, persona_job
     work = new_scratch_dir(spark, "persona-job")
     pages = table(spark, sf, "documents").select("doc_id", "text")
-    persona_job(spark, pages, "doc_id", "text", f"{work}/out", f"{work}/ledger", 0)
+    first = persona_job(spark, pages, "doc_id", "text", f"{work}/out", f"{work}/ledger", 0)
     persona_job(spark, pages, "doc_id", "text", f"{work}/out", f"{work}/ledger", 1)   # resumed run: only unparsed keys retried
-    rows = spark.read.parquet(f"{work}/out/rows")
+    rows = job_rows(spark, f"{work}/ledger", first.schema)
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("item.persona").alias("persona"),
                        F.get(F.col("item.countries"), 0).alias("country"), F.get(F.col("item.languages"), 0).alias("language"))
+
+
+@query("stream_dedup_ranges", REGISTRY["lsh_dedup"][1])
+def stream_dedup_ranges(spark, sf):
+    """ST2: first-wins dedup over 4 arrivals with range-partitioned state, of which a micro-batch reads the parts it meets."""
+    from corpusflow.streaming.dedup_ranges import stream_dedup_ranges as _run
+    work = new_scratch_dir(spark, "stream-ranges")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    run = lambda: _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", work, ranges=4, compact_every=3)
+    land_in_order(docs, "doc_id", f"{work}/landing", 4, after=run)
+    return run().select("doc_id", "lang")
+
+
+@query("stream_step_mean_append", REGISTRY["step_window_mean"][1])
+def stream_step_mean_append(spark, sf):
+    """ST3: step-block means in append mode: a watermark hands out each block once and drops its state."""
+    from corpusflow.streaming.step_append import stream_step_mean_append as _run
+    work = new_scratch_dir(spark, "stream-steps-append")
+    ev = table(spark, sf, "events").select("event_id", "value")
+    run = lambda: _run(spark, f"{work}/landing", "event_id bigint, value double", "event_id", "value", 300, work)
+    land_in_order(ev, "event_id", f"{work}/landing", 4, after=run)
+    return run()

@@ -99,6 +99,20 @@ def anti_processed(spark, sf):
     return exclude_processed(table(spark, sf, "documents"), ledger, "doc_id").select("doc_id")
 
 
+@query("anti_processed_filtered", "SELECT doc_id, md5(text) AS text_md5 FROM documents d WHERE NOT EXISTS "
+                                  "(SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) = CAST(d.doc_id AS VARCHAR))")
+def anti_processed_filtered(spark, sf):
+    """A ledger of two batches with their Bloom filters; rows that miss the filter pass without an exchange."""
+    from corpusflow.session import new_scratch_dir
+    from corpusflow.sources.ledger import append_ledger, exclude_processed_filtered, read_filter, read_ledger
+    path = new_scratch_dir(spark, "ledger")
+    done = table(spark, sf, "labels").select("doc_id")
+    for i in range(2):
+        append_ledger(done.where(F.col("doc_id") % 2 == i), path, "persona", i, key_col="doc_id")
+    left = exclude_processed_filtered(table(spark, sf, "documents"), read_ledger(spark, path, "persona"), read_filter(spark, path, "persona"), "doc_id")
+    return left.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # Our own domain vocabulary for seed prompts (T14: assigned by keyed hash).
 SEED_DOMAINS = ["instruction_following", "math"]
 _SEED_DOMAIN_SQL = (f"(['instruction_following', 'math'])[1 + ({sql_keyed_hash(['42', chr(39) + 'domain' + chr(39), 'item_id'])} % 2)]")
@@ -144,11 +158,14 @@ def distinct_matched(spark, sf):
     return named.join(F.broadcast(vocab), "matched", "left_semi").distinct()
 
 
-@query("stage_counts", f"""SELECT count(*) AS n_rows,
+_STAGE_SQL = f"""SELECT count(*) AS n_rows,
   count(*) FILTER (WHERE len({sql_words('text')}) > 100) AS n_long,
   count(*) FILTER (WHERE len({sql_words('text')}) > 100 AND l.doc_id IS NULL) AS n_todo,
   count(*) FILTER (WHERE len({sql_words('text')}) < 3) AS n_short
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"""
+
+
+@query("stage_counts", _STAGE_SQL)
 def stage_counts(spark, sf):
     """A1: row counts after each filter stage, in one pass."""
     d = table(spark, sf, "documents").select("doc_id", more_words_than("text", 100).alias("long"), (~more_words_than("text", 2)).alias("short"))
@@ -157,3 +174,17 @@ def stage_counts(spark, sf):
     return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("long").alias("n_long"),
                  F.count_if(F.col("long") & F.col("l_id").isNull()).alias("n_todo"),
                  F.count_if("short").alias("n_short"))
+
+
+@query("stage_counts_observed", f"SELECT n_rows, n_long, n_todo FROM ({_STAGE_SQL})")
+def stage_counts_observed(spark, sf):
+    """A1: the counts of the filter stages, observed while the job that filters writes its rows (one scan, no pass for counting)."""
+    from corpusflow.session import new_scratch_dir
+    counts = filters.StageCounts()
+    d = counts.stage(table(spark, sf, "documents"), "pages")
+    d = counts.stage(filters.min_words(d, "text", 100), "long")
+    ledger = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    todo = counts.stage(exclude_processed(d, ledger, "doc_id"), "todo")
+    todo.select("doc_id", "text").write.parquet(new_scratch_dir(spark, "todo"))
+    got = counts.get()
+    return spark.createDataFrame([(got["pages"], got["long"], got["todo"])], "n_rows bigint, n_long bigint, n_todo bigint")

@@ -26,11 +26,15 @@ ONE_ROLE_MODELS = ["model-b"]
 
 def persona_prompts(pages: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None,
                     min_words: int = 100, head_words: int = 200, system: str = prompts.PERSONA_SYSTEM,
-                    carry: tuple = ()) -> DataFrame:
-    """Stage 1 up to the model call: (id, columns to carry such as ``url``, prompt messages)."""
-    d = filters.min_words(pages, text_col, min_words)
+                    carry: tuple = (), counts: filters.StageCounts | None = None) -> DataFrame:
+    """Stage 1 up to the model call: (id, columns to carry such as ``url``, prompt messages).
+
+    ``counts`` observes the rows of each stage (A1) in the job that runs the plan.
+    """
+    seen = counts.stage if counts else lambda df, name: df
+    d = seen(filters.min_words(seen(pages, "pages"), text_col, min_words), "long")
     if ledger is not None:
-        d = exclude_processed(d, ledger, id_col)
+        d = seen(exclude_processed(d, ledger, id_col), "todo")
     return d.select(F.col(id_col), *carry, prompts.two_role(F.lit(system), first_n_words(text_col, head_words)).alias("prompt"))
 
 
@@ -121,24 +125,72 @@ def expand_prompts(personas: DataFrame, key_col: str, persona_col: str, model_co
     return personas.select(F.col(key_col), msgs.alias("prompt"))
 
 
+JOB_TABLES = {"rows": "rows", "rejects": "rejects"}
+
+
+def write_batch(spark: SparkSession, log, run: str, batch_id: int, prompted, id_col: str, out_dir: str, ledger_path: str,
+                client_factory=None, shape=None, info=None) -> dict:
+    """One batch of a persona job: replies, rows, rejects and ledger keys, visible by one commit.
+
+    ``prompted()`` gives the prompts; it is called only if the batch's replies
+    are not stored yet.  They are kept over a failure (a replay uses them and
+    does not ask the model again), every other table of a failed attempt is
+    written anew.  ``shape`` maps (rows, rejects) to the tables as stored and
+    ``info(...)`` adds facts to the commit.  Returns the committed entry.
+    """
+    from corpusflow.operators.expand import explode_items
+    from corpusflow.sources.ledger import keys_folder, path_exists, write_filter
+    done = log.entry(run, batch_id)
+    if done:
+        return done
+    replies = f"{out_dir.rstrip('/')}/enriched/run={run}/batch_id={batch_id}"
+    if not path_exists(spark, f"{replies}/_SUCCESS"):
+        enrich_personas(prompted(), id_col, client_factory).write.mode("overwrite").parquet(replies)
+    enriched = spark.read.parquet(replies)
+    ok, rejects = split_parsed(enriched, "items")
+    rows, rejects = (shape or (lambda x, y: (x, y)))(explode_items(ok, "items", id_col), rejects.drop("items"))
+    keys = ok.select(F.col(id_col).cast("string").alias("key")).distinct()
+    at = log.begin(run, batch_id, {k: f"{out_dir.rstrip('/')}/{v}" for k, v in JOB_TABLES.items()} | {"keys": keys_folder(ledger_path, log.op)})
+    rows.write.parquet(at["rows"])
+    rejects.write.parquet(at["rejects"])
+    write_filter(keys, ledger_path, log.op, batch_id, run=run)
+    keys.write.parquet(at["keys"])
+    log.commit(run, batch_id, at, info() if info else None)
+    return log.entry(run, batch_id)
+
+
 def persona_job(spark: SparkSession, pages: DataFrame, id_col: str, text_col: str, out_dir: str,
                 ledger_path: str, batch_id: int, client_factory=None, run: str = "batch") -> DataFrame:
-    """Stage 1 as one batch job: writes rows, rejects and ledger keys of batch ``batch_id``.
+    """Stage 1 as one batch job: rows, rejects and ledger keys of batch ``batch_id``, committed together; returns the rows.
 
-    The enriched frame is written once (one model call per row), then split.
-    Re-running the same batch id overwrites its own outputs.
+    A batch that is committed is not run again; one that failed goes on from its
+    stored replies.  The stage counts (A1) are observed while the replies are
+    written and kept in the commit (:func:`job_counts`).
     """
-    from corpusflow.operators.expand import explode_items
-    from corpusflow.sources.ledger import append_ledger, read_ledger
-    ledger = read_ledger(spark, ledger_path, "persona", exclude=(run, batch_id))
-    enriched_path = f"{out_dir}/enriched/run={run}/batch_id={batch_id}"
+    from corpusflow.operators.filters import StageCounts
+    from corpusflow.sources.commits import CommitLog
+    from corpusflow.sources.ledger import read_ledger
+    log = CommitLog(spark, ledger_path, "persona")
+    counts = StageCounts()
     carry = ("url",) if "url" in pages.columns else ()
-    enrich_personas(persona_prompts(pages, id_col, text_col, ledger, carry=carry), id_col, client_factory) \
-        .write.mode("overwrite").parquet(enriched_path)
-    enriched = spark.read.parquet(enriched_path)
-    ok, rejects = split_parsed(enriched, "items")
-    rows = explode_items(ok, "items", id_col)
-    rows.write.mode("overwrite").parquet(f"{out_dir}/rows/run={run}/batch_id={batch_id}")
-    rejects.drop("items").write.mode("overwrite").parquet(f"{out_dir}/rejects/run={run}/batch_id={batch_id}")
-    append_ledger(ok.select(F.col(id_col).alias("key")), ledger_path, "persona", batch_id, run=run)
-    return spark.read.parquet(f"{out_dir}/rows/run={run}/batch_id={batch_id}")
+
+    def prompted() -> DataFrame:
+        return persona_prompts(pages, id_col, text_col, read_ledger(spark, ledger_path, "persona"), carry=carry, counts=counts)
+    entry = write_batch(spark, log, run, batch_id, prompted, id_col, out_dir, ledger_path, client_factory, info=lambda: {"counts": counts.get()})
+    return spark.read.parquet(entry["tables"]["rows"])
+
+
+def job_rows(spark: SparkSession, ledger_path: str, schema, op: str = "persona", table: str = "rows") -> DataFrame:
+    """Rows (or another table) of all committed batches of a job."""
+    from corpusflow.sources.commits import CommitLog
+    return CommitLog(spark, ledger_path, op).read(table, schema)
+
+
+def job_counts(spark: SparkSession, ledger_path: str, batch_id: int, run: str = "batch", op: str = "persona") -> dict[str, int]:
+    """A1: the stage counts of a committed batch: pages read, long enough, not processed before.
+
+    Empty where the batch was finished by a replay, which read its stored replies only.
+    """
+    from corpusflow.sources.commits import CommitLog
+    entry = CommitLog(spark, ledger_path, op).entry(run, batch_id)
+    return entry["info"].get("counts", {}) if entry else {}

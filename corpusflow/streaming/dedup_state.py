@@ -8,10 +8,11 @@ timestamp, which Spark records in the checkpoint, so a replay sees the same one.
 In update mode a micro-batch emits the keys it touched; a key is new when its
 first and last arrival are equal.  A row is kept iff it is first in all its band
 keys.  Rows may arrive in any order of ``ord``: a late row competes with those
-that came before it and is kept when it is new.
+that came before it and is kept when it is new.  An ``ord`` that an earlier
+micro-batch has brought fails the job: each has a state row of its own.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import shingle_hashes, shingles
@@ -21,11 +22,17 @@ from corpusflow.streaming.landing import read_files, run_to_end
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def ord_key(value) -> Column:
+    """An ``ord`` value of any type as a key of its own: the code points of its text."""
+    return F.transform(F.split(value.cast("string"), ""), F.ascii)
+
+
 def band_rows(stream: DataFrame, ord_col: str, text_col: str, carry: list, k: int, coeffs, bands: int, rows: int):
-    """(ord, carry..., band, key) rows of a (streaming) frame."""
+    """(ord, carry..., band, key) rows of a (streaming) frame; band number ``bands`` holds the ``ord`` itself."""
     sig = _minhash_udf(coeffs)(shingle_hashes(shingles(F.col(text_col), k)))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda i: F.slice(F.col("_sig"), i * rows + 1, rows).cast("array<int>"))
+    keys = F.concat(keys, F.array(ord_key(F.col(ord_col))))
     return (stream.select(ord_col, *carry, sig.alias("_sig"))
                   .select(ord_col, *carry, F.posexplode(keys).alias("band", "key")))
 
@@ -53,7 +60,10 @@ def stream_dedup_state(spark: SparkSession, source_path: str, schema, ord_col: s
     out = f"{work_dir}/out"
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.where(F.col("_first.at") == F.col("_last"))
+        # A repeated ord touches its own key again, in this micro-batch or in a later one.
+        again = F.raise_error(F.concat(F.lit(f"{ord_col} is in an earlier batch already: "), F.col("_first.o").cast("string"))).cast("boolean")
+        fresh = batch.where(F.when((F.col("band") == b) & (F.col("_first.at") != F.col("_last")), again)
+                             .otherwise((F.col("_first.at") == F.col("_last")) & (F.col("band") < b)))
         kept = (fresh.groupBy(F.col("_first.o").alias(ord_col), *carry).agg(F.count(F.lit(1)).alias("_wins"))
                      .where(F.when(F.col("_wins") <= b, F.col("_wins") == b)
                              .otherwise(F.raise_error(F.lit(f"{ord_col} is repeated inside a micro-batch")).cast("boolean")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4, after: Callable[[], object] | None = None) -> list:
     """Append ``df`` to ``path`` in ``chunks`` ranges of ``ord_col``, oldest first; returns the cut points.
 
-    Each range is written by as many tasks as its rows need.  ``after`` runs
+    Each range is written by as many tasks as its rows need; rows with a NULL order value come first.  ``after`` runs
     after each append, e.g. the stream over the folder, so that a range is one
     micro-batch whatever its number of files.  Test harness for arrivals; a
     production landing folder is filled by producers.
@@ -20,11 +20,10 @@ def land_in_order(df: DataFrame, ord_col: str, path: str, chunks: int = 4, after
     cuts = df.approxQuantile(ord_col, probs, 0.001) if chunks > 1 else []
     bounds = [None] + cuts + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        part = df
-        if lo is not None:
-            part = part.where(F.col(ord_col) > F.lit(lo))
-        if hi is not None:
-            part = part.where(F.col(ord_col) <= F.lit(hi))
+        # NULL compares with no cut: it belongs to the first range.
+        above = F.lit(True) if lo is None else F.coalesce(F.col(ord_col) > F.lit(lo), F.lit(False))
+        below = F.lit(True) if hi is None else F.coalesce(F.col(ord_col) <= F.lit(hi), F.lit(True))
+        part = df.where(above & below)
         part.write.mode("append").parquet(path)
         if after:
             after()
@@ -39,12 +38,14 @@ def read_files(spark, path: str, schema, files_per_trigger: int | None = None) -
     return r.parquet(path)
 
 
-def run_to_end(writer) -> None:
-    """Start a stream over everything available and wait until it has ended, however long that takes.
+def run_to_end(writer):
+    """Start a stream over everything available and wait until it has ended, however long that takes; returns the query.
 
     ``awaitTermination`` raises the query's error, so a result is never read from a stream that failed.
     """
-    writer.trigger(availableNow=True).start().awaitTermination()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def run_available(stream_df: DataFrame, fn, checkpoint: str, name: str | None = None) -> None:

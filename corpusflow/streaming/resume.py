@@ -1,9 +1,10 @@
-"""ST1: resumable enrichment (ledger + checkpoint).
+"""ST1: resumable enrichment (ledger, commit log, checkpoint).
 
 Per micro-batch: length filter, anti-join with the ledger, prompt, model call,
-parse, explode; then two writes keyed by (run, batch): the rows, and the
-ledger keys of rows that parsed.  A replay overwrites both; a fresh run with
-a new checkpoint skips every key the ledger already holds.
+parse, explode; rows, rejects and ledger keys become visible by one commit of
+(run, batch).  A batch that failed before it is run again from its stored
+replies; a committed one is passed over; a fresh run with a new checkpoint
+skips every key the ledger already holds.
 """
 
 from __future__ import annotations
@@ -13,36 +14,35 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.enrich import split_parsed
-from corpusflow.operators.expand import explode_items
 from corpusflow.plans import personas as P
-from corpusflow.sources.ledger import append_ledger, path_exists, read_ledger
+from corpusflow.sources.commits import CommitLog
+from corpusflow.sources.ledger import read_ledger
 from corpusflow.streaming.landing import read_files, run_available
 
 
+ROWS = "{id} {kind}, pos int, item_key string, model string, persona string, country string, language string"
+
+
 def resume_batch_fn(spark: SparkSession, id_col: str, text_col: str, ledger_path: str, out_path: str,
                     run: str, op: str = "persona", client_factory=None):
     """``foreachBatch`` function of the resumable enrichment (rows, rejects, ledger per batch)."""
+    log = CommitLog(spark, ledger_path, op)
+
+    def shape(rows: DataFrame, rejects: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return rows.select(id_col, "pos", "item_key", "model", F.col("item.persona").alias("persona"),
+                           F.get("item.countries", 0).alias("country"), F.get("item.languages", 0).alias("language")), rejects.select(id_col, "reason")
+
     def fn(batch: DataFrame, batch_id: int) -> None:
-        ledger = read_ledger(spark, ledger_path, op, exclude=(run, batch_id))
-        # Model replies are written before use and kept: neither a lost executor
-        # nor a replay of the batch asks the (non-deterministic) model again.
-        enriched_path = f"{out_path}/enriched/run={run}/batch_id={batch_id}"
-        if not path_exists(spark, f"{enriched_path}/_SUCCESS"):
-            prompted = P.persona_prompts(batch, id_col, text_col, ledger)
-            P.enrich_personas(prompted, id_col, client_factory).write.mode("overwrite").parquet(enriched_path)
-        enriched = spark.read.parquet(enriched_path)
-        ok, rejects = split_parsed(enriched, "items")
-        rows = explode_items(ok, "items", id_col)
-        (rows.select(id_col, "pos", "item_key", "model", F.col("item.persona").alias("persona"),
-                     F.get("item.countries", 0).alias("country"), F.get("item.languages", 0).alias("language"))
-             .write.mode("overwrite").parquet(f"{out_path}/rows/run={run}/batch_id={batch_id}"))
-        (rejects.select(id_col, "reason").write.mode("overwrite")
-                .parquet(f"{out_path}/rejects/run={run}/batch_id={batch_id}"))
-        append_ledger(ok.select(F.col(id_col).alias("key")), ledger_path, op, batch_id, run=run)
+        P.write_batch(spark, log, run, batch_id, lambda: P.persona_prompts(batch, id_col, text_col, read_ledger(spark, ledger_path, op)),
+                      id_col, out_path, ledger_path, client_factory, shape)
     return fn
 
 
+def resumed_rows(spark: SparkSession, work_dir: str, id_col: str, id_type: str = "bigint", op: str = "persona") -> DataFrame:
+    """The rows of all committed batches of :func:`stream_resume`."""
+    return P.job_rows(spark, f"{work_dir}/ledger", ROWS.format(id=id_col, kind=id_type), op)
+
+
 def stream_resume(spark: SparkSession, source_path: str, schema, id_col: str, text_col: str, work_dir: str,
                   checkpoint: str, files_per_trigger: int | None = None, client_factory=None) -> None:
     """One run of the resumable job over everything available in ``source_path``."""
