@@ -24,11 +24,10 @@ shuffle:
 Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters, one pass
 over the documents for each block, so what is broadcast is bounded.
 
-Defined results: NULL and empty texts and items match nothing; items with fewer
-than ``least`` characters (``MIN_CHARS`` by default) say too little to name a
-source and match nothing; with a smaller ``least``, as in the query and the
-pipeline, items below ``MIN_CHARS`` match where a document holds them verbatim
-between word boundaries (:func:`apart`), not with edits; several matches of an
+Defined results: NULL and empty texts and items match nothing; items below
+``MIN_CHARS`` characters match where a document holds them verbatim between word
+boundaries (:func:`apart`), not with edits; a caller may leave out items of fewer
+than ``least`` characters (by default none is left out); several matches of an
 item in a document count once, the closest; items with equal texts all match;
 repeated document rows give repeated results; empty tables give an empty result;
 other columns are ignored.
@@ -233,7 +232,7 @@ class Index:
         return [(self.ids[n], d, len(self.texts[n])) for n, d in sorted(best.items())]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> Iterator[list[tuple]]:
+def blocks(items: DataFrame, id_col: str, text_col: str, least: int = 1) -> Iterator[list[tuple]]:
     """The items (id, normal text) of ``least`` characters or more in id order, in blocks of bounded size."""
     held, size = [], 0
     rows = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).orderBy("i", "t")
@@ -270,9 +269,10 @@ def _sent(df: DataFrame, block: list[tuple], rate: float):
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         item_text: str = "text", rate: float = RATE, least: int = MIN_CHARS) -> DataFrame:
-    """One row per document and item found in it: id, item id, edit_distance, item_chars."""
-    kinds = f"{id_col} {dict(docs.dtypes)[id_col]}, {item_col} {dict(items.dtypes)[item_col]}, edit_distance bigint, item_chars bigint"
+         item_text: str = "text", rate: float = RATE, least: int = 1) -> DataFrame:
+    """One row per document and item found in it: id, item id (``item_<name>`` if both ids have one name), edit_distance, item_chars."""
+    item_out = f"item_{item_col}" if item_col == id_col else item_col
+    kinds = f"{id_col} {dict(docs.dtypes)[id_col]}, {item_out} {dict(items.dtypes)[item_col]}, edit_distance bigint, item_chars bigint"
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = items.select(F.col(f"`{item_col}`")).limit(0).toArrow().schema.field(0).type
     out = docs.sparkSession.createDataFrame([], kinds)
@@ -290,7 +290,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(rows, pa.int32())), pa.array([m[0] for m in found], kind),
                      pa.array([m[1] for m in found], pa.int64()), pa.array([m[2] for m in found], pa.int64())],
-                    [id_col, item_col, "edit_distance", "item_chars"])
+                    [id_col, item_out, "edit_distance", "item_chars"])
         out = out.union(src.mapInArrow(run, kinds))
     return out
 
@@ -305,7 +305,7 @@ def contaminated(text: Column, index) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-          rate: float = RATE, least: int = MIN_CHARS) -> DataFrame:
+          rate: float = RATE, least: int = 1) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns (a filter per block, no shuffle)."""
     for block in blocks(items, item_col, item_text, least):
         docs = docs.where(~contaminated(F.col(f"`{text_col}`").cast("string"), _sent(docs, block, rate)))

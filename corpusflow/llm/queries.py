@@ -64,7 +64,34 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.digests(C.read_back(C.format_turns(rows.unionByName(C.canonical_turns(probe)))))
 
 
-@_query("op10_minhash_near_dedup")
+@_query("op10_minhash_near_dedup", r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) >= 2 then list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])
+                      when len(w) = 1 then w else [] end as s from w
+), sets as (
+  select min(doc_id) as rep, sk as s, len(sk) as n from (select doc_id, list_sort(s) as sk from s) where len(sk) > 0 group by sk
+), t as (select rep, n, unnest(s) as x from sets
+), f as (select x, count(*) as df from t group by x
+), r as (select t.*, row_number() over (partition by rep order by df, t.x) as pos from t join f on t.x = f.x
+), prefix as (select rep, n, x from r where pos <= n - (8 * n + 9) // 10 + 1
+), pairs as (
+  select distinct a.rep as a, b.rep as b from prefix a join prefix b on a.x = b.x and a.rep < b.rep
+  where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links as (
+  select a, b from pairs p join sets x on x.rep = p.a join sets y on y.rep = p.b
+  where 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), e as (select a, b from links union select b, a from links
+), reach(node, root) as (
+  select rep, rep from sets
+  union
+  select e.b, reach.root from reach join e on e.a = reach.node and reach.root < e.b
+), comp as (select node, min(root) as root from reach group by node)
+select s.doc_id, len(s.s) as n_shingles, coalesce(c.root, s.doc_id) as component_id, coalesce(c.root, s.doc_id) = s.doc_id as kept
+from s left join sets k on len(s.s) > 0 and k.s = list_sort(s.s) left join comp c on c.node = k.rep
+""")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole ``documents`` texts: 2-word shingle sets, similarity of 0.8 or more."""
     from corpusflow.llm.near_dedup import groups

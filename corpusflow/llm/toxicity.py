@@ -115,8 +115,8 @@ def fit_chain(found: list[set[int]], words: dict[str, int], labels: dict[str, np
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], main: str, id_col: str = "doc_id",
         text_col: str = "text", sample: int = SAMPLE_ROWS, words: int = WORDS) -> Chain:
     """Fit a chain.  ``categories`` maps names, in chain order, to 0/1 columns over the label columns and ``_text``."""
-    names = [c for c in labels.columns if c != id_col]
-    known = (labels.where(F.col(main).isNotNull() & (fold(id_col) != HELD_OUT)).groupBy(F.col(f"`{id_col}`").alias("_id"))
+    names = [c for c in labels.columns if c not in (id_col, "_id", "_text")]  # the names used here are no labels
+    known = (labels.select(id_col, *names).where(F.col(main).isNotNull() & (fold(id_col) != HELD_OUT)).groupBy(F.col(f"`{id_col}`").alias("_id"))
                    .agg(*[F.max(c).alias(c) for c in names]).orderBy(F.xxhash64("_id"), "_id").limit(sample))
     src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     # The sample bounds the broadcast; documents are scanned once and never shuffled.

@@ -248,3 +248,12 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sum(1 for _ in decontaminate.blocks(marks, "item_id", "text")) > 2
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.find(docs, marks).collect()) == [(i, i) for i in range(6)]
     assert decontaminate.clean(docs, marks).count() == 0
+
+
+def test_item_table_with_the_names_of_the_documents(spark):
+    """Items whose id column is named like the documents' id; none is left out by default, however short."""
+    docs = frame(spark, [(1, "so the quick brown fox jumps over the lazy dog again"), (2, "nothing"), (3, "a tiny one")])
+    items = spark.createDataFrame([(7, "quick brown fox jumps over the lazy dog"), (8, "tiny")], "doc_id bigint, text string")
+    got = decontaminate.find(docs, items, item_col="doc_id")
+    assert got.columns[:2] == ["doc_id", "item_doc_id"] and sorted((r.doc_id, r.item_doc_id) for r in got.collect()) == [(1, 7), (3, 8)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items, item_col="doc_id").collect()] == [2]

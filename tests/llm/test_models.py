@@ -313,3 +313,11 @@ def test_pii_frames(spark, trained):
                 assert r.spans == "" and r.base_sha256.startswith("e3b0c442")
     assert pii.find(frame(spark, []), trained).count() == 0
     assert pii.fit(frame(spark, [(1, "nothing here"), (2, None)])) is None
+
+
+def test_labels_with_the_names_used_inside(spark):
+    docs = frame(spark, [(i, "you idiot scum" if i % 3 == 0 else f"a calm text {i}") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 5, "x") for i in range(60)], "doc_id bigint, toxic int, _id int, _text string")
+    chain = toxicity.fit(docs, labels, {"toxic": F.col("toxic")}, "toxic")
+    got = {r.doc_id: r.p_toxic for r in toxicity.score(docs, chain).collect()}
+    assert all((got[i] > 0.5) == (i % 3 == 0) for i in range(60))
