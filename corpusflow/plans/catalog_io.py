@@ -22,13 +22,42 @@ def jsonl_roundtrip(spark, sf):
     return back.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query("csv_to_json_records", """SELECT '{"n_nationkey":"' || n_nationkey || '","n_name":"' || n_name
-  || '","n_regionkey":"' || n_regionkey || '"}' AS record FROM nation""")
+@query("csv_to_json_records", "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS lang FROM documents")
 def csv_to_json_records(spark, sf):
-    """CSV with header -> one JSON record string per row."""
+    """CSV files with header, quoted texts and line breaks inside them -> one JSON record per row (fields read back from the record)."""
     out = new_scratch_dir(spark, "csv")
-    table(spark, sf, "nation").write.mode("overwrite").option("header", True).csv(out)
-    return read_csv_records(spark, out)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs.repartition(3, "doc_id").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(out)
+    records = read_csv_records(spark, out, "doc_id bigint, text string, lang string", multi_line=True)
+    r = records.select(F.from_json("record", "doc_id bigint, text string, lang string").alias("r")).select("r.*")
+    return r.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+@query("csv_lines_checked", "SELECT c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS label, c_acctbal FROM customer")
+def csv_lines_checked(spark, sf):
+    """CSV files read in one splittable scan (quotes and commas inside quoted fields, every line checked for a broken record)."""
+    from corpusflow.sources.tables import read_any
+    out = new_scratch_dir(spark, "lines") + ".csv"
+    label = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    table(spark, sf, "customer").select("c_custkey", label.alias("label"), "c_acctbal").write.option("header", True).option("escape", '"').csv(out)
+    return read_any(spark, out, "c_custkey bigint, label string, c_acctbal double")
+
+
+@query("jsonl_rejects", """SELECT doc_id, doc_id % 7 = 3 AS rejected, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) - 1 AS line
+  FROM documents""")
+def jsonl_rejects(spark, sf):
+    """Files with cut lines: rows and rejects with file and line; every line is in one of the two."""
+    from corpusflow.sources.jsonl import read_jsonl_rejects
+    out = new_scratch_dir(spark, "cut-lines")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part"))
+    whole = F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
+    (docs.select("doc_id", cut.alias("value"), "part").repartition("part").sortWithinPartitions("part", "doc_id")
+         .select("value", "part").write.partitionBy("part").text(out))
+    rows, rejects = read_jsonl_rejects(spark, out, "doc_id bigint, text string", glob="*.txt")
+    raw_id = F.regexp_extract("raw", r'^\{"doc_id":([0-9]+)', 1).cast("bigint")
+    return (rows.select("doc_id", F.lit(False).alias("rejected"), "line")
+            .union(rejects.select(raw_id, F.lit(True), "line")))
 
 
 @query("jsonl_lines", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS line FROM nation")
@@ -77,10 +106,8 @@ def scan_lang_partitioned(spark, sf):
   dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS file_rank FROM customer""")
 def jsonl_lines_partitioned(spark, sf):
     """Lines and file order over folders whose files share one name."""
-    from pyspark.sql import Window
     out = new_scratch_dir(spark, "jsonl-folders")
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     c.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").write.partitionBy("c_mktsegment").json(out)
     back = read_jsonl(spark, out, "c_custkey bigint, c_mktsegment string", with_position=True, glob="*.json")
-    ranks = back.select("file_path").distinct().withColumn("file_rank", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("bigint"))
-    return back.join(ranks, "file_path").select("c_custkey", "c_mktsegment", "line", "file_rank")
+    return back.select("c_custkey", "c_mktsegment", "line", "file_rank")

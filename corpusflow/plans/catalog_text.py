@@ -91,6 +91,29 @@ def lsh_dedup_aggregate(spark, sf):
     return dedup.first_wins_dedup(d, "doc_id", "text", method="aggregate").select("doc_id", "lang")
 
 
+_AUDIT_SQL = f"""WITH w AS (SELECT doc_id AS o, {sql_words('lower(text)')} AS w FROM documents),
+s AS (SELECT o, CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) ELSE [] END AS s FROM w),
+t AS (SELECT o, len(s) AS n, unnest(s) AS x FROM s),
+common AS (SELECT a.o AS a, b.o AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.o < b.o GROUP BY a.o, b.o),
+near AS (SELECT DISTINCT b AS o FROM common WHERE c >= 0.8 * (na + nb - c) - 1e-9
+  UNION SELECT o FROM s WHERE len(s) = 0 AND o > (SELECT min(o) FROM s WHERE len(s) = 0)),
+kept AS ({sql_first_wins('documents', 'doc_id', 'text')})
+SELECT s.o AS doc_id, n.o IS NOT NULL AS near, k.doc_id IS NULL AS dropped
+FROM s LEFT JOIN near n ON n.o = s.o LEFT JOIN kept k ON k.doc_id = s.o
+WHERE n.o IS NOT NULL OR k.doc_id IS NULL"""
+
+
+@query("lsh_recall_audit", _AUDIT_SQL)
+def lsh_recall_audit(spark, sf):
+    """§2.10: documents with an earlier one of exact similarity >= 0.8, against those that the LSH dedup drops (missed and false drops)."""
+    from corpusflow.operators.similarity import earlier_near
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    near = earlier_near(d, "doc_id", "text", 0.8, 3).withColumn("near", F.lit(True))
+    kept = dedup.kept_ords(d, "doc_id", F.col("text"), partitions=partitions(spark)).withColumn("kept", F.lit(True))
+    rows = d.select("doc_id").join(near, "doc_id", "left").join(kept, "doc_id", "left")
+    return rows.where("near or kept is null").select("doc_id", F.coalesce("near", F.lit(False)).alias("near"), F.col("kept").isNull().alias("dropped"))
+
+
 @query("anti_processed", "SELECT doc_id FROM documents d WHERE NOT EXISTS "
                          "(SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) = CAST(d.doc_id AS VARCHAR))")
 def anti_processed(spark, sf):

@@ -6,39 +6,45 @@ VARIANT rule (F6/T5); kept rows are written with their shingle list (K3) to
 a folder separate from the input (T7).
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import word_ngrams, words, strip_ws
 from corpusflow.operators.dedup import first_wins_dedup
 from corpusflow.operators.persona import persona_text
-from corpusflow.sources.jsonl import read_jsonl, write_jsonl
+from corpusflow.sources.jsonl import read_jsonl, read_jsonl_rejects, write_jsonl
 
 PERSONA_ROW = "id string, url string, persona variant, model string, lang string"
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    return (rows.withColumn("ord", F.col("file_rank") * F.lit(1 << 32) + F.col("line"))
+                .withColumn("id", F.concat(F.col("id"), F.lit("#"), F.col("line").cast("string")))
+                .drop("file_rank", "file_path"))
+
+
 def ordered_rows(spark: SparkSession, in_dir: str, schema: str = PERSONA_ROW, glob: str = "*.jsonl") -> DataFrame:
     """Rows with ``ord`` = (rank of file path) * 2^32 + line, and ``id#line`` ids."""
-    rows = read_jsonl(spark, in_dir, schema, with_position=True, glob=glob)
-    files = rows.select("file_path").distinct()
-    # One row per file: the window's single task grows with the files, not with their rows.
-    ranked = files.withColumn("_frank", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("bigint"))
-    return (rows.join(ranked, "file_path")
-                .withColumn("ord", F.col("_frank") * F.lit(1 << 32) + F.col("line"))
-                .withColumn("id", F.concat(F.col("id"), F.lit("#"), F.col("line").cast("string")))
-                .drop("_frank", "file_path"))
+    return _ordered(read_jsonl(spark, in_dir, schema, with_position=True, glob=glob))
 
 
 def dedup_persona_files(spark: SparkSession, in_dir: str, out_dir: str | None = None, threshold: float = 0.8,
-                        k: int = 3, glob: str = "*.jsonl", schema: str = PERSONA_ROW) -> DataFrame:
+                        k: int = 3, glob: str = "*.jsonl", schema: str = PERSONA_ROW, rejects_dir: str | None = None) -> DataFrame:
     """Dedup every persona file under ``in_dir``; the index spans all files.
 
     The ordered, usable rows are written once to the shared scratch folder
-    (the lineage cut), so the JSON scan and the line-number window run once
-    although dedup reads its input twice.
+    (the lineage cut), so the JSON scan runs once although dedup reads its input
+    twice.  A malformed line fails the job; with ``rejects_dir`` it is written
+    there with its file and line, and the other rows go on.
     """
     from corpusflow.session import new_scratch_dir
-    rows = ordered_rows(spark, in_dir, schema, glob).withColumn("_text", persona_text("persona"))
+    if rejects_dir:
+        good, rejects = read_jsonl_rejects(spark, in_dir, schema, glob)
+        write_jsonl(rejects, rejects_dir)
+        rows = _ordered(good)
+    else:
+        rows = ordered_rows(spark, in_dir, schema, glob)
+    rows = rows.withColumn("_text", persona_text("persona"))
     staged = new_scratch_dir(spark, "persona-ordered")
     rows.where(F.col("_text").isNotNull()).write.mode("overwrite").parquet(staged)
     usable = spark.read.parquet(staged)

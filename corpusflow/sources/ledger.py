@@ -82,9 +82,9 @@ def exclude_processed(df: DataFrame, ledger: DataFrame, key) -> DataFrame:
 
 # --- Bloom filters ----------------------------------------------------------
 
-# One filter of 2^25 bits (4 MB) whatever the ledger's size: beyond some millions of keys it fills up, and
+# One filter of 2^24 bits (2 MB) whatever the ledger's size: beyond a million or two of keys it fills up, and
 # more rows take the exact way.  A key sets PROBES bits.
-FILTER_BITS, PROBES = 1 << 25, 4
+FILTER_BITS, PROBES = 1 << 24, 4
 
 
 def _places(key: Column, bits: int) -> list[Column]:

@@ -24,27 +24,30 @@ def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = Fal
     """CSV with header, quotes doubled inside quoted fields.
 
     ``multi_line`` allows line breaks inside quoted fields; such a file cannot be split among tasks.
-    Without it a line that ends inside a quoted field fails the job (the lines are scanned once more
-    for this), so no record is broken in silence.
+    Without it a line that ends inside a quoted field fails the job, so no record is broken in silence:
+    the lines are read once, as raw text without the header, looked at, and parsed by ``from_csv``.
     """
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
-    df = r.csv(path)
     if multi_line:
-        return df
+        return r.csv(path)
+    kind = r.csv(path).schema  # given, or the names of the header line
+    # One column that no separator or quote divides: the raw line, with Spark's own handling of the header of every file.
+    lines = spark.read.option("header", True).option("sep", "\u0001").option("quote", "").option("enforceSchema", True).schema("value string").csv(path)
     broken = F.regexp_replace("value", _QUOTED, "$1").rlike(_OPEN)
     error = F.raise_error(F.concat(F.lit("a quoted CSV field holds a line break, read it with multi_line=True: "),
                                    F.substring("value", 1, 200))).cast("boolean")
-    lines = spark.read.text(path).where(F.when(broken, error).otherwise(F.lit(False)))
-    return df.union(lines.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+    sound = lines.where(F.when(broken, error).otherwise(F.lit(True)))
+    return sound.select(F.from_csv("value", F.lit(kind.toDDL()), {"escape": '"'}).alias("_r")).select("_r.*")
 
 
 def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """Read a dataset by format: explicit ``fmt``, else by suffix.
 
-    ``.json``/``.jsonl`` -> JSON lines (schema strongly advised), ``.csv`` ->
-    CSV with header, anything else -> Parquet (a directory of a saved split).
+    ``.json``/``.jsonl`` -> JSON lines (schema strongly advised; a malformed line
+    fails the job), ``.csv`` -> CSV with header, anything else -> Parquet (a
+    directory of a saved split).
     ``multi_line`` allows line breaks inside quoted CSV fields (:func:`read_csv`).
     """
     fmt = fmt or ("json" if path.endswith((".json", ".jsonl")) else
@@ -53,7 +56,7 @@ def read_any(spark: SparkSession, path: str, schema=None, fmt: str | None = None
     if schema is not None:
         r = r.schema(schema)
     if fmt == "json":
-        return r.json(path)
+        return r.option("mode", "FAILFAST").json(path)
     if fmt == "csv":
         return read_csv(spark, path, schema, multi_line)
     return r.format(fmt).load(path)

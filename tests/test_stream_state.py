@@ -130,7 +130,7 @@ def test_rows_that_miss_the_filter_are_not_exchanged(spark, tmp_path):
     def left(rows, bits, df=docs):
         return exclude_processed_filtered(df, ledger, rows, "id", bits)
     good = read_filter(spark, path, "op")
-    got = left(good, 1 << 25)
+    got = left(good, 1 << 24)
     assert sorted(r.id for r in got.collect() if r.id is not None) == want and got.where("id is null").count() == 1
     # a filter that is full, or almost: more rows take the exact way, with equal results
     for bits in (64, 1024):
@@ -139,7 +139,7 @@ def test_rows_that_miss_the_filter_are_not_exchanged(spark, tmp_path):
     # the branch of the missing rows has no exchange between scan and union
     stored = str(tmp_path / "docs")
     docs.write.parquet(stored)
-    plan = left(good, 1 << 25, spark.read.parquet(stored))
+    plan = left(good, 1 << 24, spark.read.parquet(stored))
     tree = plan._jdf.queryExecution().sparkPlan()
 
     def nodes(n):  # the branch itself, without the plan of its scalar subquery
@@ -156,7 +156,7 @@ def test_filter_of_older_ledgers(spark, tmp_path):
     path = str(tmp_path / "ledger")
     spark.range(5).selectExpr("cast(id as string) as key").write.parquet(f"{path}/op=op/run=0/batch_id=0")
     docs = spark.range(20).select("id")
-    bits = 1 << 25
+    bits = 1 << 24
     assert exclude_processed_filtered(docs, read_ledger(spark, path), read_filter(spark, path), "id", bits).count() == 15
     append_ledger(spark.range(5, 8).select("id"), path, "op", 1, key_col="id")
     assert exclude_processed_filtered(docs, read_ledger(spark, path), read_filter(spark, path), "id", bits).count() == 12
