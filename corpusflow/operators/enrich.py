@@ -87,26 +87,83 @@ def with_retry(call: Callable[[list], list], attempts: int = 3, wait_s: float =
 
 
 class RateLimiter:
-    """E5: at most one call per ``min_interval_s`` inside one task; thread-safe."""
+    """E5: at most one call per interval inside one task; thread-safe.
 
-    def __init__(self, min_interval_s: float = 0.0):
+    The interval is a number of seconds, or a function that gives the present one.
+    """
+
+    def __init__(self, interval: float | Callable[[], float] = 0.0):
         import threading
-        self.min_interval_s = min_interval_s
+        self.interval = interval if callable(interval) else lambda: interval
         self._last = None
         self._lock = threading.Lock()
 
     def wait(self) -> None:
-        if not self.min_interval_s:
-            return
         with self._lock:
-            now = time.monotonic()
+            gap = self.interval()
+            if not gap:
+                return
             if self._last is not None:
-                gap = self.min_interval_s - (now - self._last)
-                if gap > 0:
-                    time.sleep(gap)
+                left = gap - (time.monotonic() - self._last)
+                while left > 0:
+                    # A long wait is taken in parts: the interval may shrink when another task ends.
+                    time.sleep(min(left, 0.25))
+                    left = min(gap, self.interval()) - (time.monotonic() - self._last)
             self._last = time.monotonic()
 
 
+class SharedRate:
+    """One limit of calls a second for all tasks of a job, dealt anew among those that still run.
+
+    A task that has ended leaves a marker in the shared folder.  Each of the
+    others looks at the folder every ``check_s`` seconds and divides the limit by
+    the tasks without a marker (also those that have not begun), so their
+    shares never add up to more than the limit and none stays unused for long.
+    A task that is run again takes its marker away first.
+    """
+
+    def __init__(self, folder: str, tasks: int, task: int, calls_per_s: float, check_s: float = 2.0):
+        from pyarrow import fs
+        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.folder, self.tasks, self.task, self.calls_per_s, self.check_s = path, tasks, task, calls_per_s, check_s
+        self._ended, self._looked = 0, -check_s
+        if self.fs.get_file_info(self._mark()).type != fs.FileType.NotFound:
+            self.fs.delete_file(self._mark())
+
+    def _mark(self) -> str:
+        return f"{self.folder}/ended-{self.task}"
+
+    def interval(self) -> float:
+        """Seconds between two calls of this task."""
+        from pyarrow import fs
+        if time.monotonic() - self._looked >= self.check_s:
+            found = self.fs.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))
+            self._ended = sum(x.base_name.startswith("ended-") and x.base_name != f"ended-{self.task}" for x in found)
+            self._looked = time.monotonic()
+        return max(1, self.tasks - self._ended) / self.calls_per_s
+
+    def end(self) -> None:
+        """Give this task's share to the others."""
+        self.fs.create_dir(self.folder, recursive=True)
+        with self.fs.open_output_stream(self._mark()) as f:
+            f.write(b"")
+
+
+def rate_folder(spark) -> str | None:
+    """A fresh shared folder as a URI that Python workers can open; None if there is no client for its scheme."""
+    from pyarrow import fs
+
+    from corpusflow.session import new_scratch_dir
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_scratch_dir(spark, "rate"))
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    try:
+        fs.FileSystem.from_uri(uri)
+    except Exception:  # noqa: BLE001 - any scheme or client that pyarrow does not have
+        return None
+    return uri
+
+
 def answer(call: Callable[[list], list], prompts: list) -> list:
     """One (raw, model, error) per prompt.
 
@@ -137,12 +194,15 @@ def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]],
     clients by an exchange of the prompts; by default the input's own partitions
     are used.
 
-    ``calls_per_s`` limits the whole job (E5): each of ``partitions`` tasks gets
-    an equal share, so that together they never exceed it, however many run at once.
+    ``calls_per_s`` limits the whole job (E5): each of ``partitions`` tasks gets an
+    equal share, so that together they never exceed it, however many run at
+    once; the shares of tasks that have ended go to the others
+    (:class:`SharedRate`, through the shared folder).
     """
     if calls_per_s and not partitions:
         raise ValueError("calls_per_s needs partitions: the limit is shared out among that many tasks")
-    interval = partitions / calls_per_s if calls_per_s else 0.0
+    fixed = partitions / calls_per_s if calls_per_s else 0.0
+    folder = rate_folder(df.sparkSession) if calls_per_s else None
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"{k} {key_types[k]}" for k in key_cols] + ["raw string", "model string", "error string"])
     inp = df.select(*key_cols, F.col(prompt_col).alias("_prompt"))
@@ -150,7 +210,9 @@ def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]],
         inp = inp.repartition(partitions)
 
     def run(batches: Iterable[pd.DataFrame]):
-        client, limiter = client_factory(**(options or {})), RateLimiter(interval)
+        from pyspark import TaskContext
+        shared = SharedRate(folder, partitions, TaskContext.get().partitionId(), calls_per_s) if folder else None
+        client, limiter = client_factory(**(options or {})), RateLimiter(shared.interval if shared else fixed)
 
         def limited(prompts: list) -> list:
             limiter.wait()
@@ -168,6 +230,8 @@ def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]],
                 out["model"] = [x[1] for x in flat]
                 out["error"] = [x[2] for x in flat]
                 yield out
+            if shared:
+                shared.end()
         finally:
             if pool:
                 pool.shutdown()

@@ -8,7 +8,7 @@ before splitting it into results and rejects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import keyed_choice, keyed_hash
@@ -50,10 +50,23 @@ def dimension(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(values)), f"idx bigint, {name} string")
 
 
-def indexed(df: DataFrame, key_col: str) -> DataFrame:
-    """Dimension rows numbered 0, 1, ... in the order of a hash of ``key_col`` (any number of rows, no single-task sort)."""
+# A dimension of at most this many rows is sorted in one task and broadcast; a larger one is numbered by ranges and joined
+# as Spark sees fit.
+SMALL_DIMENSION = 100_000
+
+
+def indexed(df: DataFrame, key_col: str) -> tuple[DataFrame, int]:
+    """(dimension rows numbered 0, 1, ... in the order of a hash of ``key_col``, their number).
+
+    The number is counted first: a small dimension (the usual case) is sorted
+    once and broadcast, so what it is joined to is not exchanged.
+    """
+    n = df.count()
     keyed = df.withColumn("_k", keyed_hash("dimension", F.col(key_col)))
-    return exact_positions(keyed, "_k", key_col, out="idx").drop("_k")
+    if n > SMALL_DIMENSION:
+        return exact_positions(keyed, "_k", key_col, out="idx").drop("_k"), n
+    order = Window.orderBy("_k", key_col)
+    return F.broadcast(keyed.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint")).drop("_k")), n
 
 
 def assign_choices(personas: DataFrame, id_col: str, spark: SparkSession, topics: DataFrame, seeds: DataFrame,
@@ -61,22 +74,22 @@ def assign_choices(personas: DataFrame, id_col: str, spark: SparkSession, topics
     """One keyed random language, style, topic and seed prompt per row.
 
     Each choice is ``md5(seed|purpose|id) mod n`` joined to an ``(idx, value)``
-    dimension.  Topics and seeds come from data and may have any size: their
-    counts are scalar subqueries of the same plan, and AQE chooses the join.
+    dimension.  Topics and seeds come from data and may have any size
+    (:func:`indexed`).
     """
-    def count(df: DataFrame):
-        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    topic_rows, n_topics = indexed(topics, "topic")
+    seed_rows, n_seeds = indexed(seeds, "seed_item")
     p = (personas
          .withColumn("_li", keyed_choice(len(LANGUAGES), seed, "language", F.col(id_col)))
          .withColumn("_si", keyed_choice(len(STYLES), seed, "style", F.col(id_col)))
-         .withColumn("_ti", keyed_choice(count(topics), seed, "topic", F.col(id_col)))
-         .withColumn("_pi", keyed_choice(count(seeds), seed, "seed", F.col(id_col))))
+         .withColumn("_ti", keyed_choice(max(1, n_topics), seed, "topic", F.col(id_col)))
+         .withColumn("_pi", keyed_choice(max(1, n_seeds), seed, "seed", F.col(id_col))))
     # Closed vocabularies built from driver lists: bounded by construction.
     lang = F.broadcast(dimension(spark, LANGUAGES, "language")).withColumnRenamed("idx", "_li")
     sty = F.broadcast(dimension(spark, STYLES, "style")).withColumnRenamed("idx", "_si")
     return (p.join(lang, "_li").join(sty, "_si")
-             .join(indexed(topics, "topic").withColumnRenamed("idx", "_ti"), "_ti")
-             .join(indexed(seeds, "seed_item").withColumnRenamed("idx", "_pi"), "_pi")
+             .join(topic_rows.withColumnRenamed("idx", "_ti"), "_ti")
+             .join(seed_rows.withColumnRenamed("idx", "_pi"), "_pi")
              .drop("_li", "_si", "_ti", "_pi"))
 
 

@@ -73,3 +73,42 @@ def test_upstream_rows_run_once(spark):
     prompted = df.select("id", two_role(F.lit("s"), F.col("t")).alias("p"))
     out = enrich(prompted, lambda: mock_client("persona"), "p", ["id"], partitions=5)
     assert seen.value == 0 and out.count() == 200 and seen.value == 200
+
+
+def test_unused_shares_go_to_the_tasks_that_still_run(tmp_path):
+    """One long and three short tasks: never above the limit, and within a tenth of the ideal time."""
+    import threading
+    import time
+
+    from corpusflow.operators.enrich import RateLimiter, SharedRate
+    limit, calls, lock = 40.0, [], threading.Lock()
+    work = [120, 4, 4, 4]
+
+    def task(i):
+        shared = SharedRate(f"file://{tmp_path}/rate", len(work), i, limit, check_s=0.05)
+        limiter = RateLimiter(shared.interval)
+        for _ in range(work[i]):
+            limiter.wait()
+            with lock:
+                calls.append(time.monotonic())
+        shared.end()
+    t0 = time.monotonic()
+    threads = [threading.Thread(target=task, args=(i,)) for i in range(len(work))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    took, ideal = time.monotonic() - t0, sum(work) / limit
+    assert took < 1.1 * ideal + 0.15, (took, ideal)
+    calls.sort()
+    for i in range(len(calls)):  # in any second at most the limit, and the first calls of the tasks
+        assert sum(calls[i] <= c < calls[i] + 1 for c in calls) <= limit + len(work)
+    again = SharedRate(f"file://{tmp_path}/rate", len(work), 1, limit)  # a task that is run again takes its share back
+    assert again.interval() == 1 / limit and SharedRate(f"file://{tmp_path}/rate", len(work), 0, limit).interval() == 2 / limit
+
+
+def test_rate_of_a_job(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(12)], "id bigint, t string") \
+              .select("id", two_role(F.lit("s"), F.col("t")).alias("p"))
+    import time
+    t0 = time.monotonic()
+    out = enrich(df, lambda: mock_client("persona"), "p", ["id"], batch_size=1, partitions=3, calls_per_s=6.0).collect()
+    assert len(out) == 12 and time.monotonic() - t0 >= 9 / 6.0 and not any(r.error for r in out)
