@@ -211,9 +211,9 @@ def test_decontamination_frames(spark):
                           (52, ("filler " * 30_000) + bench[4][1] + " " + bench[4][1])]
     marks = spark.createDataFrame([*bench, (99, None), (98, ""), (97, "one"), (96, bench[2][1])], "item_id bigint, text string")
     docs = frame(spark, rows)
-    got = sorted((r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.find(docs, marks).collect())
+    got = sorted((r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.find(docs, marks, least=decontaminate.MIN_CHARS).collect())
     assert got == [(50, 2, 0), (50, 2, 0), (50, 96, 0), (50, 96, 0), (52, 4, 0)]
-    kept = decontaminate.clean(docs, marks)
+    kept = decontaminate.clean(docs, marks, least=decontaminate.MIN_CHARS)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert decontaminate.find(docs, marks.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), marks).count() == 0
 
