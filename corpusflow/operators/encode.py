@@ -20,6 +20,7 @@ kept or rejected on request (``on_invalid``).
 
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +56,29 @@ def offset_tokenizer(encode_batch: Callable[[list[str]], list[tuple[list[int], l
     return tok
 
 
+def _starts(lengths: Column) -> Column:
+    """ARRAY<INT>: where each part of a text starts, from the lengths of the parts (one pass, however many there are)."""
+    @F.pandas_udf("array<int>")
+    def starts(col: pd.Series) -> pd.Series:
+        out = []
+        for n in col:
+            if n is None:
+                out.append(None)
+                continue
+            at = np.cumsum(np.concatenate(([0.0], np.asarray(n, dtype=np.float64))))[:-1]
+            # After a part without a length (NaN) nothing has a known start.
+            out.append([None if np.isnan(x) else int(x) for x in at] if np.isnan(at).any() else at.astype(np.int32))
+        return pd.Series(out, dtype=object)
+    return starts(lengths)
+
+
 def regex_tokens(text, pattern: str) -> Column:
     """ARRAY<STRUCT<id, start>> of a regex tokenizer (native; ids are hashed).
 
     ``pattern`` must match every character, so a token starts where the one before ends.
     """
     toks = F.regexp_extract_all(col_(text), F.lit(pattern), 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id: int, start: int>>").alias("out"))
-    return F.aggregate(toks, start, lambda s, t: F.struct(
-        (s["at"] + F.length(t)).alias("at"),
-        F.concat(s["out"], F.array(F.struct(token_id(t).alias("id"), s["at"].alias("start")))).alias("out")))["out"]
+    return F.arrays_zip(F.transform(toks, token_id).alias("id"), _starts(F.transform(toks, F.length)).alias("start"))
 
 
 def checked(df: DataFrame, messages: str = "messages", on_invalid: str = "error") -> DataFrame:
@@ -91,21 +105,18 @@ def trained_spans(messages) -> Column:
     """ARRAY<STRUCT<s, e>>: character spans of the rendered text whose tokens carry labels."""
     m = col_(messages)
     roles = F.transform(m, lambda x: x["role"])
+    lengths = F.transform(m, lambda x: F.length(F.concat(F.lit(MESSAGE_INDENT), message_text(x["role"], x["content"]), F.lit("\n"))))
     parts = F.arrays_zip(
         roles.alias("r"), _before(roles, F.size(m)).alias("p"),
         F.transform(m, lambda x: F.length(F.concat(F.lit(MESSAGE_INDENT), header_text(x["role"])))).alias("h"),
-        F.transform(m, lambda x: F.length(F.concat(F.lit(MESSAGE_INDENT), message_text(x["role"], x["content"]), F.lit("\n")))).alias("n"))
-    kind = "array<struct<s: int, e: int>>"
-    start = F.struct(F.lit(len(f"\n{BOS}\n")).alias("at"), F.array().cast(kind).alias("out"))
+        lengths.alias("n"), _starts(lengths).alias("at"))
 
-    def step(s, x):
-        end = s["at"] + x["n"]
+    def span(x):
+        at = x["at"] + F.lit(len(f"\n{BOS}\n"))
         # The first message is preceded by nothing to mask, so its text counts from the very beginning.
-        first = F.when(x["p"].isNull(), F.lit(0)).when(x["p"] == "assistant", s["at"]).otherwise(s["at"] + x["h"])
-        own = F.array(F.struct(first.cast("int").alias("s"), end.cast("int").alias("e")))
-        return F.struct(end.cast("int").alias("at"),
-                        F.concat(s["out"], F.when(x["r"] == "assistant", own).otherwise(F.array().cast(kind))).alias("out"))
-    return F.aggregate(parts, start, step)["out"]
+        first = F.when(x["p"].isNull(), F.lit(0)).when(x["p"] == "assistant", at).otherwise(at + x["h"])
+        return F.struct(first.cast("int").alias("s"), (at + x["n"]).cast("int").alias("e"))
+    return F.transform(F.filter(parts, lambda x: x["r"] == "assistant"), span)
 
 
 def encode(df: DataFrame, messages: str = "messages", max_len: int | None = None,

@@ -163,3 +163,22 @@ def test_padded_arrays_and_plan(spark):
     assert (p.max_train_steps, p.scheduler_steps, p.warmup_steps) == (12, 21, 2)
     q = enc.training_plan(df, 8, processes=2, grad_acc=2, max_train_steps=50, warmup_ratio=0.1).first()
     assert (q.scheduler_steps, q.warmup_steps) == (100, 10)
+
+
+def test_token_and_span_starts_take_one_pass(spark):
+    """A long conversation in one row: offsets were built by appending to an array per token, which copies all before it."""
+    import time
+
+    from corpusflow.operators.encode import encode, regex_tokens, trained_spans
+    n = 4000
+    turns = [("user" if i % 2 == 0 else "assistant", f"w{i} " + "ab " * 9) for i in range(n)]
+    df = spark.createDataFrame([(1, turns)], "id int, messages array<struct<role: string, content: string>>")
+    t = time.monotonic()
+    got = df.select(regex_tokens(M.render_chat(F.col("messages")), "[A-Za-z]{1,3}|[0-9]|[^A-Za-z0-9]").alias("t"),
+                    trained_spans("messages").alias("s"), M.render_chat(F.col("messages")).alias("x")).first()
+    assert time.monotonic() - t < 60
+    at = [r["start"] for r in got["t"]]
+    assert at[0] == 0 and at == sorted(set(at)) and at[-1] < len(got["x"]) and len(got["s"]) == n // 2
+    assert all(got["x"][s["s"]:s["e"]].strip().startswith(turns[2 * i + 1][1].split()[0]) for i, s in enumerate(got["s"]))
+    e = encode(df, "messages", 64, tokenizer=lambda x: regex_tokens(x, "[A-Za-z]{1,3}|[0-9]|[^A-Za-z0-9]")).first()
+    assert len(e["input_ids"]) == len(e["labels"]) == 64
