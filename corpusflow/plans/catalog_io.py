@@ -9,6 +9,8 @@ from corpusflow.plans.registry import REGISTRY, query, table
 from corpusflow.session import new_scratch_dir
 from corpusflow.sources.jsonl import read_csv_records, read_jsonl, write_jsonl
 
+# Rows of documents a file holds at most: a file that only one task can read or write stays bounded.
+FILE_ROWS = 4096
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double"
 
 
@@ -27,7 +29,8 @@ def csv_to_json_records(spark, sf):
     """CSV files with header, quoted texts and line breaks inside them -> one JSON record per row (fields read back from the record)."""
     out = new_scratch_dir(spark, "csv")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    docs.repartition(3, "doc_id").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(out)
+    # A file with line breaks inside fields is read by one task: the rows of a file are bounded, not the files.
+    (docs.write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("escape", '"').option("quoteAll", True).csv(out))
     records = read_csv_records(spark, out, "doc_id bigint, text string, lang string", multi_line=True)
     r = records.select(F.from_json("record", "doc_id bigint, text string, lang string").alias("r")).select("r.*")
     return r.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("lang", F.lit("")).alias("lang"))
@@ -52,9 +55,10 @@ def jsonl_rejects(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part"))
     whole = F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     cut = F.when(F.col("doc_id") % 7 == 3, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
-    (docs.select("doc_id", cut.alias("value"), "part").repartition("part").sortWithinPartitions("part", "doc_id")
-         .select("value", "part").write.partitionBy("part").text(out))
-    rows, rejects = read_jsonl_rejects(spark, out, "doc_id bigint, text string", glob="*.txt")
+    # As many files a folder as its rows need, in the order of their names; lines are counted through the folder.
+    (docs.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id")
+         .select(cut.alias("value"), "part").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").text(out))
+    rows, rejects = read_jsonl_rejects(spark, out, "doc_id bigint, text string", glob="*.txt", per="folder")
     raw_id = F.regexp_extract("raw", r'^\{"doc_id":([0-9]+)', 1).cast("bigint")
     return (rows.select("doc_id", F.lit(False).alias("rejected"), "line")
             .union(rejects.select(raw_id, F.lit(True), "line")))

@@ -25,21 +25,27 @@ def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     return r.text(path)
 
 
-def with_lines(scan: DataFrame) -> DataFrame:
+def with_lines(scan: DataFrame, per: str = "file") -> DataFrame:
     """A file scan with ``file_name``, ``file_path``, 0-based ``line`` and ``file_rank`` (order of the paths) per row.
 
+    ``line`` counts within a file or, with ``per="folder"``, on through the files of a folder in the order of their
+    names: a large part of a dataset can then be written as many files and keeps its line numbers.
+
     Rows are numbered inside their scan task, where the rows of a split follow
     one another.  A narrow count per split gives the first number of the split
     and the rows before it in its file; that table is joined by broadcast, so
     the rows themselves are not exchanged and no file is gathered in one task.
     Files are told apart by their full path.
     """
+    if per not in ("file", "folder"):
+        raise ValueError(f"per is file or folder, not {per!r}")
     d = (scan.withColumn("file_name", F.col("_metadata.file_name")).withColumn("file_path", F.col("_metadata.file_path"))
              .withColumn("_split", F.col("_metadata.file_block_start")).withColumn("_row", F.monotonically_increasing_id()))
     # Two hashes stand for a path: the table stays narrow however long the paths are.
     marks = [F.xxhash64("file_path").alias("_f"), F.xxhash64(F.lit("path"), F.col("file_path")).alias("_g")]
     splits = d.groupBy("file_path", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("file_path") if per == "file" else F.regexp_replace("file_path", "[^/]*$", "")
+    before = Window.partitionBy(whole).orderBy("file_path", "_split").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file: the window's single task grows with the files, not with their rows.
     ranks = splits.select("file_path").distinct().select("file_path", (F.dense_rank().over(Window.orderBy("file_path")) - 1).cast("bigint").alias("file_rank"))
     table = (splits.select("file_path", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")).join(ranks, "file_path")
@@ -87,9 +93,10 @@ def split_malformed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(F.col(CORRUPT).isNotNull()).select("file_path", "line", F.col(CORRUPT).alias("raw"))
 
 
-def read_jsonl_rejects(spark: SparkSession, path: str, schema, glob: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
-    """(rows with file and line, rejects (file_path, line, raw)) of JSON lines under ``path``."""
-    return split_malformed(parsed_lines(with_lines(_lines(spark, path, glob)), schema))
+def read_jsonl_rejects(spark: SparkSession, path: str, schema, glob: str | None = "*.jsonl",
+                       per: str = "file") -> tuple[DataFrame, DataFrame]:
+    """(rows with file and line, rejects (file_path, line, raw)) of JSON lines under ``path``; lines as in :func:`with_lines`."""
+    return split_malformed(parsed_lines(with_lines(_lines(spark, path, glob), per), schema))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema, with_position: bool = False,

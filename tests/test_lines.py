@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from corpusflow.sources.jsonl import read_jsonl, read_jsonl_rejects
 from corpusflow.sources.tables import read_any, read_csv
 
+from conftest import SF0001
+
 
 def leaves(plan):
     out = plan.collectLeaves()
@@ -111,3 +113,42 @@ def test_exact_near_rows_equal_brute_force(spark):
         got = [r.o for r in earlier_near(df, "o", "t", threshold, 3).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, 3, threshold)
     assert earlier_near(df.limit(0), "o", "t").count() == 0
+
+
+def _files(spark, monkeypatch, tmp_path, name, suffix):
+    """(result, records of each intermediate file) of a query of catalog_io whose files hold 50 rows at most."""
+    from corpusflow.plans import catalog_io
+    monkeypatch.setattr(catalog_io, "FILE_ROWS", 50, raising=False)
+    root = str(tmp_path / name)
+    monkeypatch.setattr(catalog_io, "new_scratch_dir", lambda spark, purpose: f"{root}/{purpose}")
+    got = getattr(catalog_io, name)(spark, SF0001).collect()
+    files = [str(f) for f in (tmp_path / name).rglob(f"part-*{suffix}")]
+    return got, files
+
+
+def test_jsonl_rejects_files_are_bounded(spark, monkeypatch, tmp_path):
+    got, files = _files(spark, monkeypatch, tmp_path, "jsonl_rejects", ".txt")
+    sizes = [sum(1 for _ in open(f)) for f in files]
+    assert max(sizes) <= 50 and sum(sizes) == len(got)     # one file per language before
+    docs = {r["doc_id"]: r["lang"] or "" for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()}
+    for lang in set(docs.values()):
+        ids = sorted(i for i, x in docs.items() if x == lang)
+        assert sorted((r["doc_id"], r["line"]) for r in got if docs[r["doc_id"]] == lang) == [(i, n) for n, i in enumerate(ids)]
+
+
+def test_csv_to_json_records_files_are_bounded(spark, monkeypatch, tmp_path):
+    got, files = _files(spark, monkeypatch, tmp_path, "csv_to_json_records", ".csv")
+    sizes = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f).count() for f in files]
+    assert max(sizes) <= 50 and sum(sizes) == len(got) == 200     # three files, whatever the rows, before
+
+
+def test_lines_through_a_folder(spark, tmp_path):
+    for name, lines in (("a/x.jsonl", 3), ("a/y.jsonl", 2), ("b/x.jsonl", 2)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join('{"id": "%s%d"}\n' % (name, i) for i in range(lines)) + "{cut\n")
+    rows, rejects = read_jsonl_rejects(spark, str(tmp_path / "*"), "id string", per="folder")
+    assert sorted((r["id"], r["line"]) for r in rows.collect()) == [
+        ("a/x.jsonl0", 0), ("a/x.jsonl1", 1), ("a/x.jsonl2", 2), ("a/y.jsonl0", 4), ("a/y.jsonl1", 5), ("b/x.jsonl0", 0), ("b/x.jsonl1", 1)]
+    assert sorted(r["line"] for r in rejects.collect()) == [2, 3, 6]
+    with pytest.raises(ValueError):
+        read_jsonl_rejects(spark, str(tmp_path), "id string", per="task")
