@@ -79,8 +79,8 @@ def word_ngrams(word_arr: Column, k: int = 3) -> Column:
     return F.when(n >= k, grams).otherwise(F.array().cast("array<string>"))
 
 
-def shingles(text, k: int = 3) -> Column:
-    """Distinct lower-cased word k-shingles of ``text`` (first-occurrence order).
+def all_shingles(text, k: int = 3) -> Column:
+    """Lower-cased word k-shingles of ``text`` in order, repeats included.
 
     Whitespace runs become single spaces, then one native regex captures every
     k-word window with a zero-width lookahead anchored at word starts.  This
@@ -88,7 +88,12 @@ def shingles(text, k: int = 3) -> Column:
     """
     norm = F.trim(F.regexp_replace(F.lower(col_(text)), r"(?U)[\s\x1c-\x1f]+", " "))
     window = " ".join(["[^ ]+"] * k)
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(norm, F.lit("")), F.lit(f"(?<![^ ])(?=({window}))"), 1))
+    return F.regexp_extract_all(F.coalesce(norm, F.lit("")), F.lit(f"(?<![^ ])(?=({window}))"), 1)
+
+
+def shingles(text, k: int = 3) -> Column:
+    """Distinct lower-cased word k-shingles of ``text`` (first-occurrence order)."""
+    return F.array_distinct(all_shingles(text, k))
 
 
 def shingle_hashes(shingle_arr: Column) -> Column:
@@ -96,6 +101,14 @@ def shingle_hashes(shingle_arr: Column) -> Column:
     return F.transform(shingle_arr, lambda s: md5_int(s, SHINGLE_HEX_DIGITS))
 
 
+def packed_hashes(shingle_arr: Column) -> Column:
+    """The first 32 bits of the md5 of every shingle as one binary value (big-endian), from which a kernel takes the 28 bits.
+
+    Four bytes a shingle go to Python, and no number is formatted or parsed on the way.
+    """
+    return F.unhex(F.array_join(F.transform(shingle_arr, lambda s: F.substring(F.md5(s), 1, 8)), ""))
+
+
 def sql_words(text_sql: str) -> str:
     """DuckDB twin of :func:`words`."""
     return f"regexp_extract_all(coalesce({text_sql}, ''), '{WORD_PATTERN_RE2}')"

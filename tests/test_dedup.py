@@ -72,3 +72,30 @@ def test_repeated_or_null_order_fails(spark):
     for rows in ([(1, "a b c d"), (1, "e f g h")], [(None, "a b c d"), (2, "e f g h")]):
         with pytest.raises(Exception, match="unique and not NULL"):
             first_wins_dedup(spark.createDataFrame(rows, "ord bigint, t string"), "ord", "t").collect()
+
+
+def test_minhash_kernel_is_exact_without_divisions():
+    """Packed hashes (4 bytes a shingle), the extreme ones and products that are multiples of the modulus among them."""
+    import numpy as np
+    import pandas as pd
+
+    from corpusflow.operators.dedup import _minhash_udf
+    coeffs = [*minhash_coefficients(115), (PRIME - 1, PRIME - 1), (1, PRIME - 5)]
+    rng = np.random.default_rng(1)
+    sets = [[0], [5], [2**28 - 1], [0, 1, 2**28 - 1], [int(x) for x in rng.integers(0, 2**28, 1000)]]
+    packed = [b"".join(((h << 4) | 9).to_bytes(4, "big") for h in s) for s in sets]
+    got = _minhash_udf(coeffs).func(pd.Series([*packed, b"", None]))
+    for s, sig in zip(sets, got):
+        assert list(sig) == [min((h * a + b) % PRIME for h in s) for a, b in coeffs]
+    assert all(list(sig) == [PRIME] * len(coeffs) for sig in got[-2:])
+
+
+def test_packed_hashes_and_all_shingles(spark):
+    from corpusflow.functions.text import all_shingles, packed_hashes, shingle_hashes, shingles, word_ngrams, words
+    texts = ["", None, "one two", " A b\tc d  a B c ", "İx ΣΣ 　 z\x1cy q w e r", "a a a a a a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(shingle_hashes(shingles("t", 3)).alias("h"), packed_hashes(shingles("t", 3)).alias("p"), all_shingles("t", 3).alias("s"),
+                       word_ngrams(words(F.lower("t")), 3).alias("w")).collect():
+        p = bytes(r["p"] or b"")
+        assert [int.from_bytes(p[i:i + 4], "big") >> 4 for i in range(0, len(p), 4)] == r["h"]
+        assert r["s"] == r["w"]
