@@ -84,10 +84,11 @@ def persona_dedup_files(spark, sf):
     as_object = F.to_json(F.struct(F.col("text").alias("persona"), F.array("lang").alias("languages")))
     as_string = F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
     persona = F.when(keyed_choice(2, 42, "shape", F.col("doc_id")) == 0, as_object).otherwise(as_string)
+    # Dealt out in key order before the personas are built: the files, in the order of their names, hold the ids in order.
+    d = d.select("doc_id", "text", "lang").repartitionByRange(F.col("doc_id").cast("bigint")).sortWithinPartitions(F.col("doc_id").cast("bigint"))
     rows = d.select(F.col("doc_id").cast("string").alias("id"), F.parse_json(persona).alias("persona"),
                     F.lit("mock-model").alias("model"), "lang")
-    rows.repartitionByRange(3, F.col("doc_id").cast("bigint")).sortWithinPartitions(F.col("id").cast("bigint")) \
-        .write.mode("overwrite").json(src)
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").json(src)
     kept = dedup_persona_files(spark, src, out, glob="*.json")
     back = spark.read.schema("id string, lang string, shingles array<string>").json(out)
     return back.select(F.split("id", "#")[0].cast("bigint").alias("doc_id"), "lang")

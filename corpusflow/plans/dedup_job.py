@@ -9,7 +9,7 @@ a folder separate from the input (T7).
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import word_ngrams, words, strip_ws
+from corpusflow.functions.text import all_shingles
 from corpusflow.operators.dedup import first_wins_dedup
 from corpusflow.operators.persona import persona_text
 from corpusflow.sources.jsonl import read_jsonl, read_jsonl_rejects, write_jsonl
@@ -49,7 +49,7 @@ def dedup_persona_files(spark: SparkSession, in_dir: str, out_dir: str | None =
     rows.where(F.col("_text").isNotNull()).write.mode("overwrite").parquet(staged)
     usable = spark.read.parquet(staged)
     kept = first_wins_dedup(usable, "ord", "_text", threshold, k)
-    out = kept.withColumn("shingles", word_ngrams(words(F.lower(strip_ws("_text"))), k)).drop("_text")
+    out = kept.withColumn("shingles", all_shingles("_text", k)).drop("_text")
     if out_dir:
         write_jsonl(out.withColumn("persona", F.to_json("persona")), out_dir)
     return out
