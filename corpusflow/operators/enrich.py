@@ -1,7 +1,7 @@
 """Batch enrichment with a pluggable model client.
 
-``enrich`` is a ``mapInPandas`` step: each task builds its client once,
-sends Arrow batches of prompts and returns the *key with the result*, so no
+``enrich`` is a ``mapInArrow`` step: each task builds its client once,
+sends a bounded number of prompts of an Arrow batch at a time and returns the *key with the result*, so no
 positional zip can misalign rows.  Retries, an optional in-task thread pool,
 one rate limit for the job and the client's generation options are arguments.  Failures land in ``error`` and the
 row is routed to rejects by :func:`split_parsed`; keys only enter a ledger
@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,7 +209,10 @@ def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]],
     if partitions:
         inp = inp.repartition(partitions)
 
-    def run(batches: Iterable[pd.DataFrame]):
+    # So many prompts are Python objects at once, however many rows an Arrow batch has; the keys stay in Arrow.
+    window = batch_size * max(1, concurrency) * 8
+
+    def run(batches: Iterable[pa.RecordBatch]):
         from pyspark import TaskContext
         shared = SharedRate(folder, partitions, TaskContext.get().partitionId(), calls_per_s) if folder else None
         client, limiter = client_factory(**(options or {})), RateLimiter(shared.interval if shared else fixed)
@@ -220,23 +223,22 @@ def enrich(df: DataFrame, client_factory: Callable[..., Callable[[list], list]],
         call = with_retry(limited, attempts, wait_s)
         pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
         try:
-            for pdf in batches:
-                prompts = [list(p) if p is not None else None for p in pdf["_prompt"]]
-                chunks = [prompts[i:i + batch_size] for i in range(0, len(prompts), batch_size)]
-                results = list(pool.map(lambda c: answer(call, c), chunks)) if pool else [answer(call, c) for c in chunks]
-                flat = [x for part in results for x in part]
-                out = pdf[key_cols].copy()
-                out["raw"] = [x[0] for x in flat]
-                out["model"] = [x[1] for x in flat]
-                out["error"] = [x[2] for x in flat]
-                yield out
+            for batch in batches:
+                keys = batch.select(key_cols)
+                for at in range(0, batch.num_rows, window):
+                    prompts = batch.column("_prompt").slice(at, window).to_pylist()
+                    chunks = [prompts[i:i + batch_size] for i in range(0, len(prompts), batch_size)]
+                    results = list(pool.map(lambda c: answer(call, c), chunks)) if pool else [answer(call, c) for c in chunks]
+                    flat = [x for part in results for x in part]
+                    replies = [pa.array([x[i] for x in flat], pa.string()) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([*keys.slice(at, window).columns, *replies], [*key_cols, "raw", "model", "error"])
             if shared:
                 shared.end()
         finally:
             if pool:
                 pool.shutdown()
 
-    return inp.mapInPandas(run, schema)
+    return inp.mapInArrow(run, schema)
 
 
 def parsed_list(raw, list_field: str, item_schema: str) -> Column:

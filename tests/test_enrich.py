@@ -112,3 +112,17 @@ def test_rate_of_a_job(spark):
     t0 = time.monotonic()
     out = enrich(df, lambda: mock_client("persona"), "p", ["id"], batch_size=1, partitions=3, calls_per_s=6.0).collect()
     assert len(out) == 12 and time.monotonic() - t0 >= 9 / 6.0 and not any(r.error for r in out)
+
+
+def test_enrich_holds_few_prompts_of_an_arrow_batch(spark):
+    """One Arrow batch of 3,000 prompts: all were Python objects before the first call."""
+    from corpusflow.operators.enrich import enrich
+
+    def counting(**_):
+        import gc
+        return lambda prompts: [(str(sum(type(x) is list and len(x) > 0 and type(x[0]) is dict and "role" in x[0] for x in gc.get_objects())), "m")
+                                for _ in prompts[:1]] * len(prompts)
+    prompt = F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content")))
+    got = enrich(spark.range(3000).coalesce(1).withColumn("prompt", prompt), counting, "prompt", ["id"]).collect()
+    assert sorted(r["id"] for r in got) == list(range(3000)) and not any(r["error"] for r in got)
+    assert 0 < max(int(r["raw"]) for r in got) <= 1100
