@@ -115,6 +115,23 @@ def test_exact_near_rows_equal_brute_force(spark):
     assert earlier_near(df.limit(0), "o", "t").count() == 0
 
 
+def test_recall_audit_stores_prefixes_only(spark, monkeypatch):
+    """No intermediate table holds whole shingle sets, and only sets that share much of their prefixes are compared."""
+    from corpusflow.operators import similarity
+    stored, compared = [], []
+    keep, alike = similarity._written, similarity._alike
+    monkeypatch.setattr(similarity, "_written", lambda df, purpose: stored.append(keep(df, purpose)) or stored[-1])
+    monkeypatch.setattr(similarity, "_alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
+    base = [" ".join(f"d{i}w{j}" for j in range(60)) + " the same last words" for i in range(40)]
+    rows = list(enumerate(base + [t + " more" for t in base[:10]] + base[:5]))
+    df = spark.createDataFrame(rows, "o bigint, t string")
+    assert {r.o for r in similarity.earlier_near(df, "o", "t").collect()} == brute(rows, 3, 0.8) == set(range(40, 55))
+    assert all("string" not in kind for t in stored for _, kind in t.dtypes)
+    for r in stored[0].collect():
+        assert len(r["p"]) <= 0.2 * r["n"] + 2
+    assert sum(compared) <= 20
+
+
 def _files(spark, monkeypatch, tmp_path, name, suffix):
     """(result, records of each intermediate file) of a query of catalog_io whose files hold 50 rows at most."""
     from corpusflow.plans import catalog_io
