@@ -76,7 +76,7 @@ def stream_late_rows(spark, sf):
     late = F.col("doc_id") % 3 == 1
     for part in (docs.where(~late), docs.where(late)):
         part.write.mode("append").parquet(f"{work}/landing")
-        by_state = _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", f"{work}/state", carry=("lang",))
+        by_state = _run(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", f"{work}/state", carry=("lang",), rocksdb=True)
         by_table = _stream_dedup(spark, f"{work}/landing", DOC_SCHEMA, "doc_id", "text", f"{work}/table")
     return by_state.join(by_table.select("doc_id"), "doc_id").select("doc_id", "lang")
 

@@ -227,3 +227,19 @@ def test_commit_log_snapshots(spark, tmp_path):
     log.commit("r", 4, at)
     log.compact("t", "v int", str(tmp_path / "t"))
     assert sorted(r.v for r in log.read("t", "v int").collect()) == [0, 1, 2, 3, 4] and len(log.entries()) == 5
+
+
+def test_late_rows_keep_their_state_off_the_heap(spark, tmp_path, monkeypatch):
+    """stream_late_rows: the state of both arrivals is in RocksDB files, not in maps of Spark's default store; the session is left as it was."""
+    from corpusflow.plans import catalog_stream as C
+    from corpusflow.streaming.dedup_state import BOUNDED_STORE
+    rows = [(0, "one two three four", "en"), (1, "one two three four", "fr"), (2, "five six seven eight", "de"),
+            (3, "one two three four", "it"), (4, "nine ten eleven twelve", "en"), (5, "seven", "de"), (7, None, "fr")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(C, "new_scratch_dir", lambda spark, purpose: str(tmp_path / purpose))
+    before = {k: spark.conf.get(k, None) for k in BOUNDED_STORE}
+    got = C.stream_late_rows(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, "en"), (2, "de"), (4, "en"), (5, "de")]
+    files = [p.suffix for p in (tmp_path / "stream-late/state/checkpoint/state").rglob("[0-9]*.*")]
+    assert ".zip" in files and ".delta" not in files
+    assert {k: spark.conf.get(k, None) for k in BOUNDED_STORE} == before
