@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import SHINGLE_HEX_DIGITS
 from corpusflow.functions.text import col_, more_words_than, packed_hashes, shingle_hashes, shingles, sql_words
+from corpusflow.session import FREED_SHUFFLES, session_conf
 
 # The hash family modulus (Mersenne prime 2**31 - 1), the
 # default permutation count, and the coefficient generator seed.
 PRIME = 2147483647
 NUM_PERM = 128
 COEFF_SEED = 7
+# A set of kept ``ord`` values of up to that many words (16 bytes each) is broadcast.
+MOST_WORDS = 1 << 20
 
 
 def _integral(f, a: float, b: float, n: int = 2001) -> float:
@@ -171,14 +174,32 @@ def with_ord(df: DataFrame, ord_col: str) -> DataFrame:
     return df.withColumn(ord_col, F.coalesce(F.col(ord_col), bad))
 
 
+def with_kept(df: DataFrame, kept: DataFrame, ord_col: str, words_dir: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``ord`` is in ``kept``.
+
+    With ``words_dir`` (for integers that follow one another, as row numbers do) the kept values are written
+    there as a bit set, 64 to a word, and broadcast: the rows, which hold the text, are not exchanged.
+    A set of more than ``MOST_WORDS`` words is left to Spark's choice of a join.
+    """
+    if words_dir is None:
+        return df.join(kept, ord_col, "left_semi")
+    word, bit = F.shiftright(F.col(ord_col), 6), F.col(ord_col).bitwiseAND(F.lit(63)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    with session_conf(df.sparkSession, FREED_SHUFFLES):
+        kept.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")).write.mode("overwrite").parquet(words_dir)
+    words = df.sparkSession.read.schema("_word bigint, _bits bigint").parquet(words_dir)
+    words = F.broadcast(words) if words.count() <= MOST_WORDS else words
+    return df.join(words, (word == F.col("_word")) & (F.getbit("_bits", bit) == 1), "left_semi")
+
+
 def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8, k: int = 3,
                      num_perm: int = NUM_PERM, seed: int = COEFF_SEED, short: str = "first",
                      params: tuple[int, int] | None = None, method: str = "vectorized",
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, words_dir: str | None = None) -> DataFrame:
     """Rows of ``df`` that survive first-wins LSH dedup in ``ord_col`` order.
 
     ``ord_col`` must be unique (e.g. (file, line) folded into one BIGINT, or a
-    document id); ``text`` is a column name or expression.
+    document id); ``text`` is a column name or expression; ``words_dir`` is that of :func:`with_kept`.
     """
     if short not in ("first", "keep"):
         raise ValueError("short must be 'first' or 'keep'")
@@ -187,9 +208,9 @@ def first_wins_dedup(df: DataFrame, ord_col: str, text, threshold: float = 0.8,
         is_long = more_words_than(text_c, k - 1)
         long_rows = df.where(is_long)
         kept = kept_ords(long_rows, ord_col, text_c, threshold, k, num_perm, seed, params, method, partitions)
-        return df.join(kept, ord_col, "left_semi").unionByName(df.where(~is_long))
+        return with_kept(df, kept, ord_col, words_dir).unionByName(df.where(~is_long))
     kept = kept_ords(df, ord_col, text_c, threshold, k, num_perm, seed, params, method, partitions)
-    return df.join(kept, ord_col, "left_semi")
+    return with_kept(df, kept, ord_col, words_dir)
 
 
 def sql_band_ctes(table_sql: str, ord_col: str, text_sql: str, threshold: float = 0.8,

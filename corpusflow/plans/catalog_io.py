@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.plans import catalog_text  # noqa: F401  (registers lsh_dedup, whose SQL twin is reused)
 from corpusflow.plans.registry import REGISTRY, query, table
-from corpusflow.session import new_scratch_dir
-from corpusflow.sources.jsonl import read_csv_records, read_jsonl, write_jsonl
+from corpusflow.session import FREED_SHUFFLES, new_scratch_dir, session_conf
+from corpusflow.sources.jsonl import GZIP, read_csv_records, read_jsonl, write_jsonl
 
 # Rows of documents a file holds at most: a file that only one task can read or write stays bounded.
 FILE_ROWS = 4096
@@ -88,8 +88,9 @@ def persona_dedup_files(spark, sf):
     d = d.select("doc_id", "text", "lang").repartitionByRange(F.col("doc_id").cast("bigint")).sortWithinPartitions(F.col("doc_id").cast("bigint"))
     rows = d.select(F.col("doc_id").cast("string").alias("id"), F.parse_json(persona).alias("persona"),
                     F.lit("mock-model").alias("model"), "lang")
-    rows.write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").json(src)
-    kept = dedup_persona_files(spark, src, out, glob="*.json")
+    with session_conf(spark, FREED_SHUFFLES):
+        rows.write.options(**GZIP).mode("overwrite").json(src)
+    dedup_persona_files(spark, src, out, glob="*.json.gz", gzip=True)
     back = spark.read.schema("id string, lang string, shingles array<string>").json(out)
     return back.select(F.split("id", "#")[0].cast("bigint").alias("doc_id"), "lang")
 

@@ -29,13 +29,18 @@ def ordered_rows(spark: SparkSession, in_dir: str, schema: str = PERSONA_ROW, gl
 
 
 def dedup_persona_files(spark: SparkSession, in_dir: str, out_dir: str | None = None, threshold: float = 0.8,
-                        k: int = 3, glob: str = "*.jsonl", schema: str = PERSONA_ROW, rejects_dir: str | None = None) -> DataFrame:
+                        k: int = 3, glob: str = "*.jsonl", schema: str = PERSONA_ROW, rejects_dir: str | None = None,
+                        gzip: bool = False) -> DataFrame:
     """Dedup every persona file under ``in_dir``; the index spans all files.
 
     The ordered, usable rows are written once to the shared scratch folder
     (the lineage cut), so the JSON scan runs once although dedup reads its input
-    twice.  A malformed line fails the job; with ``rejects_dir`` it is written
-    there with its file and line, and the other rows go on.
+    twice.  They hold the text once, as ``persona``, and are not exchanged
+    afterwards (:func:`corpusflow.operators.dedup.with_kept`): what the job
+    keeps on disk is its input, those rows and the output, which is several
+    times the text (``gzip`` compresses its files).  A malformed line fails
+    the job; with ``rejects_dir`` it is written there with its file and line,
+    and the other rows go on.
     """
     from corpusflow.session import new_scratch_dir
     if rejects_dir:
@@ -44,12 +49,11 @@ def dedup_persona_files(spark: SparkSession, in_dir: str, out_dir: str | None =
         rows = _ordered(good)
     else:
         rows = ordered_rows(spark, in_dir, schema, glob)
-    rows = rows.withColumn("_text", persona_text("persona"))
-    staged = new_scratch_dir(spark, "persona-ordered")
-    rows.where(F.col("_text").isNotNull()).write.mode("overwrite").parquet(staged)
+    staged, text = new_scratch_dir(spark, "persona-ordered"), persona_text("persona")
+    rows.where(text.isNotNull()).write.option("compression", "zstd").mode("overwrite").parquet(staged)
     usable = spark.read.parquet(staged)
-    kept = first_wins_dedup(usable, "ord", "_text", threshold, k)
-    out = kept.withColumn("shingles", all_shingles("_text", k)).drop("_text")
+    kept = first_wins_dedup(usable, "ord", text, threshold, k, words_dir=new_scratch_dir(spark, "persona-kept"))
+    out = kept.withColumn("shingles", all_shingles(text, k))
     if out_dir:
-        write_jsonl(out.withColumn("persona", F.to_json("persona")), out_dir)
+        write_jsonl(out.withColumn("persona", F.to_json("persona")), out_dir, gzip=gzip)
     return out
